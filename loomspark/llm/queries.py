@@ -1,13 +1,17 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from loomspark.llm import line_dedup, mixing
+from loomspark.llm import line_dedup, mixing, packing, secrets, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_packing": packing.op2_packing,
+    "op3_warc": warc.op3_warc,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op7_mix_sources": mixing.op7_mix_sources,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op3_warc": warc.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
 }
