@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm.shared import map_arrow
+
 MAX_LEN = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
@@ -116,7 +118,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, with_ids:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    pieces = docs.select("doc_id", "text").mapInArrow(run, schema)
+    pieces = map_arrow(docs.select("doc_id", "text"), run, schema)
     return pieces.select(
         "*",
         F.log2(F.col("length").cast("double")).cast("int").alias("bucket"),

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from loomspark.llm import line_dedup, mixing, packing, secrets, warc
+from loomspark.llm import langid, line_dedup, mixing, packing, secrets, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLES = {

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm.shared import map_arrow
+
 # Fixed values of the contract: kinds in their order, patterns and least lengths.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -130,12 +132,16 @@ def unicode_layer(layer: Layer) -> Layer | None:
 
 def _inflated(data: bytes) -> tuple[bytes | None, bool]:
     """Inflated gzip or zlib bytes, and whether they would exceed MAX_INFLATED."""
-    z = zlib.decompressobj(47)
-    try:
-        out = z.decompress(data, MAX_INFLATED + 1)
-    except zlib.error:
-        return None, False
-    return (None, True) if len(out) > MAX_INFLATED else (out, False)
+    seen = set()
+    while data[:2] in _MAGIC and (key := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
+        seen.add(key)
+        try:
+            data = zlib.decompressobj(47).decompress(data, MAX_INFLATED + 1)
+        except zlib.error:
+            return None, False
+        if len(data) > MAX_INFLATED:
+            return None, True
+    return data, False
 
 
 def _readable(data: bytes) -> str | None:
@@ -237,7 +243,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 ["doc_id", "base_spans", "spans", "n_assign", "n_access", "n_hex", "oversized"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, base_spans string, spans string, n_assign long, n_access long, n_hex long, oversized long")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, base_spans string, spans string, n_assign long, n_access long, n_hex long, oversized long")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +46,26 @@ def save(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python tasks can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent.parent
+    to = Path(tempfile.mkdtemp(prefix="loomspark-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(to))
+    _SHIPPED.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(fn, schema) with this package at hand in the tasks."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def fold_ascii(text):
     """A-Z to a-z and nothing else; plain lower() where the text is all ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -104,7 +127,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> Dat
         if waiting:
             yield from flush()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.shared import save, shared_dir
+from loomspark.llm.shared import map_arrow, save, shared_dir
 
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 1 << 30
@@ -103,7 +103,7 @@ def write_archives(marked: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
             done.append((path, n))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], ["path", "records"])
 
-    return save(marked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "path string, records long"), "manifest")
+    return save(map_arrow(marked.select("page_id", "url", "html", "digest", "refers_to"), run, "path string, records long"), "manifest")
 
 
 def read_members(stream) -> Iterator[Iterator[bytes]]:
@@ -233,7 +233,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     n = max(1, manifest.count())
-    return manifest.select("path").repartition(n, "path").mapInArrow(run, schema)
+    return map_arrow(manifest.select("path").repartition(n, "path"), run, schema)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
