@@ -1,12 +1,14 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from loomspark.llm import langid, line_dedup, mixing, packing, secrets, warc
+from loomspark.llm import ann, embed_dedup, langid, line_dedup, mixing, packing, secrets, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_packing": packing.op2_packing,
     "op3_warc": warc.op3_warc,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_ann": ann.op5_ann,
+    "op6_embedding_dedup": embed_dedup.op6_embedding_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op10_language_id": langid.op10_language_id,
 }
@@ -14,5 +16,6 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_warc": warc.ORACLE,
+    "op6_embedding_dedup": embed_dedup.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
 }
