@@ -21,41 +21,31 @@ from loomspark.llm.shared import map_arrow
 
 MAX_LEN = 2048
 END_ID = 1
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-WORD_MEMORY = 400_000
-
-_WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
+#: Tokenizer words whose ids a worker remembers; the memory is emptied when it is full.
+WORD_MEMORY = 600_000
+
+# The tokenizer lower-cases, drops white space and encodes each of these parts for itself.  The
+# split is spelled out for ASCII and the letters from A grave on; other texts go by white space.
+_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^ \t\n\r\f\va-z0-9à-öø-ÿ]+")
+_OTHER = re.compile("[^\x00-\x7fÀ-ÿ]|<\\|")
+_WORD = re.compile("[^ \t\n\r\f\v]+")
 _TOKENIZERS: dict = {}
 
 
 class WordIds(dict):
-    """ids of a white-space-free word.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are
-    its words' ids one after another; each distinct word is encoded once.
-    """
+    """The ids of a part of text, as little-endian unsigned 32-bit bytes; each is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= WORD_MEMORY:
             self.clear()
-        ids = self[word] = self.tokenizer.encode(word, add_special_tokens=False).ids
+        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         return ids
 
-    def learn(self, words: set[str]) -> None:
-        """Encode in one call the words that are not yet known."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > WORD_MEMORY:
-            self.clear()
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[w] = e.ids
-
 
 def word_ids(path: str) -> WordIds:
     if path not in _TOKENIZERS:
@@ -63,12 +53,14 @@ def word_ids(path: str) -> WordIds:
     return _TOKENIZERS[path]
 
 
-def encode(text: str | None, known: WordIds) -> np.ndarray:
-    ids: list[int] = []
-    for w in _WORD.findall(text or ""):
-        ids += known[w]
-    ids.append(END_ID)
-    return np.array(ids, dtype="<u4")
+_LAST = np.array([END_ID], "<u4").tobytes()
+
+
+def encode(text: str | None, known: WordIds) -> bytes:
+    """All ids of a text and the end id, as bytes."""
+    text = text or ""
+    parts = _WORD.findall(text) if _OTHER.search(text) else _PART.findall(text.lower())
+    return b"".join([*map(known.__getitem__, parts), _LAST])
 
 
 def piece_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
@@ -98,18 +90,18 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, with_ids:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
-                known.learn({w for t in texts if t for w in _WORD.findall(t)})
                 cols: list[list] = [[] for _ in range(6 if with_ids else 5)]
                 for doc_id, text in zip(part.column(0).to_pylist(), texts):
-                    ids = encode(text, known)
+                    ids = memoryview(encode(text, known))
+                    n = len(ids) // 4
                     start = 0
-                    for length in piece_lengths(len(ids), max_len):
-                        piece = ids[start : start + length]
-                        row = (doc_id, start, length, len(ids), zlib.crc32(piece.tobytes()))
+                    for length in piece_lengths(n, max_len):
+                        piece = ids[4 * start : 4 * (start + length)]
+                        row = (doc_id, start, length, n, zlib.crc32(piece))
                         for c, v in zip(cols, row):
                             c.append(v)
                         if with_ids:
-                            cols[5].append(piece.astype("i4"))
+                            cols[5].append(np.frombuffer(piece, "<i4"))
                         start += length
                 arrays = [pa.array(c, pa.int64()) for c in cols[:5]]
                 names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32"]
