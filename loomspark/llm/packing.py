@@ -26,7 +26,7 @@ WORD_MEMORY = 600_000
 
 # The tokenizer lower-cases, drops white space and encodes each of these parts for itself.  The
 # split is spelled out for ASCII and the letters from A grave on; other texts go by white space.
-_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^ \t\n\r\f\va-z0-9à-öø-ÿ]+")
+_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\f\va-z0-9ß-öø-ÿ]+")
 _OTHER = re.compile("[^\x00-\x7fÀ-ÿ]|<\\|")
 _WORD = re.compile("[^ \t\n\r\f\v]+")
 _TOKENIZERS: dict = {}
