@@ -18,17 +18,22 @@ MIN_DOCS = 5
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped): text without lines held by at least min_docs documents.
+    """docs with text less the lines held by at least min_docs documents, plus n_lines and n_dropped.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased;
     keys under min_chars code points never drop.  The document with the largest
     doc_id keeps all its lines.  Null text is one empty line.  Rows that share a
     doc_id are one document for the count and each keeps its own text; a row with a
     null doc_id holds no line and passes unchanged.  An empty table gives an empty one.
+    Other columns stay as they are; columns named n_lines or n_dropped are replaced.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.drop("n_lines", "n_dropped")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("others")] if others else []
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *packed)
     lines = (
         base.where("doc_id is not null")
+        .drop("others")
         .select("doc_id", F.xxhash64("text").alias("row_hash"), F.posexplode(F.split(fold_ascii(F.col("text")), "\n", -1)).alias("pos", "line"))
         .withColumn("line", F.btrim("line", F.lit(ASCII_SPACE)))
         .where(F.char_length("line") >= min_chars)
@@ -50,16 +55,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     split = F.split("text", "\n", -1)
     joined = base.withColumn("row_hash", F.xxhash64("text")).join(hits, ["doc_id", "row_hash"], "left")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("dropped")), lambda p: F.get(split, p))
+    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    named = {c: F.col("others").getField(c).alias(c) for c in others} | {"doc_id": F.col("doc_id"), "text": text}
     return joined.select(
-        "doc_id",
-        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        *[named[c] for c in docs.columns],
         F.size(split).cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from loomspark.llm import ann, embed_dedup, langid, line_dedup, mixing, ngram_join, packing, secrets, warc
+from loomspark.llm import ann, embed_dedup, langid, line_dedup, mixing, ngram_join, packing, pii, secrets, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_ann": ann.op5_ann,
     "op6_embedding_dedup": embed_dedup.op6_embedding_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_pii": pii.op8_pii,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_language_id": langid.op10_language_id,
 }
