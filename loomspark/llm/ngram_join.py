@@ -1,20 +1,22 @@
 """N-gram Jaccard join: near-duplicate documents by shingle sets, exactly, with prefix trees.
 
 A document is its set of five-word shingles, hashed to 64 bits and put in one global
-order: shingles seen often in a bounded sample come last, the others by hash.  Any
-order that is the same for all gives the same result; this one only makes prefixes
-selective.  Two sets with Jaccard >= t share a shingle among their first
-n - ceil(t n) + 1, and l of them among the first n - ceil(t n) + l.
-
-1. Every document sends its prefix shingles, packed per batch and range of hashes, to
-   count in how many documents each occurs.  A shingle that a batch holds more than
-   once is sent once, so a passage of a third of all documents is a row per batch.
-   Documents with too few shared prefix shingles have no partner and are done.
-2. The others, one for each exact set, meet in groups of equal min-hashes (three of
-   them, in blocks of bounded size) and are joined there by prefix tree.  This finds
-   most links cheaply; components follow.
-3. Every prefix shingle that still joins two components is a group in which all its
+order.  Any order that is the same for all gives the same result; rare shingles
+first makes prefixes selective.  Two sets with Jaccard >= t share a shingle among
+their first n - ceil(t n) + 1, and l of them among the first n - ceil(t n) + l.
+
+1. In an order learnt from a bounded sample, every document sends its prefix shingles,
+   packed per batch and range of hashes, to count in how many documents each occurs.
+   A shingle that a batch holds more than once is sent once, so a passage of a third
+   of all documents is a row per batch.  Documents with too few shared prefix
+   shingles have no partner and are done.
+2. Of the others, one for each exact set, all shingles are counted in the same way.
+   Sets with under 75 % shared shingles are done; the rest are ordered by count.
+3. They meet in groups of equal min-hashes (three of them, in blocks of bounded size)
+   and are joined there by prefix tree.  This finds most links; components follow.
+4. Every prefix shingle that still joins two components is a group in which all its
    documents meet (in pairs of blocks), which completes the join: no link is lost.
+   Of shingles with the same documents one is enough.
 
 In a group, sets are stored in a trie in global order.  Each document walks it once,
 sharing overlaps along common paths, and leaves out subtrees whose lengths cannot
@@ -25,10 +27,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.shared import components, map_arrow, map_groups, save
+from loomspark.llm.shared import components, delete, map_arrow, map_groups, release, save
 
 WORDS = 5
 THRESHOLD = 75  # percent
@@ -43,6 +46,8 @@ BLOCK = 256
 RANGE_BYTES = 12 << 20
 WORD_MEMORY = 600_000
 BATCH = 4096
+#: 64 bits each: at most 8 MB are broadcast to find texts again.
+BITMAP_WORDS = 1 << 20
 
 _MULT = np.random.default_rng(7).integers(1, 1 << 62, size=WORDS + 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FINAL = np.uint64(0xFF51AFD7ED558CCD)
@@ -137,10 +142,15 @@ def learn_order(docs: DataFrame) -> Order:
     return Order(h[at], k[at])
 
 
+def ranges_of(docs: DataFrame) -> int:
+    """Ranges of hashes, so that the packed shingles of one are of bounded size on average."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(48, int(size * 0.5 / RANGE_BYTES))
+
+
 def with_candidates(docs: DataFrame, order) -> DataFrame:
     """doc_id, n, k1, k2, candidate for every row: stage 1.  order: a broadcast Order."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(48, int(size * 0.5 / RANGE_BYTES))
+    ranges = ranges_of(docs)
 
     def pack(batches):
         from pyspark import TaskContext
@@ -218,6 +228,82 @@ def with_candidates(docs: DataFrame, order) -> DataFrame:
     )
 
 
+def kin(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows of docs that may have an id in ids, none lost: a bitmap of hashes as a broadcast table of at most BITMAP_WORDS rows."""
+    bit = lambda c: F.pmod(F.xxhash64(F.lit(11), c), F.lit(BITMAP_WORDS * 64))
+    word = lambda c: F.floor(bit(c) / 64).cast("int")
+    mask = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (bit(c) % 64).cast("int"))
+    bitmap = ids.groupBy(word(F.col(column)).alias("word")).agg(F.bit_or(mask(F.col(column))).alias("bits"))
+    near = docs.join(F.broadcast(bitmap), word(F.col("doc_id")) == F.col("word"))
+    return near.where(F.col("bits").bitwiseAND(mask(F.col("doc_id"))) != 0).drop("word", "bits")
+
+
+def _lists(col, dtype=np.uint64) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype) for b in col.to_pylist()]
+
+
+def ordered_by_count(sets: DataFrame, ranges: int) -> DataFrame:
+    """Stage 2: sets (rep, cls, n, batch, tokens) with enough shared shingles, tokens in order of count, with head and mins."""
+
+    def pack(batches):
+        for whole in batches:
+            names = whole.column(0).to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]]) if len(names) else [0]
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                h, n = np.unique(np.concatenate(_lists(whole.column(1).slice(lo, hi - lo))) << np.uint64(4), return_counts=True)
+                part = ((h >> np.uint64(4)) & np.uint64(0xFFFFFFFF)) % np.uint64(ranges)
+                at = np.argsort(part, kind="stable")
+                h, n, part = h[at], np.minimum(n[at], 65535).astype(np.uint16), part[at]
+                edge = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
+                used = np.flatnonzero(edge[1:] > edge[:-1])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(used.astype(np.int64)), pa.array(np.full(len(used), names[lo], np.int64)),
+                    pa.array([h[edge[p] : edge[p + 1]].tobytes() for p in used], pa.binary()), pa.array([n[edge[p] : edge[p + 1]].tobytes() for p in used], pa.binary()),
+                ], ["part", "batch", "hashes", "counts"])
+
+    def count(key, table: pa.Table) -> pa.Table | None:
+        batch, hs = table.column("batch").to_numpy(), _lists(table.column("hashes"))
+        h, n = np.concatenate(hs), np.concatenate(_lists(table.column("counts"), np.uint16)).astype(np.int64)
+        _, inv = np.unique(h, return_inverse=True)
+        total = np.bincount(inv, weights=n)[inv]
+        level = np.where(total < 128, total, 127 + np.floor(np.log2(total))).astype(np.uint8)
+        edge = np.concatenate([[0], np.cumsum([len(x) for x in hs])])
+        rows = []
+        for i in range(len(hs)):
+            own, lev = h[edge[i] : edge[i + 1]], level[edge[i] : edge[i + 1]]
+            if (lev > 1).any():
+                rows.append((batch[i], own[lev > 1].tobytes(), lev[lev > 1].tobytes()))
+        return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary()), "levels": pa.array([r[2] for r in rows], pa.binary())}) if rows else None
+
+    def put(key, table: pa.Table) -> pa.Table | None:
+        known = pa.compute.is_valid(table.column("hashes"))
+        told, own = table.filter(known), table.filter(pa.compute.invert(known))
+        if not told.num_rows or not own.num_rows:
+            return None
+        h, level = np.concatenate(_lists(told.column("hashes"))), np.concatenate(_lists(told.column("levels"), np.uint8))
+        h, first = np.unique(h, return_index=True)
+        level = level[first].astype(np.uint64)
+        cols = [[] for _ in range(6)]
+        for rep, cls, n, old in zip(own.column("rep").to_pylist(), own.column("cls").to_pylist(), own.column("n").to_pylist(), _lists(own.column("tokens"))):
+            low = old << np.uint64(4)
+            at = np.minimum(np.searchsorted(h, low), len(h) - 1)
+            hit = h[at] == low
+            if np.count_nonzero(hit) < least_overlap(n):
+                continue
+            t = np.sort((np.where(hit, level[at], np.uint64(1)) << np.uint64(56)) | (low >> np.uint64(8)))
+            with np.errstate(over="ignore"):
+                mins = [int((low * m).min() >> np.uint64(1)) for m in _MULT[:3]]
+            for c, v in zip(cols, (rep, cls, n, t.tobytes(), t[: n - least_overlap(n) + 1].view(np.int64), mins)):
+                c.append(v)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["rep", "cls", "n", "tokens", "head", "mins"])
+
+    packed = map_arrow(sets.select("batch", "tokens"), pack, "part long, batch long, hashes binary, counts binary")
+    told = map_groups(packed, ["part"], count, "batch long, hashes binary, levels binary")
+    both = sets.unionByName(told, allowMissingColumns=True)
+    return map_groups(both, ["batch"], put, "rep long, cls long, n long, tokens binary, head array<long>, mins array<long>")
+
+
 class Node:
     __slots__ = ("seg", "end", "kids", "here", "lo", "hi", "least", "most", "whole")
 
@@ -302,6 +388,31 @@ def tree_join(sets: list[np.ndarray], group: list[int], side: list[int] | None =
     return links
 
 
+def gathered(hits: DataFrame) -> DataFrame:
+    """Where the documents of open shingles meet: (token, ti, tj, blk, comp, cls).
+
+    hits: (token, size, cls, comp).  Shingles whose documents overlap are put together
+    by passing the smallest document along them twice, so that a document is sent once
+    and not for every shingle; a gathering of more than BLOCK documents falls back
+    to its single shingles, in pairs of blocks.
+    """
+    key = hits.select("token", "cls", F.col("cls").alias("k"))
+    for _ in range(2):
+        per_token = key.groupBy("token").agg(F.min("k").alias("k"))
+        per_doc = hits.select("token", "cls").join(per_token, "token").groupBy("cls").agg(F.min("k").alias("k"))
+        key = hits.select("token", "cls").join(per_doc, "cls")
+    per_token = save(key.groupBy("token").agg(F.min("k").alias("key")), "keys")
+    members = hits.select("token", "cls", "comp").join(per_token, "token").select("key", "cls", "comp").distinct()
+    sizes = save(members.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    small = members.join(sizes.where(F.col("members") <= BLOCK), "key")
+    none = F.lit(0)
+    once = small.select(F.col("key").alias("token"), F.lit(-1).alias("ti"), none.alias("tj"), none.alias("blk"), "comp", "cls")
+    large = hits.join(per_token.join(sizes.where(F.col("members") > BLOCK), "key").select("token"), "token")
+    nb = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = large.withColumn("blk", F.pmod(F.xxhash64("cls"), nb).cast("int")).withColumn("other", F.explode(F.sequence(none, nb - 1)))
+    return once.unionByName(placed.select("token", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"), "blk", "comp", "cls"))
+
+
 def _joined(table: pa.Table, two_sided: bool) -> pa.Table | None:
     rep = table.column("rep").to_numpy()
     if len(rep) < 2:
@@ -328,32 +439,33 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = spark.sparkContext.broadcast(learn_order(docs))
     facts = save(with_candidates(docs, order), "facts")
+    release(spark)
     classes = facts.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("candidate").alias("candidate"))
     classes = save(classes.where("candidate"), "classes")
 
     def again(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                cols = [[] for _ in range(6)]
+                number += 1
+                cols = [[] for _ in range(4)]
                 facts_ = zip(*(part.column(i).to_pylist() for i in range(4)), part.column(4).cast(pa.binary()).to_pylist())
                 for rep, n, k1, k2, text in facts_:
                     s = shingle_set(text)
-                    if len(s) != n or identity(s) != (k1, k2):
-                        continue  # another row with this doc_id
-                    t = order.value.tokens(s)
-                    low = t << np.uint64(4)
-                    with np.errstate(over="ignore"):
-                        mins = [int((low * m).min() >> np.uint64(1)) for m in _MULT[:3]]
-                    for c, v in zip(cols, (rep, k1, n, t.tobytes(), t[: n - least_overlap(n) + 1].view(np.int64), mins)):
-                        c.append(v)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["rep", "cls", "n", "tokens", "head", "mins"])
-
-    texts = docs.join(classes.select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), "doc_id").select("doc_id", "n", "k1", "k2", "text")
-    sets = save(map_arrow(texts, again, "rep long, cls long, n long, tokens binary, head array<long>, mins array<long>"), "sets")
-
-    # 2: groups of equal min-hash, in blocks
+                    if len(s) == n and identity(s) == (k1, k2):  # else another row with this doc_id
+                        for c, v in zip(cols, (rep, k1, n, order.value.tokens(s).tobytes())):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(np.full(len(cols[0]), number, np.int64)), pa.array(cols[3], pa.binary())], ["rep", "cls", "n", "batch", "tokens"])
+
+    texts = kin(docs, classes, "rep").join(classes.select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), "doc_id").select("doc_id", "n", "k1", "k2", "text")
+    raw = save(map_arrow(texts, again, "rep long, cls long, n long, batch long, tokens binary"), "raw")
+    sets = save(ordered_by_count(raw, ranges_of(docs)), "sets")
+    delete(raw)
+
+    # 3: groups of equal min-hash, in blocks
     mins = sets.select("cls", F.posexplode("mins").alias("perm", "value"))
     shared = mins.groupBy("perm", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     at = mins.join(shared, ["perm", "value"]).withColumn("blk", F.pmod(F.xxhash64("cls", "perm"), F.ceil(F.col("size") / BLOCK)).cast("int")).drop("size")
@@ -362,14 +474,15 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     first = save(first.distinct(), "first")
     parts = save(components(first), "parts").withColumnRenamed("node", "rep")
 
-    # 3: prefix shingles that still join two components
+    # 4: prefix shingles that still join two components, one for each list of documents
     labelled = sets.join(parts, "rep", "left").select("rep", "cls", "head", F.coalesce("component", "rep").alias("comp"))
     heads = labelled.select("rep", "cls", "comp", F.explode("head").alias("token"))
-    open_ = heads.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
-    hits = heads.join(open_.select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb")), "token")
-    hits = hits.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    tiles = hits.select("token", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"), "blk", "comp", "cls")
-    tiles = tiles.join(sets.select("cls", "rep", "tokens"), "cls").drop("cls")
+    lists = heads.groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y")
+    )
+    open_ = lists.where("a < b").groupBy("size", "x", "y").agg(F.min("token").alias("token"))
+    hits = save(heads.join(open_.select("token", "size"), "token"), "open")
+    tiles = gathered(hits).join(sets.select("cls", "rep", "tokens"), "cls").drop("cls")
     last = map_groups(tiles, ["token", "ti", "tj"], lambda _, t: _joined(t, True), "src long, dst long").distinct()
     star = parts.where("rep <> component").select(F.col("rep").alias("src"), F.col("component").alias("dst"))
     final = components(star.unionByName(last)).withColumnRenamed("node", "rep")
