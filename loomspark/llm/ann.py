@@ -124,25 +124,65 @@ def fit(vectors: np.ndarray, n: int, norm: float, k: int = K) -> Hashes:
     raise AssertionError
 
 
+def _met(placed: DataFrame, k: int) -> DataFrame:
+    """(q, rep, score): the best k + 1 in every block that a query visits.  placed: t, bucket, rep, embedding, floor (null for points)."""
+    counts = placed.groupBy("t", "bucket").agg(F.count_if(F.col("floor").isNull()).alias("np"), F.count("floor").alias("nq")).where("np > 0 and nq > 0")
+    counts = save(counts.select("t", "bucket", F.ceil(F.col("np") / BLOCK).cast("int").alias("pb"), F.ceil(F.col("nq") / BLOCK).cast("int").alias("qb")), "buckets")
+    hint = F.broadcast if counts.count() <= BROADCAST_BUCKETS else (lambda d: d)
+    tiles = placed.join(hint(counts), ["t", "bucket"])
+    salt = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    is_point = F.col("floor").isNull()
+    tiles = tiles.withColumn("pblk", F.explode(F.when(is_point, F.array((salt % F.col("pb")).cast("int"))).otherwise(upto("pb"))))
+    tiles = tiles.withColumn("qblk", F.explode(F.when(is_point, upto("qb")).otherwise(F.array((salt % F.col("qb")).cast("int")))))
+    tiles = tiles.select("t", "bucket", "pblk", "qblk", "rep", "embedding", "floor")
+
+    def meet(key, table: pa.Table) -> pa.Table | None:
+        floor = table.column("floor").to_numpy()
+        v = matrix(table.column("embedding"))
+        rep = table.column("rep").to_numpy()
+        p, q = np.isnan(floor), ~np.isnan(floor)
+        if not p.any() or not q.any():
+            return None
+        score = v[q] @ v[p].T
+        ids, asks, low = rep[p], rep[q], floor[q]
+        if score.shape[1] > k + 1:
+            at = score.shape[1] - k - 1
+            low = np.maximum(low, np.partition(score, at, axis=1)[:, at])
+        i, j = np.nonzero(score >= low[:, None])
+        return pa.table({"q": asks[i], "rep": ids[j], "score": score[i, j]})
+
+    return map_groups(tiles, ["t", "bucket", "pblk", "qblk"], meet, "q long, rep long, score double")
+
+
+def _listed(met: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(q, near): the nearest rows of each query by score and id, copies included."""
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+    top = met.groupBy("q", "rep").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    rows = top.select("q", "rep", "score").join(members, "rep").select("q", F.explode("ids").alias("vec_id"), "score")
+    near = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
+    return rows.groupBy("q").agg(F.slice(near, 1, 4 * (k + 1)).alias("near"))
+
+
 def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query holds, the k nearest other rows found.
 
     rows: vec_id, embedding.  Ties go to the smaller vec_id.  Null, zero and
     non-finite vectors take no part, neither do rows with a null vec_id; vectors of
-    different lengths never meet.  Rows that repeat a vec_id are candidates each for
+    different lengths never meet.  Every query has k answers, or all there are.  Rows that repeat a vec_id are candidates each for
     itself, but none is an answer to its own id.
     """
     spark = rows.sparkSession
     all_rows = save(keyed(rows.where("vec_id is not null")).withColumn("ask", F.coalesce(is_query, F.lit(False))), "vectors")
-    distinct = save(all_rows.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.max("ask").alias("ask")), "distinct")
-    shapes = {r["d"]: (r["n"], r["m"]) for r in distinct.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("m")).collect()}
+    distinct = save(all_rows.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.max("ask").alias("ask"), F.count(F.lit(1)).alias("copies")), "distinct")
+    shapes = {r["d"]: (r["n"], r["m"], r["rows"]) for r in distinct.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"), F.max(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("m")).collect()}
     fitted = {}
     picked: dict[int, list] = {}
     for r in sample(distinct, FIT_ROWS).select("embedding").collect():
         picked.setdefault(len(r["embedding"]), []).append(r["embedding"])
     for d, vs in picked.items():
         v = np.array(vs, dtype=np.float64)
-        n, most = shapes[d]
+        n, most, _ = shapes[d]
         # the sample also bounds scores from below, as it is part of the candidates
         fitted[d] = (fit(v, n, float(np.sqrt(most)) or 1.0, k), v)
     held = spark.sparkContext.broadcast(fitted)
@@ -167,46 +207,20 @@ def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t * 1000 + d, np.int64)), pa.array(keys[i : i + 64].ravel()), reps.take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(np.repeat(floor[i : i + 64], keys.shape[1]))], ["t", "bucket", "rep", "embedding", "floor"])
 
     placed = map_arrow(distinct.select("rep", F.col("embedding").cast("array<float>"), "ask"), bucket, "t long, bucket long, rep long, embedding array<float>, floor double")
-    counts = placed.groupBy("t", "bucket").agg(F.count_if(F.col("floor").isNull()).alias("np"), F.count("floor").alias("nq")).where("np > 0 and nq > 0")
-    counts = save(counts.select("t", "bucket", F.ceil(F.col("np") / BLOCK).cast("int").alias("pb"), F.ceil(F.col("nq") / BLOCK).cast("int").alias("qb")), "buckets")
-    hint = F.broadcast if counts.count() <= BROADCAST_BUCKETS else (lambda d: d)
-    tiles = placed.join(hint(counts), ["t", "bucket"])
-    salt = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    is_point = F.col("floor").isNull()
-    tiles = tiles.withColumn("pblk", F.explode(F.when(is_point, F.array((salt % F.col("pb")).cast("int"))).otherwise(upto("pb"))))
-    tiles = tiles.withColumn("qblk", F.explode(F.when(is_point, upto("qb")).otherwise(F.array((salt % F.col("qb")).cast("int")))))
-    tiles = tiles.select("t", "bucket", "pblk", "qblk", "rep", "embedding", "floor")
-
-    def meet(key, table: pa.Table) -> pa.Table | None:
-        floor = table.column("floor").to_numpy()
-        v = matrix(table.column("embedding"))
-        rep = table.column("rep").to_numpy()
-        p, q = np.isnan(floor), ~np.isnan(floor)
-        if not p.any() or not q.any():
-            return None
-        score = v[q] @ v[p].T
-        ids, asks, low = rep[p], rep[q], floor[q]
-        if score.shape[1] > k + 1:
-            at = score.shape[1] - k - 1
-            low = np.maximum(low, np.partition(score, at, axis=1)[:, at])
-        i, j = np.nonzero(score >= low[:, None])
-        return pa.table({"q": asks[i], "rep": ids[j], "score": score[i, j]})
-
-    met = map_groups(tiles, ["t", "bucket", "pblk", "qblk"], meet, "q long, rep long, score double")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    top = met.groupBy("q", "rep").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     # the smallest ids of each class of copies are all that can be among the k nearest
     ids = all_rows.join(distinct.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "vec_id", "ask")
     by_id = Window.partitionBy("rep").orderBy("vec_id")
     members = ids.select("rep", "vec_id").withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).groupBy("rep").agg(F.collect_list("vec_id").alias("ids"))
-    lists = (
-        top.select("q", "rep", "score")
-        .join(members, "rep")
-        .select("q", F.explode("ids").alias("vec_id"), "score")
-        .groupBy("q")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, 4 * (k + 1)).alias("near"))
-    )
+    lists = save(_listed(_met(placed, k), members, k), "lists")
+    # a query that found too few asks all vectors of its length, block by block
+    enough = F.least(F.lit(k + 1), F.coalesce(*[F.when(F.size("embedding") == d, rows_) for d, (_, _, rows_) in shapes.items()], F.lit(0)).cast("int"))
+    short = distinct.where("ask").join(lists, F.col("rep") == F.col("q"), "left").where(F.coalesce(F.size("near"), F.lit(0)) < enough)
+    short = save(short.select("rep", F.col("embedding").cast("array<float>").alias("embedding")), "short")
+    if short.limit(1).count():
+        where = [F.size("embedding").cast("long").alias("t"), F.lit(0).cast("long").alias("bucket"), "rep", F.col("embedding").cast("array<float>").alias("embedding")]
+        everything = distinct.select(*where, F.lit(None).cast("double").alias("floor")).unionByName(short.select(*where, F.lit(float("-inf")).alias("floor")))
+        more = _listed(_met(everything, k), members, k)
+        lists = lists.join(short.select(F.col("rep").alias("q")), "q", "left_anti").unionByName(more)
     asked = ids.where("ask").select(F.col("rep").alias("q"), F.col("vec_id").alias("query_id"))
     own = asked.join(lists, "q").withColumn("near", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
     out = own.select("query_id", F.posexplode("near").alias("pos", "x"))

@@ -1,0 +1,348 @@
+import base64
+import datetime
+import gzip
+import hashlib
+import os
+import random
+import re
+import struct
+import urllib.parse
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from loomspark.llm import langid, line_dedup, mixing, ngram_join, packing, pii, secrets, warc
+from loomspark.llm.shared import shared_dir
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SPACE = " \t\n\x0b\x0c\r"
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def docs(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+# ---- line dedup
+
+
+def brute_lines(rows):
+    held = defaultdict(set)
+    key = lambda x: x.strip(SPACE).translate(FOLD)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 40 and i is not None:
+                held[key(x)].add(i)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (i is not None and len(held.get(key(x), ())) >= 5 and i < max(held[key(x)]))]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return Counter(out)
+
+
+def test_line_dedup(spark):
+    long = "This LINE is long enough to be counted, É and all of it"
+    rows = [(i, f"own {i}\n {long}\t\n{long.lower() if i % 2 else long}\n") for i in range(7)]
+    rows += [(7, None), (8, ""), (None, long), (3, rows[3][1]), (3, f"other\n{long}"), (9, "é" * 39), (10, "é" * 39), (11, long.replace("É", "é"))]
+    rows += [(20 + i, "q" * 40) for i in range(4)] + [(24, "x" * 100_000 + "\n" + "Q" * 40)]
+    df = docs(spark, [(*r, "s", "clash") for r in rows], "doc_id long, text string, h1 string, n_lines string")
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "h1", "n_lines", "n_dropped"]
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == brute_lines(rows)
+    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+# ---- packing
+
+
+def test_pieces():
+    for n in (1, 2, 3, 2047, 2048, 2049, 5000):
+        p = packing.piece_lengths(n)
+        assert sum(p) == n and all(x & (x - 1) == 0 and x <= 2048 for x in p) and p == sorted(p, reverse=True)
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    odd = ["L’été ÀÉ×÷ ÿ Ÿ", "x\x1fy it's", "İstanbul é é", "<|ENDOFTEXT|> a<|endoftext|>b", "ß SS ﬁ 12a3 !!?? …", "a\x85b\xa0c", "'s 't 'd don't", "", None, "word " * 30000]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(None, "null id"), (1, odd[1])]
+    got = packing.pack(docs(spark, rows), packing.default_tokenizer()).collect()
+    assert len({r.sequence_id for r in got}) == len(got) and {r.offset for r in got} == {0}
+    texts = dict(rows)
+    by = defaultdict(list)
+    for r in got:
+        assert r.length == len(r.ids) == 2**r.bucket and r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *r.ids))
+        by[r.doc_id].append(r)
+    for i, rs in by.items():
+        want = tok.encode(texts[i] or "", add_special_tokens=False).ids + [1]
+        copies = 2 if i == 1 else 1
+        assert sorted((r.start, r.length) for r in rs) == sorted([(s, n) for s, n in zip(np.cumsum([0, *packing.piece_lengths(len(want))]).tolist(), packing.piece_lengths(len(want)))] * copies)
+        if copies == 1:
+            assert [x for r in sorted(rs, key=lambda r: r.start) for x in r.ids] == want
+    assert packing.pack(docs(spark, []), packing.default_tokenizer()).count() == 0
+
+
+# ---- WARC
+
+
+def test_warc_round_trip(spark):
+    big = os.urandom(300_000).hex()
+    rows = [(5, "http://a/ä b", "x" * 100), (3, None, "x" * 100), (9, "u", "x" * 99), (8, "u", "x" * 99), (1, "u", None), (2, "u", ""), (None, "u", "x" * 100), (7, "u", big), (4, "u", big + "é\r\n\r\nWARC/1.1"), (3, "again", "x" * 100)]
+    df = docs(spark, rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(3)
+    manifest = warc.write_archives(warc.mark_revisits(df), shared_dir(spark), archive_bytes=1000)
+    assert manifest.agg(F.sum("records")).first()[0] == len(rows) and manifest.count() > 3
+    got = sorted(warc.read_archives(manifest).collect(), key=lambda r: (r.page_id is None, r.page_id, r.url or ""))
+    by = {(r.page_id, r.url): r for r in got}
+    assert len(got) == len(rows)
+    assert [by[k].record_type for k in ((3, None), (3, "again"), (5, "http://a/ä%20b"), (None, "u"), (9, "u"), (8, "u"))] == ["response", "response", "revisit", "revisit", "response", "response"]
+    assert by[(None, "u")].refers_to == by[(5, "http://a/ä%20b")].refers_to == 3
+    assert bytes(by[(4, "u")].payload).decode() == rows[8][2] and by[(5, "http://a/ä%20b")].payload is None
+    for r in got:
+        assert r.payload_bytes == (100 if r.page_id in (3, 5, None) else {9: 99, 8: 99, 1: 0, 2: 0, 7: 600_000, 4: 600_014}[r.page_id]) or r.page_id == 4
+        if r.payload is not None:
+            assert hashlib.sha256(r.payload).hexdigest() == r.payload_digest and len(r.payload) == r.payload_bytes
+    empty = warc.write_archives(warc.mark_revisits(docs(spark, [], "page_id long, url string, html string")), shared_dir(spark))
+    assert warc.read_archives(empty).count() == 0
+
+
+def test_warc_damage():
+    import io
+
+    raw = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
+    read = lambda data: [warc.parse_record(c, True) for c in warc.read_members(io.BytesIO(data))]
+    two = gzip.compress(raw) * 2
+    assert [r["payload"] for r in read(two)] == [b"payload"] * 2
+    for bad in (two[:-5], gzip.compress(raw.replace(b"payload", b"pay1oad")), gzip.compress(raw[:-2]), gzip.compress(raw + raw)):
+        with pytest.raises((ValueError, zlib.error)):
+            read(bad)
+
+
+# ---- secrets
+
+
+def test_secret_layers():
+    s = "password=Zx81hUq99abc"
+    b = base64.b64encode(s.encode()).decode()
+    for wrapped in (b, base64.b64encode(b.encode()).decode(), urllib.parse.quote(s, safe=""), base64.b64encode(gzip.compress(s.encode())).decode(), "".join(f"\\u{ord(c):04x}" for c in s), urllib.parse.quote("".join(f"%{ord(c):02x}" for c in b), safe="")):
+        text = f"é some text {wrapped} more"
+        base, found, _ = secrets.scan(text)
+        assert base == [] and [k for k, _, _ in found] == ["assign"]
+        k, a, e = found[0]
+        assert text[a:e].rstrip("=") in wrapped and wrapped.startswith(text[a : a + 5])
+    assert secrets.scan("token=token: abcdefghij") == ([], [], 0)
+    assert secrets.scan("")[1] == []
+    assert len(secrets.scan("%25" * 1000)[1]) == 0
+
+
+def test_secret_base_brute(spark):
+    def brute(text):
+        out = [("assign", m.start(), m.end()) for m in re.finditer(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 8]
+        out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        return sorted(out, key=lambda f: (f[1], secrets.KINDS.index(f[0])))
+
+    rng = random.Random(5)
+    parts = ["token", "paſſword", "ſecret", "API_KEY", "apikey", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef", "é", "%41", "x" * 7, "secret=secret"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)] + ["", "a" * 100_000]
+    for t in texts[:-1]:
+        assert secrets.base_finds(t) == brute(t)
+        assert set(brute(t)) <= set(secrets.scan(t)[1])
+    rows = [(i, t) for i, t in enumerate(texts[:50])] + [(None, None), (0, texts[0])]
+    got = secrets.find_secrets(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.base_spans for r in got}[7] == secrets.listed(brute(texts[7]))
+    assert secrets.find_secrets(docs(spark, [])).count() == 0
+
+
+# ---- mixing
+
+
+def test_mixing(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 80])), rng.choice(["a"] * 6 + ["b", "B", "é", None])) for i in range(3000)]
+    rows += [(None, None, "a"), (0, "twice", "zero"), (5000, None, "none")]
+    df = docs(spark, rows, "doc_id long, text string, source string").withColumn("rate", F.lit("clash"))
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == len(rows) and got[0].rate == "clash"
+    size, target, taken, n = Counter(), {}, Counter(), Counter()
+    for r in got:
+        size[r.source] += r.mix_size
+        target[r.source] = r.mix_target
+        taken[r.source] += r.mix_size * r.mix_copies
+        n[r.source] += 1
+        assert r.mix_copies <= 3
+    order = sorted((s for s in size if s is not None)) + [None]
+    want = water(order, size)
+    for s in order:
+        assert target[s] == pytest.approx(want[s]) and r.mix_source_size is not None
+        if n[s] > 50:
+            assert abs(taken[s] - target[s]) < 0.05 * target[s] + 80
+    again = mixing.mix_sources(df.repartition(5)).collect()
+    assert Counter(map(str, again)) == Counter(map(str, got))
+    assert mixing.mix_sources(docs(spark, [], "doc_id long, text string, source string")).count() == 0
+
+
+def water(order, size):
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, capped = sum(size.values()), {}
+    while True:
+        free = [s for s in order if s not in capped]
+        share = (total - sum(capped.values())) / sum(weight[s] for s in free) if free else 0
+        over = [s for s in free if share * weight[s] > 3 * size[s]]
+        if not over:
+            return capped | {s: share * weight[s] for s in free}
+        capped |= {s: 3 * size[s] for s in over}
+
+
+# ---- PII
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, d[::-1]))) % 10 == 0
+
+
+def test_pii(spark):
+    values = ["+1 (829) 555-7292", "212-555-0199", "(123) 456-7890", "hfef.64@mail3.example.com", "19.219.200.159", "4680652238172446", "4111-1111-1111-1111", "378282246310005", "1999-12-31", "12/31/1999", "31.12.1999", "2024/1/5", "123-45-6789", "899-99-9999"]
+    clean = ["300.1.1.1", "4111111111111112", "2024-02-30", "000-12-3456", "666-11-2222", "version 2.0.1", "12345", "a@b"]
+    rows = [(0, " ; ".join(values)), (1, "; ".join(reversed(values))), (2, " ; ".join(clean)), (3, None), (4, ""), (None, values[0]), (0, " ; ".join(values)), (5, "x " * 50_000 + values[5])]
+    got = pii.pseudonymise(docs(spark, rows).withColumn("pii", F.lit("clash"))).collect()
+    by = {r.doc_id: r for r in got}
+    maps = {p.value: p.pseudonym for p in by[0].pii}
+    assert list(maps) == values and {p.value: p.pseudonym for p in by[1].pii} == maps and by[None].text == maps[values[0]]
+    assert by[0].text == " ; ".join(maps[v] for v in values) and by[2].text == rows[2][1] and by[2].pii == [] and by[3].text is None and by[3].pii == []
+    assert by[5].text.endswith(maps[values[5]])
+    for v, p in maps.items():
+        assert v != p and re.sub(r"\d", "0", v.partition("@")[0] if "@" in v else "").replace("x", "") is not None
+    for v in (values[5], values[6], values[7]):
+        assert luhn(re.sub(r"\D", "", maps[v])) and re.sub(r"\d", "0", maps[v]) == re.sub(r"\d", "0", v)
+    assert all(0 <= int(x) <= 255 for x in maps["19.219.200.159"].split("."))
+    datetime.date.fromisoformat(maps["1999-12-31"])
+    assert pii.pseudonymise(docs(spark, [])).count() == 0
+
+
+def test_pii_is_a_permutation(spark):
+    every = [f"{a:03d}-{b:02d}-1234" for a in range(1, 900) if a != 666 for b in range(1, 100, 7)]
+    days = [(datetime.date(1900, 1, 1) + datetime.timedelta(n)).isoformat() for n in range(0, 73049, 11)]
+    rows = [(0, " ; ".join(every)), (1, " ; ".join(days))]
+    for r, want in zip(sorted(pii.pseudonymise(docs(spark, rows)).collect(), key=lambda r: r.doc_id), (every, days)):
+        new = [p.pseudonym for p in r.pii]
+        assert [p.value for p in r.pii] == want and len(set(new)) == len(want)
+        again = pii.pseudonymise(docs(spark, [(0, " ; ".join(new))])).first()
+        assert len(again.pii) == len(want)  # pseudonyms are valid values themselves
+
+
+# ---- n-gram join
+
+
+def brute_join(rows):
+    sets = []
+    for i, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(FOLD)) if i is not None else []
+        sets.append(frozenset({tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
+    up = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                p, q = find(rows[a][0]), find(rows[b][0])
+                up[max(p, q)] = min(p, q)
+    return Counter((i, len(s), None if i is None else find(i)) for (i, _), s in zip(rows, sets))
+
+
+def test_ngram_join(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.choice([3, 5, 6, 12, 40, 120]))]
+        for _ in range(rng.randint(1, 7)):
+            x = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                x[rng.randrange(len(x))] = word()
+            if rng.random() < 0.3:
+                x += passage
+            rows.append((len(rows) * 7 % 1009, " ".join(w.upper() if rng.random() < 0.1 else w for w in x)))
+    big = [word() for _ in range(150)]
+    for k in range(330):  # one group larger than a block
+        x = list(big)
+        x[k % 150] = word()
+        rows.append((2000 + k, " \t".join(x)))
+    rows += [(5000, None), (5001, ""), (5002, " \n"), (5003, "one two"), (5004, "ONE two"), (None, "one two"), (5005, "one two"), (5005, "one two"), (5006, "a " * 50_000)]
+    df = docs(spark, rows).withColumn("token", F.lit("clash")).withColumn("rep", F.lit(1))
+    got = ngram_join.near_duplicate_classes(df.repartition(5)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_join(rows)
+    assert ngram_join.near_duplicate_classes(docs(spark, [])).count() == 0
+
+
+def test_tree_join_alone():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        base = rng.integers(0, 60, size=(4, 25))
+        sets = [np.unique(np.concatenate([base[rng.integers(4)][: rng.integers(5, 26)], rng.integers(0, 400, rng.integers(0, 4))])).astype(np.uint64) for _ in range(25)]
+        links = ngram_join.tree_join(sets, list(range(25)))
+        want = {i: i for i in range(25)}
+        for i in range(25):
+            for j in range(i):
+                a, b = set(sets[i]), set(sets[j])
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    p, q = want[i], want[j]
+                    want = {k: min(p, q) if v in (p, q) else v for k, v in want.items()}
+        got = {i: i for i in range(25)}
+        for i, j in links:
+            p, q = got[i], got[j]
+            got = {k: min(p, q) if v in (p, q) else v for k, v in got.items()}
+        assert got == want
+
+
+# ---- language ID
+
+
+def test_language_id(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    out = langid.op10_language_id(spark, SF).join(table.select("doc_id", "lang", "text"), "doc_id").collect()
+    held = [r for r in out if r.held_out]
+    assert len(out) == table.count() and len(held) > 40 and all((zlib.crc32(str(r.doc_id).encode()) % 3 == 1) == r.held_out for r in out)
+    assert sum(r.lang_pred == r.lang for r in held) / len(held) >= 0.97
+    assert sum(r.rejected for r in out) / len(out) < 0.02 and all(0 <= r.score <= 1 for r in out)
+    models = langid.fit(table)
+    rows = [(1, None), (2, ""), (3, "123 !!"), (4, "xqzk vbqpf wxzzt kjqvx qqwrt zxcvb"), (5, "the and of this that " * 20_000), (None, "the and"), (5, "Привет мир")]
+    got = langid.identify(docs(spark, rows).withColumn("lang_pred", F.lit("clash")), models).collect()
+    assert [(r.lang_pred, r.lang_rejected, r.lang_score) for r in got[:3]] == [("und", True, 0.0)] * 3
+    assert got[3].lang_rejected and not got[4].lang_rejected and got[4].lang_pred == "en" and got[6].lang_rejected
+    assert {r.lang_pred for r in langid.identify(docs(spark, rows), {}).collect()} == {"und"}
+    assert langid.fit(docs(spark, [], DOCS)) == {} and langid.identify(docs(spark, []), models).count() == 0
+
+
+def test_kneser_ney_sums_to_one():
+    model = langid.train(Counter({"abab": 5, "abc": 3, "cab": 1, "b": 2}))
+    scorer = langid.Scorer({"x": {"orders": model, "stats": (0, 0, 0)}})
+    scorer.floor = 1 / 4  # a, b, c and the end of a word
+
+    def p(word):
+        return 2.0 ** -scorer.score([word])[0, 0]
+
+    for prefix in ("", "a", "ab", "zz"):
+        grams = [prefix + c for c in "abc"]
+        ends = p(prefix)
+        # probability of going on with a, b, c or ending, given the prefix, is one
+        w = langid.windows([*grams, prefix])
+        first = np.concatenate([[0], np.cumsum(w[2])[:-1]])
+        last = [first[i] + len(prefix) for i in range(4)]
+        total = 0
+        for i in last:
+            q = scorer.floor
+            for k, (keys, probs, ctx, back) in enumerate(model):
+                q = langid._find(keys, probs, w[0][k][i : i + 1], 0.0)[0] + langid._find(ctx, back, w[1][k][i : i + 1], 1.0)[0] * q
+            total += q
+        assert total == pytest.approx(1, abs=1e-5) and ends > 0
