@@ -32,6 +32,8 @@ SEED = 20240613
 FIT_ROWS = 4096
 FIT_QUERIES = 256
 FIT_RECALL = 0.96
+#: Vectors that every query is compared with first: its k-th best there is a bound below which nothing is passed on (4 MB at 64 floats).
+BOUND_ROWS = 16384
 TABLES = 4
 #: (projections a table, cell width in standard deviations, most probes a table), finest first.
 SHAPES = ((10, 2.0, 160), (8, 1.8, 160), (6, 1.6, 160), (4, 1.4, 81), (3, 1.6, 27))
@@ -178,13 +180,12 @@ def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
     shapes = {r["d"]: (r["n"], r["m"], r["rows"]) for r in distinct.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"), F.max(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("m")).collect()}
     fitted = {}
     picked: dict[int, list] = {}
-    for r in sample(distinct, FIT_ROWS).select("embedding").collect():
-        picked.setdefault(len(r["embedding"]), []).append(r["embedding"])
+    for e in sample(distinct, BOUND_ROWS).select(F.col("embedding").cast("array<double>").alias("e")).toArrow().column("e").to_pylist():
+        picked.setdefault(len(e), []).append(e)
     for d, vs in picked.items():
         v = np.array(vs, dtype=np.float64)
         n, most, _ = shapes[d]
-        # the sample also bounds scores from below, as it is part of the candidates
-        fitted[d] = (fit(v, n, float(np.sqrt(most)) or 1.0, k), v)
+        fitted[d] = (fit(v[:FIT_ROWS], n, float(np.sqrt(most)) or 1.0, k), v)
     held = spark.sparkContext.broadcast(fitted)
 
     def bucket(batches):
@@ -197,7 +198,7 @@ def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
                 reps, ask = part.column(0), part.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 asked = np.flatnonzero(ask)
                 best = v[asked] @ seen.T
-                at = best.shape[1] - 1 - 4 * k  # far below the k-th: enough is left where some are not found
+                at = best.shape[1] - 1 - k  # the query itself may be among them
                 floor = np.partition(best, at, axis=1)[:, at] if len(asked) and at > 0 else np.full(len(asked), -np.inf)
                 for t in range(TABLES):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t * 1000 + d, np.int64)), pa.array(h.keys(v, t)), reps, part.column(1), pa.nulls(len(v), pa.float64())], ["t", "bucket", "rep", "embedding", "floor"])
