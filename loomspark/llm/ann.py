@@ -4,7 +4,9 @@ The index has several tables; a table's bucket is the tuple of floor((a.v + b) /
 for a few Gaussian projections.  A query visits, in every table, its own bucket and
 perturbed ones in the order of estimated success (the smaller the squared distances
 to the crossed cell borders, the earlier), the candidates of all tables are merged,
-and inner products in double precision on the original vectors rank them.
+and inner products in double precision on the original vectors rank them.  A query
+that has found too few goes on: to all perturbed buckets of its shape, then to cells
+that are wider at each further round, again in the order of success.
 
 Largest inner product is turned into smallest distance by one more component,
 sqrt(M^2 - |v|^2) for stored vectors and 0 for queries, M the largest norm.
@@ -16,7 +18,9 @@ blocks of bounded size for points and for queries; no bucket is capped.
 
 from __future__ import annotations
 
+import copy
 import heapq
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,10 @@ FIT_QUERIES = 256
 FIT_RECALL = 0.96
 #: Vectors that every query is compared with first: its k-th best there is a bound below which nothing is passed on (4 MB at 64 floats).
 BOUND_ROWS = 16384
+#: One in so many vectors at most is among them, so that on small tables too the bound lies far below the answer and recall is the hashing's.
+BOUND_SHARE = 16
+#: Cells grow by this factor at each further round of the queries that found too few.
+WIDER = 4.0
 TABLES = 4
 #: (projections a table, cell width in standard deviations, most probes a table), finest first.
 SHAPES = ((10, 2.0, 160), (8, 1.8, 160), (6, 1.6, 160), (4, 1.4, 81), (3, 1.6, 27))
@@ -75,6 +83,15 @@ class Hashes:
         self.sets = self.sets[: len(sets)]
         for i, s in enumerate(sets):
             self.sets[i, list(s)] = 1
+        self.every = self.sets
+
+    def further(self, round_: int) -> Hashes:
+        """The hashes of a round: 0 the fitted probes, 1 all probes of the shape, from 2 on wider cells."""
+        if round_ == 0:
+            return self
+        h = copy.copy(self)
+        h.sets, h.a = self.every, self.a / WIDER ** (round_ - 1)
+        return h
 
     def cells(self, v: np.ndarray, t: int, query: bool) -> np.ndarray:
         last = np.zeros(len(v)) if query else np.sqrt(np.maximum(self.norm**2 - np.sum(v * v, axis=1), 0))
@@ -157,10 +174,14 @@ def _met(placed: DataFrame, k: int) -> DataFrame:
     return map_groups(tiles, ["t", "bucket", "pblk", "qblk"], meet, "q long, rep long, score double")
 
 
-def _listed(met: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """(q, near): the nearest rows of each query by score and id, copies included."""
+def _best(met: DataFrame, k: int) -> DataFrame:
+    """(q, rep, score): the best k + 1 of each query by score and id."""
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    top = met.groupBy("q", "rep").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    return met.groupBy("q", "rep").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+
+
+def _listed(top: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(q, near): the nearest rows of each query by score and id, copies included."""
     rows = top.select("q", "rep", "score").join(members, "rep").select("q", F.explode("ids").alias("vec_id"), "score")
     near = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
     return rows.groupBy("q").agg(F.slice(near, 1, 4 * (k + 1)).alias("near"))
@@ -185,21 +206,23 @@ def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
     for d, vs in picked.items():
         v = np.array(vs, dtype=np.float64)
         n, most, _ = shapes[d]
-        fitted[d] = (fit(v[:FIT_ROWS], n, float(np.sqrt(most)) or 1.0, k), v)
+        fitted[d] = (fit(v[:FIT_ROWS], n, float(np.sqrt(most)) or 1.0, k), v[: max(1, n // BOUND_SHARE)])
     held = spark.sparkContext.broadcast(fitted)
 
-    def bucket(batches):
+    def bucket(batches, round_):
         for batch in batches:
             sizes = np.array([len(x) for x in batch.column(1)]) if batch.num_rows else np.zeros(0, int)
             for d in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == d)))
                 h, seen = held.value[int(d)]
+                h = h.further(round_)
                 v = matrix(pa.chunked_array([part.column(1)]))
                 reps, ask = part.column(0), part.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 asked = np.flatnonzero(ask)
                 best = v[asked] @ seen.T
                 at = best.shape[1] - 1 - k  # the query itself may be among them
-                floor = np.partition(best, at, axis=1)[:, at] if len(asked) and at > 0 else np.full(len(asked), -np.inf)
+                # a product can differ in its last bits from one call to the next
+                floor = np.partition(best, at, axis=1)[:, at] - 1e-12 * h.norm**2 if len(asked) and at > 0 else np.full(len(asked), -np.inf)
                 for t in range(TABLES):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t * 1000 + d, np.int64)), pa.array(h.keys(v, t)), reps, part.column(1), pa.nulls(len(v), pa.float64())], ["t", "bucket", "rep", "embedding", "floor"])
                     keys = h.probes(v[asked], t) if len(asked) else np.zeros((0, 1), np.int64)
@@ -207,21 +230,28 @@ def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
                         at = np.repeat(asked[i : i + 64], keys.shape[1])
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t * 1000 + d, np.int64)), pa.array(keys[i : i + 64].ravel()), reps.take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(np.repeat(floor[i : i + 64], keys.shape[1]))], ["t", "bucket", "rep", "embedding", "floor"])
 
-    placed = map_arrow(distinct.select("rep", F.col("embedding").cast("array<float>"), "ask"), bucket, "t long, bucket long, rep long, embedding array<float>, floor double")
+    def met(points: DataFrame, round_: int) -> DataFrame:
+        placed = map_arrow(points.select("rep", F.col("embedding").cast("array<float>"), "ask"), lambda batches: bucket(batches, round_), "t long, bucket long, rep long, embedding array<float>, floor double")
+        return _met(placed, k)
+
+    best = save(_best(met(distinct, 0), k), "best")
+    # queries that found too few go on, among the vectors of their length, until none is left: in the end a cell holds all
+    total = F.coalesce(*[F.when(F.size("embedding") == d, rows_) for d, (_, _, rows_) in shapes.items()], F.lit(0))
+    for round_ in count(1):
+        found = best.join(distinct.select("rep", "copies"), "rep").groupBy("q").agg(F.sum("copies").alias("found"))
+        short = distinct.where("ask").join(found, F.col("rep") == F.col("q"), "left").where(F.coalesce("found", F.lit(0)) < F.least(F.lit(k + 1), total))
+        short = save(short.select("rep", F.size("embedding").alias("d")), "short")
+        lengths = [r["d"] for r in short.select("d").distinct().collect()]
+        if not lengths:
+            break
+        asking = short.select("rep", F.lit(True).alias("ask"))
+        points = distinct.where(F.size("embedding").isin(lengths)).drop("ask").join(asking, "rep", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        best = save(_best(best.unionByName(met(points, round_)), k), "best")
     # the smallest ids of each class of copies are all that can be among the k nearest
     ids = all_rows.join(distinct.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "vec_id", "ask")
     by_id = Window.partitionBy("rep").orderBy("vec_id")
     members = ids.select("rep", "vec_id").withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).groupBy("rep").agg(F.collect_list("vec_id").alias("ids"))
-    lists = save(_listed(_met(placed, k), members, k), "lists")
-    # a query that found too few asks all vectors of its length, block by block
-    enough = F.least(F.lit(k + 1), F.coalesce(*[F.when(F.size("embedding") == d, rows_) for d, (_, _, rows_) in shapes.items()], F.lit(0)).cast("int"))
-    short = distinct.where("ask").join(lists, F.col("rep") == F.col("q"), "left").where(F.coalesce(F.size("near"), F.lit(0)) < enough)
-    short = save(short.select("rep", F.col("embedding").cast("array<float>").alias("embedding")), "short")
-    if short.limit(1).count():
-        where = [F.size("embedding").cast("long").alias("t"), F.lit(0).cast("long").alias("bucket"), "rep", F.col("embedding").cast("array<float>").alias("embedding")]
-        everything = distinct.select(*where, F.lit(None).cast("double").alias("floor")).unionByName(short.select(*where, F.lit(float("-inf")).alias("floor")))
-        more = _listed(_met(everything, k), members, k)
-        lists = lists.join(short.select(F.col("rep").alias("q")), "q", "left_anti").unionByName(more)
+    lists = save(_listed(best, members, k), "lists")
     asked = ids.where("ask").select(F.col("rep").alias("q"), F.col("vec_id").alias("query_id"))
     own = asked.join(lists, "q").withColumn("near", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
     out = own.select("query_id", F.posexplode("near").alias("pos", "x"))
