@@ -14,7 +14,6 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,14 +34,20 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 #: The shortest find (token= and eight characters, 14 bytes) takes 19 base64 characters.
 MIN_BASE64 = 19
-#: A compressed layer may grow to this many bytes; a larger one is reported in `oversized` and not opened.
-MAX_INFLATED = 64 << 20
+#: Compressed bytes are inflated in pieces of this size and scanned in windows of at least WINDOW bytes, which end where no find and no encoded run can cross; windows after the first are counted in `oversized`.
+PIECE = 1 << 20
+WINDOW = 4 << 20
 
 _ASSIGN_HINT = re.compile("[:=]")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_BASE64},}}={{0,2}}")
-_WORDLIKE = re.compile(r"[a-z]+|[A-Z]?[a-z]+")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_BASE64},}}+(?:[\x20\t]*+\r?\n[\x20\t>]*+[A-Za-z0-9+/_-]++)++")
+_ALPHABET = re.compile(r"[A-Za-z0-9+/_-]+")
+# shorter stretches of decoded bytes (14) hold no find
+_ASCII = re.compile(rb"[\t-\r\x20-\x7e]{14,}")
+_UTF16 = (re.compile(rb"(?:[\t-\r\x20-\x7e]\x00){14,}"), re.compile(rb"(?:\x00[\t-\r\x20-\x7e]){14,}"))
+_CUT = re.compile(rb"[.,;)!?\]>]\s|\x00\x00|[.,;)!?]\x00\s\x00|\x00[.,;)!?]\x00\s")
 _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 
 
@@ -130,18 +135,55 @@ def unicode_layer(layer: Layer) -> Layer | None:
     return _replaced(layer, parts) if parts else None
 
 
-def _inflated(data: bytes) -> tuple[bytes | None, bool]:
-    """Inflated gzip or zlib bytes, and whether they would exceed MAX_INFLATED."""
-    seen = set()
-    while data[:2] in _MAGIC and (key := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
+def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Inflated bytes of all joined gzip or zlib members, and what follows them, in pieces; ends at damage."""
+    d = zlib.decompressobj(47)
+    for rest in pieces:
+        while True:
+            if d.eof:
+                rest = rest.lstrip(b"\0")
+                if rest and rest[0] not in (0x1F, 0x78):
+                    yield rest
+                    rest = b""
+                if not rest:
+                    break
+                d = zlib.decompressobj(47)
+            try:
+                out = d.decompress(rest, PIECE)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            rest = d.unused_data if d.eof else d.unconsumed_tail
+            if not rest and (d.eof or not out):
+                break
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """Pieces of what compressed bytes hold, through all levels of compression."""
+    seen, pieces, first = set(), iter((data,)), data
+    while first[:2] in _MAGIC and (key := hashlib.blake2b(first, digest_size=16).digest()) not in seen:
         seen.add(key)
-        try:
-            data = zlib.decompressobj(47).decompress(data, MAX_INFLATED + 1)
-        except zlib.error:
-            return None, False
-        if len(data) > MAX_INFLATED:
-            return None, True
-    return data, False
+        pieces = _members(pieces)
+        first = next(pieces, b"")
+        pieces = chain((first,), pieces)
+    return pieces if first[:2] not in _MAGIC else iter(())
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    held = bytearray()
+    looked = 0
+    for piece in pieces:
+        held += piece
+        if len(held) < WINDOW:
+            continue
+        ends = [m.end() for m in _CUT.finditer(held, looked)]
+        looked = max(0, len(held) - 4)
+        if ends:
+            yield bytes(held[: ends[-1]])
+            del held[: ends[-1]]
+            looked = 0
+    yield bytes(held)
 
 
 def _readable(data: bytes) -> str | None:
@@ -149,71 +191,118 @@ def _readable(data: bytes) -> str | None:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    return text if text and all(c.isprintable() or c.isspace() for c in text) else None
-
-
-def base64_layers(layer: Layer) -> Iterator[tuple[Layer | None, bool]]:
-    """A layer for each base64 run that holds readable text or compressed text; True with None: too large."""
-    for m in _BASE64.finditer(layer.text):
-        run = m[0]
-        core = run.rstrip("=")
-        # a run can follow other characters of the alphabet: also try what comes after / _ - +
-        for skip in chain((0,), (i + 1 for i, c in enumerate(core) if c in "/_-+" and len(core) - i > MIN_BASE64)):
-            part = core[skip:]
-            if len(part) % 4 == 1:
-                part = part[:-1]
-            if _WORDLIKE.fullmatch(part):
-                head = base64.b64decode(part[:8] + "====")  # prose: look at the first bytes before all
-                if head[:2] not in _MAGIC and (max(head) > 126 or min(head) < 9):
-                    continue
-            try:
-                data = base64.b64decode(part.translate(_STANDARD) + "=" * (-len(part) % 4))
-            except (binascii.Error, ValueError):
+    return text if text and (text.isprintable() or "".join(text.split()).isprintable()) else None
+
+
+def _stretches(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """(offset, bytes a character, text) of the ASCII and UTF-16 stretches of bytes that aren't readable throughout."""
+    for m in _ASCII.finditer(data):
+        yield m.start(), 1, m[0].decode()
+    if b"\0" in data:
+        found = sorted(((m.start(), m.end(), m[0][order::2].decode()) for order, form in enumerate(_UTF16) for m in form.finditer(data)), key=lambda x: x[0] - x[1])
+        # in one byte order text is also found in the other, less a character
+        taken = bytearray(len(data))
+        for a, b, text in found:
+            if not any(taken[a:b]):
+                taken[a:b] = b"\1" * (b - a)
+                yield a, 2, text
+
+
+def _decoded(part: str) -> bytes:
+    """The bytes of base64 characters without padding; a last single character holds none."""
+    part = part[:-1] if len(part) % 4 == 1 else part
+    try:
+        return base64.b64decode(part.translate(_STANDARD) + "=" * (-len(part) % 4))
+    except (binascii.Error, ValueError):
+        return b""
+
+
+def _opened(layer: Layer, data: bytes, at: np.ndarray) -> Iterator[tuple[Layer, bool]]:
+    """Layers of decoded bytes, and whether it is a further window; at: positions in the layer of the base64 characters."""
+
+    def spans(s, e):
+        return (s, e) if layer.starts is None else (layer.starts[s], layer.ends[e - 1])
+
+    if data[:2] in _MAGIC:
+        a, b = layer.span(int(at[0]), int(at[-1]) + 1)
+        for i, window in enumerate(_windows(_inflated(data))):
+            whole = _readable(window)
+            for text in (whole,) if whole else (x for _, _, x in _stretches(window)):
+                yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text))), i > 0
+    elif text := _readable(data):
+        i = np.arange(len(data))
+        chars = _chars(data, list(zip(at[8 * i // 6].tolist(), (at[(8 * i + 7) // 6] + 1).tolist())))
+        yield Layer(text, *spans(np.array([x[1] for x in chars]), np.array([x[2] for x in chars]))), False
+    else:
+        for o, step, text in _stretches(data):
+            i = o + step * np.arange(len(text))
+            if step == 2 and data[o] == 0:
+                i += 1
+            yield Layer(text, *spans(at[8 * i // 6], at[(8 * i + 7) // 6] + 1)), False
+
+
+def base64_layers(layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    """Layers of each base64 run, also of runs wrapped over lines, that hold readable or compressed text."""
+    done = []
+    runs = chain(_WRAPPED.finditer(layer.text), _BASE64.finditer(layer.text))
+    for m in runs:
+        lines = [(x.start(), x.end()) for x in _ALPHABET.finditer(layer.text, m.start(), m.end())]
+        if len(lines) == 1 and any(a <= m.start() < b for a, b in done):
+            continue
+        core = "".join(layer.text[a:b] for a, b in lines)
+        at = np.concatenate([np.arange(a, b) for a, b in lines])
+        starts = set(np.cumsum([b - a for a, b in lines])[:-1].tolist())
+        # a run can follow other characters of the alphabet: also try what comes after / _ - + and line ends
+        starts |= {i + 1 for i, c in enumerate(core) if c in "/_-+"}
+        tried = set()
+        for skip in (0, *sorted(i for i in starts if len(core) - i >= MIN_BASE64)):
+            # what starts at the same place modulo 4 as a run tried before gives the same bytes, unless it is compressed
+            if _decoded(core[skip : skip + 4])[:2] not in _MAGIC and skip % 4 in tried:
                 continue
-            at = m.start() + skip
-            if data[:2] in _MAGIC:
-                out, large = _inflated(data)
-                if large:
-                    yield None, True
-                text = out is not None and _readable(out)
-                if text:
-                    a, b = layer.span(at, m.start() + len(core))
-                    yield Layer(text, np.full(len(text), a, np.int64), np.full(len(text), b, np.int64)), False
-                    break
-            elif _readable(data):
-                where = [(at + 8 * i // 6, at + (8 * i + 7) // 6 + 1) for i in range(len(data))]
-                chars = _chars(data, where)
-                s, e = np.array([x[1] for x in chars]), np.array([x[2] for x in chars])
-                if layer.starts is not None:
-                    s, e = layer.starts[s], layer.ends[e - 1]
-                yield Layer("".join(x[0] for x in chars), s, e), False
+            tried.add(skip % 4)
+            data = _decoded(core[skip:])
+            whole = data[:2] in _MAGIC or _readable(data) is not None
+            any_ = False
+            for made in _opened(layer, data, at[skip:]):
+                any_ = True
+                yield made
+            if whole and any_:
+                if len(lines) > 1:
+                    done.append((int(at[skip]), m.end()))
                 break
 
 
 _STANDARD = str.maketrans("-_", "+/")
 
 
+def _inner(layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    for decode in (url_layer, unicode_layer):
+        made = decode(layer)
+        if made is not None and made.text != layer.text:
+            yield made, False
+    yield from base64_layers(layer)
+
+
 def scan(text: str) -> tuple[list, list, int]:
-    """Base finds, all finds with those of decoded layers, and the number of layers too large to open."""
+    """Base finds, all finds with those of decoded layers, and the number of further windows of large layers."""
     base = base_finds(text)
     found, oversized = set(base), 0
     seen = set()
-    work = deque([Layer(text)])
+    # depth first, so that only one window of a layer is held at a time
+    work = [iter(((Layer(text), False),))]
     while work:
-        layer = work.popleft()
+        layer, further = next(work[-1], (None, False))
+        if layer is None:
+            work.pop()
+            continue
+        oversized += further
         if layer.starts is not None:
-            key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass") + layer.starts.tobytes()[:8] + layer.ends.tobytes()[-8:], digest_size=16).digest()
+            key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass") + layer.starts[:1].tobytes() + layer.ends[-1:].tobytes(), digest_size=16).digest()
             if key in seen:
                 continue
             seen.add(key)
             found.update((k, *layer.span(a, b)) for k, a, b in base_finds(layer.text))
-        for made in (url_layer(layer), unicode_layer(layer)):
-            if made is not None and made.text != layer.text:
-                work.append(made)
-        for made, large in base64_layers(layer):
-            oversized += large
-            if made is not None:
-                work.append(made)
+        work.append(_inner(layer))
     return base, _in_order(found), oversized
 
 

@@ -139,6 +139,32 @@ def test_secret_layers():
     assert len(secrets.scan("%25" * 1000)[1]) == 0
 
 
+def test_secret_large_and_joined_layers():
+    s = b"password=Zx81hUq99abc"
+    large = gzip.compress(b"some words, and more. " * (70 * 2**20 // 22) + s + b" end.")
+    joined = gzip.compress(b"nothing here. ") + gzip.compress(b"next: " + s)
+    nested = gzip.compress(gzip.compress(b"a. " * 2_000_000 + s))
+    for data in (large, joined, nested):
+        text = f"x {base64.b64encode(data).decode()} y"
+        assert [k for k, _, _ in secrets.scan(text)[1]] == ["assign"]
+
+
+def test_secret_wrapped_and_mixed_layers():
+    s = "password=Zx81hUq99abc"
+    rng = random.Random(3)
+    noise = "".join(rng.choices("GHIJKLMNOP qrstuvwxyz", k=400))
+    for data in (gzip.compress((noise + " " + s).encode()), (noise[:40] + " " + s + " " + noise).encode()):
+        for end in ("\n", "\r\n", "\n  "):
+            wrapped = base64.encodebytes(data).decode().strip().replace("\n", end)
+            text = f"é key: {wrapped}\n"
+            found = secrets.scan(text)[1]
+            assert [k for k, _, _ in found] == ["assign"], found
+            assert found[0][1] >= 7 and found[0][2] <= len(text)
+    for data in (b"\xef\xbb\xbf\x00" + s.encode(), b"\x1b[31m" + s.encode() + b"\x1b[0m", s.encode("utf-16"), s.encode("utf-16-be"), b"\xff\xfe\x00\x01" + s.encode() + b"\x80", ("a\u200b " + s).encode()):
+        text = f"x {base64.b64encode(data).decode()} y"
+        assert [k for k, _, _ in secrets.scan(text)[1]] == ["assign"], data
+
+
 def test_secret_base_brute(spark):
     def brute(text):
         out = [("assign", m.start(), m.end()) for m in re.finditer(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 8]
