@@ -2,8 +2,10 @@
 
 Lines are exploded, normalised and hashed; documents are counted per hash (partial
 sums before each shuffle, so a line of a third of all documents is a few rows);
-hits go back by hash and the text is put together again by position.  Only DataFrame
-functions run.  Text itself is shuffled once, by document.
+hits go back by hash and the text is put together again by position.  The most
+frequent lines go back by broadcast, and their occurrences are dealt by document, so
+no task gets all occurrences of one line.  Only DataFrame functions run.  Text
+itself is shuffled once, by document, and split twice.
 """
 
 from __future__ import annotations
@@ -11,10 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.shared import ASCII_SPACE, LOWER, UPPER, fold_ascii, hash_pair
+from loomspark.llm.shared import ASCII_SPACE, LOWER, UPPER, fold_ascii, hash_pair, save
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Lines that hold at least one in so many of all occurrences, and HOT_DOCS documents, go back by broadcast: so many lines at most.
+HOT_LINES = 10_000
+HOT_DOCS = 1000
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -44,22 +49,38 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         keys.groupBy("h1", "h2")
         .agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= min_docs)
-        .drop("n")
     )
+    common = save(common, "common")
+    least = max(HOT_DOCS, (common.agg(F.sum("n")).first()[0] or 0) // HOT_LINES)
+    hot = F.broadcast(common.where(F.col("n") >= least).select("h1", "h2", F.col("keeper").alias("hot_keeper")))
+    told = keys.join(hot, ["h1", "h2"], "left")
+    # occurrences of hot lines have their keeper already and pass the join below each in a place of its own
+    is_hot = F.col("hot_keeper").isNotNull()
+    told = told.select(
+        "doc_id", "row_hash", "pos", "hot_keeper", is_hot.alias("is_hot"),
+        F.when(is_hot, F.xxhash64("doc_id", "pos")).otherwise(F.col("h1")).alias("h1"), F.when(is_hot, F.lit(0)).otherwise(F.col("h2")).alias("h2"),
+    )
+    rest = common.where(F.col("n") < least).select("h1", "h2", F.lit(False).alias("is_hot"), "keeper")
     hits = (
-        keys.join(common, ["h1", "h2"])
-        .where("doc_id < keeper")
+        told.join(rest, ["is_hot", "h1", "h2"], "left")
+        .where(F.col("doc_id") < F.coalesce("hot_keeper", "keeper"))
         .groupBy("doc_id", "row_hash")
         .agg(F.collect_set("pos").alias("dropped"))
     )
-    split = F.split("text", "\n", -1)
     joined = base.withColumn("row_hash", F.xxhash64("text")).join(hits, ["doc_id", "row_hash"], "left")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("dropped")), lambda p: F.get(split, p))
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    # the lines are bound once, as the only element of an array: a lambda would split the text again for every line
+    lines_of = F.array(F.split("text", "\n", -1))
+
+    def without_dropped(lines):
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
+        return F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n")
+
+    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.get(F.transform(lines_of, without_dropped), F.lit(0))).alias("text")
+    n_lines = F.length(F.col("text")) - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
     named = {c: F.col("others").getField(c).alias(c) for c in others} | {"doc_id": F.col("doc_id"), "text": text}
     return joined.select(
         *[named[c] for c in docs.columns],
-        F.size(split).cast("long").alias("n_lines"),
+        n_lines.cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
