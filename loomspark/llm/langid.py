@@ -27,8 +27,13 @@ ORDER = 5
 #: Labelled rows per language that are used at most, and the share of them kept for calibration.
 SAMPLE_ROWS = 400
 CALIBRATION = 0.25
+#: Label values that get a model at most, the most frequent (a bound of what reaches the driver).
+MAX_LANGUAGES = 512
+_HASHES = 1 << 40
 #: Texts up to this many bytes are taken first, so the sample stays small.
 SAMPLE_BYTES = 20_000
+#: Bytes of text that the sample of a language holds at most (beyond its first row).
+SAMPLE_TOTAL = 64 << 20
 #: A text is rejected REJECT_BITS a character plus REJECT_Z standard deviations above the
 #: calibration mean.  The bits leave room for clean texts with keys, tables or a passage in
 #: another learned language; letters in no learned language's order lie further off.
@@ -37,7 +42,9 @@ REJECT_Z = 6.0
 WORD_MEMORY = 400_000
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+# \w without digits and underscore still holds fractions, circled numbers and other numerals: those are no letters
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _BEGIN, _END = "\x01", "\x02"
 _MIX = [np.uint64(2 * v + 1) for v in np.random.default_rng(20240501).integers(1 << 61, 1 << 62, ORDER)]
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -170,9 +177,19 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, dict]:
     ok = docs.where("text is not null and lang is not null and doc_id is not null").where(~_held_out(F.col("doc_id")))
     ok = ok.where(F.col("text").rlike("\\p{L}"))
     # ranked on lengths and hashes only
-    ranked = ok.select("lang", "doc_id", (F.octet_length("text") > SAMPLE_BYTES).alias("long"), F.xxhash64("doc_id").alias("h"))
-    order = Window.partitionBy("lang").orderBy("long", "h", "doc_id")
-    chosen = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_rows).select("lang", "doc_id", "r")
+    size = F.octet_length("text")
+    ranked = ok.select("lang", "doc_id", (size > SAMPLE_BYTES).alias("long"), size.cast("long").alias("bytes"), F.xxhash64("doc_id").alias("h"))
+    counts = ranked.groupBy("lang").agg(F.count_if("long").alias("n_long"), F.count_if(~F.col("long")).alias("n_short")).orderBy(F.desc(F.col("n_long") + F.col("n_short")), "lang").limit(MAX_LANGUAGES).collect()
+    # hashes below a limit are enough for the sample and few enough for the task that ranks a language
+    wanted = 2 * sample_rows + 100
+    limit = lambda n: int(min(1.0, wanted / max(n, 1)) * _HASHES)
+    limits = [(r["lang"], limit(r["n_short"]), limit(r["n_long"]) if r["n_short"] < wanted else 0) for r in counts]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, short_limit long, long_limit long")
+    hashed = F.pmod("h", F.lit(_HASHES))
+    near = ranked.join(F.broadcast(limits), "lang").where(hashed < F.when(F.col("long"), F.col("long_limit")).otherwise(F.col("short_limit")))
+    order = Window.partitionBy("lang").orderBy("long", hashed, "doc_id")
+    chosen = near.withColumn("r", F.row_number().over(order)).withColumn("read", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = chosen.where((F.col("r") <= sample_rows) & ((F.col("r") == 1) | (F.col("read") <= SAMPLE_TOTAL))).select("lang", "doc_id", "r")
     sample = ok.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"])
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
