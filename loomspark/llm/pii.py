@@ -19,12 +19,16 @@ ROUNDS = 8
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 
 # Fixed forms.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# (lengths as in the standards of mail and of domain names; the repeats are bounded or possessive, so that no text can exhaust the stack)
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,254}+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<![\d.])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
-CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d)"
+# a whole run of digits with single separators, however long; _pieces finds the cards in it
+CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,}+"
+# how a card starts that stands in a run with other numbers: prefixes that issuers have
+ISSUER = r"^(?:4|5[1-5]|2[2-7]|3[0-9]|6[0245])"
 PATTERN = "|".join((EMAIL, IP, DATE, SSN, PHONE, CARD))
 FIRST_DAY = "1900-01-01"
 DAYS = (319, 229)  # 1900-01-01 to 2099-12-31 is 319 * 229 days
@@ -53,6 +57,76 @@ def _luhn_sum(d: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(d) - 1), F.lit(0), add)
 
 
+def _bound(value: Column, fn) -> Column:
+    """fn(value) with value computed once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _is_card(d: Column) -> Column:
+    return F.length(d).between(13, 19) & (_luhn_sum(d) % 10 == 0)
+
+
+def _cards_at(groups: Column) -> Column:
+    """For each group of digits the number of groups of the card that starts there: 1 (undivided), 4 (4-4-4-4), 3 (4-6-5), 0 (none)."""
+
+    def start(g: Column, i: Column) -> Column:
+        long = lambda k: F.coalesce(F.length(F.get(groups, i + k)), F.lit(0))
+        joined = lambda n: F.array_join(F.slice(groups, i + 1, F.lit(n)), "")
+        four = (long(0) == 4) & g.rlike(ISSUER)
+        return (
+            F.when(long(0).between(13, 19) & g.rlike(ISSUER), F.when(_is_card(g), 1).otherwise(0))
+            .when(four & (long(1) == 4) & (long(2) == 4) & (long(3) == 4), F.when(_is_card(joined(4)), 4).otherwise(0))
+            .when(four & (long(1) == 6) & (long(2) == 5), F.when(_is_card(joined(3)), 3).otherwise(0))
+            .otherwise(0)
+        )
+
+    return F.transform(groups, start)
+
+
+def _cut(m: Column) -> Column:
+    """A run of digit groups as pieces that are cards, other candidates, and what lies between; the first cards that don't overlap."""
+    span = "struct<at:int,n:int>"
+
+    def with_cards(groups: Column) -> Column:
+        def chosen(counts: Column) -> Column:
+            def take(s: Column, i: Column) -> Column:
+                n = F.get(counts, i)
+                here = (n > 0) & (i >= s["next"])
+                one = F.array(F.struct(i.cast("int").alias("at"), n.cast("int").alias("n")))
+                return F.struct(F.when(here, F.concat(s["out"], one)).otherwise(s["out"]).alias("out"), F.when(here, i + n).otherwise(s["next"]).alias("next"))
+
+            zero = F.struct(F.expr(f"cast(array() as array<{span}>)").alias("out"), F.lit(0).alias("next"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(counts) - 1), zero, take, lambda s: s["out"])
+
+        tokens = F.flatten(F.zip_with(groups, F.regexp_extract_all(m, F.lit("[ -]"), F.lit(0)), lambda a, b: F.array(a, F.coalesce(b, F.lit("")))))
+        text = lambda ts, a, b: F.array_join(F.slice(ts, a + 1, F.greatest(b - a, F.lit(0))), "")
+
+        def around(ts: Column, spans: Column) -> Column:
+            def both(x: Column, j: Column) -> Column:
+                before = F.when(j == 0, F.lit(0)).otherwise(2 * (F.get(spans, j - 1)["at"] + F.get(spans, j - 1)["n"]) - 1)
+                return F.concat(_others(text(ts, before, 2 * x["at"])), F.array(text(ts, 2 * x["at"], 2 * (x["at"] + x["n"]) - 1)))
+
+            last = F.element_at(spans, -1)
+            return F.concat(F.flatten(F.transform(spans, both)), _others(text(ts, 2 * (last["at"] + last["n"]) - 1, F.size(ts))))
+
+        return _bound(_cards_at(groups), lambda counts: _bound(chosen(counts), lambda spans: F.when(F.size(spans) == 0, _others(m)).otherwise(_bound(tokens, lambda ts: around(ts, spans)))))
+
+    return _bound(F.split(m, "[ -]"), with_cards)
+
+
+def _others(rest: Column) -> Column:
+    """Text of a run outside its cards, cut at candidates of other forms; a rest of 13 to 19 digits may still be a card of no known issuer."""
+    pattern = "|".join((DATE, SSN, PHONE))
+    parts = F.zip_with(F.split(rest, pattern, -1), F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))
+    return F.filter(F.flatten(parts), lambda x: x != "")
+
+
+def _pieces(m: Column) -> Column:
+    """A candidate as pieces that are candidates each; a run of digits that is no card as a whole is cut."""
+    run = m.rlike("^[0-9][0-9 -]*$") & (F.length(_digits(m)) >= 13)
+    return F.when(run & ~_is_card(_digits(m)), _cut(m)).otherwise(F.array(m))
+
+
 def _form(m: Column) -> Column:
     """Digits and fields of a candidate and the first form that it has, valid or not."""
     d = _digits(m)
@@ -218,14 +292,18 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     k = F.lit(key)
     docs = docs.drop("pii")
     found = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    # the pieces are read twice: as a column of their own they are made once
+    docs = docs.withColumn("pii", F.transform(found, _pieces))
+    # what lies before each piece: the text between candidates, nothing inside a candidate
+    gaps = F.zip_with(F.split("text", PATTERN, -1), F.col("pii"), lambda gap, ps: F.transform(F.coalesce(ps, F.array(F.lit(""))), lambda p, i: F.when(i == 0, gap).otherwise("")))
+    done = F.flatten("pii")
     # small steps, each over the fields of the one before, keep the expressions small
     for step in (_form, _dates, _valid, _parts, lambda x: _permuted(x, k), _new_digits, lambda x: _rendered(x, k)):
-        found = F.transform(found, _unary(step))
-    named = docs.withColumn("pii", found)
-    # what lies between the candidates, with the candidates' pseudonyms put back
-    put = F.array_join(F.zip_with(F.split("text", PATTERN, -1), F.col("pii"), lambda a, b: F.concat(a, F.coalesce(b["pseudonym"], F.lit("")))), "")
-    named = named.withColumn("text", F.when(F.size("pii") > 0, put).otherwise(F.col("text")))
-    none = F.filter("pii", lambda x: x["kind"].isNotNull())
+        done = F.transform(done, _unary(step))
+    named = docs.withColumn("pii", F.struct(done.alias("done"), F.flatten(gaps).alias("gaps")))
+    put = F.array_join(F.zip_with("pii.gaps", "pii.done", lambda a, b: F.concat(a, F.coalesce(b["pseudonym"], F.lit("")))), "")
+    named = named.withColumn("text", F.when(F.size("pii.done") > 0, put).otherwise(F.col("text")))
+    none = F.filter("pii.done", lambda x: x["kind"].isNotNull())
     return named.withColumn("pii", F.coalesce(none, F.expr("cast(array() as array<struct<kind:string,value:string,pseudonym:string>>)")))
 
 

@@ -56,6 +56,15 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_hot_and_many_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_DOCS", 9)
+    a, b, c = ("line %s, long enough to be counted as one of the common" % x for x in "abc")
+    rows = [(i, "\n".join([f"own {i}", a, *([b] if i % 2 else []), *([c] if i < 6 else []), a])) for i in range(14)]
+    rows += [(50 + i, "\n".join(["short"] * 60_000 + [a] * 5000)) for i in range(2)] + [(60, a)]
+    got = line_dedup.dedup_lines(docs(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == brute_lines(rows)
+
+
 # ---- packing
 
 
@@ -241,8 +250,11 @@ def test_pii(spark):
     assert list(maps) == values and {p.value: p.pseudonym for p in by[1].pii} == maps and by[None].text == maps[values[0]]
     assert by[0].text == " ; ".join(maps[v] for v in values) and by[2].text == rows[2][1] and by[2].pii == [] and by[3].text is None and by[3].pii == []
     assert by[5].text.endswith(maps[values[5]])
+    shape = lambda x: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "0", x)))
     for v, p in maps.items():
-        assert v != p and re.sub(r"\d", "0", v.partition("@")[0] if "@" in v else "").replace("x", "") is not None
+        assert v != p
+        if "." not in v or "@" in v:  # octets may get longer, dates and octets are looked at below
+            assert shape(v.partition("@")[0]) == shape(p.partition("@")[0]) and v.partition("@")[2] == p.partition("@")[2]
     for v in (values[5], values[6], values[7]):
         assert luhn(re.sub(r"\D", "", maps[v])) and re.sub(r"\d", "0", maps[v]) == re.sub(r"\d", "0", v)
     assert all(0 <= int(x) <= 255 for x in maps["19.219.200.159"].split("."))
@@ -261,6 +273,135 @@ def test_pii_is_a_permutation(spark):
         assert len(again.pii) == len(want)  # pseudonyms are valid values themselves
 
 
+def brute_pii(text, key=pii.DEMO_KEY):
+    """Pseudonyms one value at a time, in plain Python."""
+    digits = lambda m: re.sub(r"\D", "", m)
+    card = lambda d: 13 <= len(d) <= 19 and luhn(d)
+
+    def mac(kind, tweak, i, value, size):
+        return int(hashlib.sha256(f"{key}|{kind}|{tweak}|{i}|{value}".encode()).hexdigest()[:14], 16) % size
+
+    def net(kind, tweak, l, r, a, b):
+        for i in range(8):
+            l, r = ((l + mac(kind, tweak, i, r, a)) % a, r) if i % 2 == 0 else (l, (r + mac(kind, tweak, i, l, b)) % b)
+        return l, r
+
+    def fill(m, new):
+        new = iter(new)
+        return re.sub(r"\d", lambda _: next(new), m)
+
+    def one_card(m):
+        d = digits(m)
+        h, n = (len(d) - 2) // 2, len(d)
+        l, r = net("card", d[0] + str(n), int(d[1 : 1 + h]), int(d[1 + h : -1]), 10**h, 10 ** (n - 2 - h))
+        new = d[0] + str(l).zfill(h) + str(r).zfill(n - 2 - h)
+        return fill(m, new + next(c for c in "0123456789" if luhn(new + c)))
+
+    def one_day(m):
+        a, b, c = map(int, re.split("[-/.]", m))
+        tries = [("ymd", a, b, c)] if re.match(r"\d{4}", m) else ([] if "." in m else [("mdy", c, a, b)]) + [("dmy", c, b, a)]
+        for order, y, mo, d in tries:
+            try:
+                day = (datetime.date(y, mo, d) - datetime.date(1900, 1, 1)).days
+            except ValueError:
+                continue
+            if not 0 <= day < 319 * 229:
+                return m
+            l, r = net("date", order, day // 229, day % 229, 319, 229)
+            new = datetime.date(1900, 1, 1) + datetime.timedelta(l * 229 + r)
+            parts, w = {"y": f"{new.year}", "m": new.month, "d": new.day}, re.split("[-/.]", m)
+            return re.search("[-/.]", m)[0].join(str(parts[o]).zfill(1 if o == "y" else 2 if len(x) > 1 else 1) for o, x in zip(order, w))
+        return m
+
+    def one(m):
+        full = lambda p: re.fullmatch(p, m, re.A)
+        d = digits(m)
+        if "@" in m:
+            local, domain = m.split("@")
+            h = len(local) // 2
+            l, r = local[:h], local[h:]
+
+            def shift(t, s):
+                turn = lambda c, low, n, k: chr(low + (ord(c) - low + k) % n)
+                ks = [int(s[2 * i % 62 : 2 * i % 62 + 2], 16) for i in range(len(t))]
+                return "".join(turn(c, 48, 10, k) if c.isdigit() else turn(c, 97, 26, k) if c.islower() else turn(c, 65, 26, k) if c.isupper() else c for c, k in zip(t, ks))
+
+            for i in range(8):
+                s = hashlib.sha256(f"{key}|email|{i}|{r if i % 2 == 0 else l}".encode()).hexdigest()
+                l, r = (shift(l, s), r) if i % 2 == 0 else (l, shift(r, s))
+            return l + r + "@" + domain
+        if full(pii.IP):
+            o = [int(x) for x in m.split(".")]
+            if max(o) > 255:
+                return m
+            l, r = net("ip", "", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+            return ".".join(map(str, (l >> 8, l & 255, r >> 8, r & 255)))
+        if full(pii.DATE):
+            return one_day(m)
+        if full(pii.SSN):
+            a, g, s = int(d[:3]), int(d[3:5]), int(d[5:])
+            if not (1 <= a <= 899 and a != 666 and g and s):
+                return m
+            l, r = net("ssn", "", a - (2 if a > 666 else 1), (g - 1) * 9999 + s - 1, 898, 99 * 9999)
+            return fill(m, f"{l + (2 if l >= 665 else 1):03d}{r // 9999 + 1:02d}{r % 9999 + 1:04d}")
+        if full(pii.PHONE):
+            a = int(d[-10:-7])
+            low, size, tag = (200, 800, ":") if a >= 200 else (0, 200, ":0")
+            l, r = net("phone", d[:-10] + tag, a - low, int(d[-7:]), size, 10**7)
+            return fill(m, d[:-10] + f"{l + low:03d}{r:07d}")
+        return one_card(m) if card(d) else m
+
+    def run(m):
+        if not re.fullmatch("[0-9][0-9 -]*", m) or len(digits(m)) < 13 or card(digits(m)):
+            return one(m)
+        groups = [(x.start(), x.end()) for x in re.finditer(r"[0-9]+", m)]
+        out, rest, i = [], 0, 0
+
+        def other(t):
+            found = list(re.finditer("|".join((pii.DATE, pii.SSN, pii.PHONE)), t, re.A))
+            edges = [0, *(e for x in found for e in x.span()), len(t)]
+            return "".join(one(t[a:b]) for a, b in zip(edges, edges[1:]))
+
+        while i < len(groups):
+            sizes = [b - a for a, b in groups[i : i + 4]]
+            n = 0
+            if re.match(pii.ISSUER, m[groups[i][0] :]):
+                n = 1 if 13 <= sizes[0] <= 19 else 4 if sizes == [4] * 4 else 3 if sizes[:3] == [4, 6, 5] else 0
+            if n and card(digits(m[groups[i][0] : groups[i + n - 1][1]])):
+                a, b = groups[i][0], groups[i + n - 1][1]
+                out += [other(m[rest:a]), one_card(m[a:b])]
+                rest, i = b, i + n
+            else:
+                i += 1
+        return "".join(out) + other(m[rest:])
+
+    return None if text is None else re.sub(pii.PATTERN, lambda m: run(m[0]), text, flags=re.A)
+
+
+def test_pii_brute(spark):
+    rng = random.Random(8)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def a_card():
+        n = rng.choice([13, 15, 16, 16, 16, 19])
+        d = rng.choice(["4", "51", "37", "6011", "9"]) + number(n)
+        d = next(d[: n - 1] + c for c in "0123456789" if luhn(d[: n - 1] + c))
+        sep = rng.choice(["", " ", "-"])
+        return sep.join((d[:4], d[4:10], d[10:]) if n == 15 else [d[i : i + 4] for i in range(0, n, 4)])
+
+    makers = [
+        a_card, a_card, lambda: number(rng.randint(1, 20)), lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{rng.randint(1, 31)}.{rng.randint(1, 13)}.{rng.randint(1890, 2110)}",
+        lambda: f"{rng.randint(1, 13)}/{rng.randint(1, 31)}/{rng.randint(1899, 2101)}", lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: f"{rng.choice(['', '+1 ', '+49-'])}{number(3)}-{number(3)} {number(4)}", lambda: f"({number(3)}) {number(3)}-{number(4)}",
+        lambda: ".".join(str(rng.randint(0, 270)) for _ in range(4)), lambda: f"Jo.{number(2)}_x@mail-{number(1)}.example.co{rng.choice(['m', '.1', '', '.uk-'])}", lambda: rng.choice(["a@", "@b.com", "é", "word", "x" * 300 + "@y.org"]),
+    ]
+    texts = ["".join(rng.choice(makers)() + rng.choice([" ", " ", "-", ", ", "\n", "/", "é "]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    texts += [None, "", "4111 1111 1111 1111 123", "4111111111111111 12/27", "4111-1111-1111-1111 5/29", "2024 4111 1111 1111 1111 123 and 202-555-0173", "a@" + "b1." * 200_000, "7" * 500_000, "12 " * 20_000]
+    got = pii.pseudonymise(docs(spark, list(enumerate(texts)))).collect()
+    for r in got:
+        assert r.text == brute_pii(texts[r.doc_id]), texts[r.doc_id][:200]
+    assert sum(len(r.pii) for r in got) > 800
+
+
 # ---- n-gram join
 
 
@@ -350,6 +491,47 @@ def test_language_id(spark):
     assert langid.fit(docs(spark, [], DOCS)) == {} and langid.identify(docs(spark, []), models).count() == 0
 
 
+def test_language_letters(spark):
+    models = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = [(i, t) for i, t in enumerate(["½ ² ③ Ⅷ 〇 ٣", "a½", "ª", "中"])]
+    got = {r.doc_id: r for r in langid.identify(docs(spark, rows), models).collect()}
+    assert got[0].lang_pred == "und" and got[0].lang_score == 0 and "und" not in {got[i].lang_pred for i in (1, 2, 3)}
+
+
+def test_kneser_ney_brute():
+    """Probabilities from plain dictionaries of counts."""
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdé", k=rng.randint(1, 7))) for _ in range(300)]
+    counts = Counter(words)
+    scorer = langid.Scorer({"x": {"orders": langid.train(counts), "stats": (0, 0, 0)}})
+    n, pad = langid.ORDER, "\x01" * (langid.ORDER - 1)
+    grams = [Counter() for _ in range(n + 1)]
+    for w, c in counts.items():
+        t = pad + w + "\x02"
+        for i in range(n - 1, len(t)):
+            grams[n][t[i - n + 1 : i + 1]] += c
+    for k in range(n - 1, 0, -1):  # how many different characters stand before
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    discount = [0.0]
+    for k in range(1, n + 1):
+        one, two = (sum(v == x for v in grams[k].values()) for x in (1, 2))
+        discount.append(min(0.95, max(0.1, one / (one + 2 * two) if one else 0.5)))
+
+    def p(context, c):
+        out = scorer.floor
+        for k in range(1, n + 1):
+            own = {g: v for g, v in grams[k].items() if g[:-1] == context[len(context) - k + 1 :]}
+            total = sum(own.values())
+            if total:
+                out = max(own.get(context[len(context) - k + 1 :] + c, 0) - discount[k], 0) / total + discount[k] * len(own) / total * out
+        return out
+
+    for w in [*words[:20], "zzz", "abzcd", "é"]:
+        t = pad + w + "\x02"
+        want = -sum(np.log2(p(t[i - n + 1 : i], t[i])) for i in range(n - 1, len(t)))
+        assert scorer.score([w])[0, 0] == pytest.approx(want, rel=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     model = langid.train(Counter({"abab": 5, "abc": 3, "cab": 1, "b": 2}))
     scorer = langid.Scorer({"x": {"orders": model, "stats": (0, 0, 0)}})
