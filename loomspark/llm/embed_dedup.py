@@ -1,12 +1,15 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 Every vector is described by its few nearest reference points (pivots) in order.
-Inverted lists hold, for each pivot, the vectors that name it; two vectors of one
-list that share enough pivots are verified by cosine in double precision.  Exact
-copies are one entry with a count.  A list longer than a block is cut into pairs of
-blocks, so no list is capped and none lands in one task.  Pairs are never written:
-a block gives, per vector, how many others it links with and one link towards the
-smallest member of its part, which is what counts and components need.
+Vectors must share two pivots to be compared, so there is an inverted list for each
+pair of pivots, with the ids of the vectors that name both: the shared count is known
+before a vector is fetched.  With pivots growing as the square root of the vectors,
+pairs of pivots grow as the vectors do and lists stay short.  Vectors are fetched for
+lists of two or more and verified by cosine in double precision.  Exact copies are one
+entry with a count.  A list longer than a block is cut into pairs of blocks, so no
+list is capped and none lands in one task.  Pairs are never written: a block gives,
+per vector, how many others it links with and one link towards the smallest member of
+its part, which is what counts and components need.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ COSINE = 0.98
 PIVOTS = (32, 4096)
 #: Pivots closer than this are one: a crowd of near copies must not fill its own descriptions.
 PIVOT_COSINE = 0.8
-PREFIX = 10
-SHARED = 2
+#: Nearest pivots that describe a vector: 15 lists each.
+PREFIX = 6
 BLOCK = 512
 
 
@@ -43,7 +46,7 @@ def spread(v: np.ndarray, most: int) -> np.ndarray:
     return kept
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, prefix: int = PREFIX) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of rows (vec_id, embedding, label).
 
     Only rows with the same non-null label and the same vector length are compared.
@@ -75,8 +78,12 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, prefix: int = PREFI
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.select("label", "rep", "embedding", "n").schema.fields)
     described = save(map_arrow(classes.select("label", "rep", "embedding", "n"), describe, schema + ", pivots array<int>"), "described")
-    key = ["label", "dim", "pivot"]
-    lists = described.select("label", F.size("embedding").alias("dim"), F.explode("pivots").alias("pivot"), "rep")
+    key = ["label", "dim", "p", "q"]
+    named = F.array_sort("pivots")
+    couples = F.flatten(F.transform(named, lambda p, i: F.transform(F.slice(named, i + 2, F.size(named)), lambda q: F.struct(p.alias("p"), q.alias("q")))))
+    # where there is a single pivot, its list holds all
+    couples = F.when(F.size("pivots") > 1, couples).otherwise(F.transform(named, lambda p: F.struct(p.alias("p"), p.alias("q"))))
+    lists = described.select("label", F.size("embedding").alias("dim"), "rep", F.explode(couples).alias("c")).select("label", "dim", "c.p", "c.q", "rep")
     sizes = lists.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     # number of blocks, the block of the vector and the pairs of blocks that it takes part in
     placed = lists.join(sizes.select(*key, F.ceil(F.col("size") / BLOCK).cast("int").alias("nb")), key)
@@ -86,14 +93,12 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, prefix: int = PREFI
     tiles = placed.join(described.drop("label"), "rep")
 
     def meet(group, table: pa.Table) -> pa.Table:
-        pivot, ti, tj = group[2:]
+        p, q, ti, tj = group[2:]
         rep, n, blk = (table.column(c).to_numpy() for c in ("rep", "n", "blk"))
         v, x = _unit(matrix(table.column("embedding"))), matrix(table.column("pivots"), np.int64)
         order = np.argsort(rep, kind="stable")
         rep, n, blk, v, x = rep[order], n[order], blk[order], v[order], x[order]
-        has = np.zeros((len(x), int(x.max()) + 1), np.float32)
-        np.put_along_axis(has, x, 1, axis=1)
-        link = (v @ v.T >= cosine) & (has @ has.T >= min(shared, x.shape[1]))
+        link = v @ v.T >= cosine
         np.fill_diagonal(link, False)
         if ti != tj:
             link &= blk[:, None] != blk[None, :]
@@ -104,9 +109,13 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, prefix: int = PREFI
             if (new == label).all():
                 break
             label = new
-        # a pair counts in the list of its smallest shared pivot only
-        common = has[:, :pivot]
-        link &= common @ common.T == 0
+        # a pair counts in the list of its two smallest shared pivots only: no other shared one below q
+        at, other = np.nonzero((x < q) & (x != p))
+        if len(at):
+            seen, column = np.unique(x[at, other], return_inverse=True)
+            has = np.zeros((len(x), len(seen)), np.float32)
+            has[at, column] = 1
+            link &= has @ has.T == 0
         links = link @ n
         use = (links > 0) | (label != np.arange(len(rep)))
         return pa.table({"rep": rep[use], "links": links[use].astype(np.int64), "root": rep[label][use]})

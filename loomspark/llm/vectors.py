@@ -30,6 +30,14 @@ def matrix(col: pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
 
 
 def sample(distinct: DataFrame, n: int) -> DataFrame:
-    """n rows of distinct vectors for each length, by hash of their key: the same rows at every run."""
-    w = Window.partitionBy(F.size("embedding")).orderBy(F.xxhash64("h1", "h2"), "h1", "h2")
-    return distinct.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
+    """n rows of distinct vectors for each length, by hash of their key: the same rows at every run.
+
+    Rows are taken by a limit of their hash that follows from the number of vectors, so
+    the task that ranks a length sees about 2 n rows however large the table is.
+    """
+    size, place = F.size("embedding"), F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 40))
+    counts = distinct.groupBy(size.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
+    limits = distinct.sparkSession.createDataFrame([(r["d"], int(min(1.0, (2 * n + 100) / r["n"]) * (1 << 40))) for r in counts], "d int, upto long")
+    near = distinct.join(F.broadcast(limits), size == F.col("d")).where(place < F.col("upto")).drop("d", "upto")
+    w = Window.partitionBy(size).orderBy(place, "h1", "h2")
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")

@@ -91,3 +91,27 @@ def test_embedding_dedup(spark):
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embed_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_embedding_dedup_recall_at_the_threshold(spark):
+    """Pairs barely above the cosine among vectors that are not near: the hardest to find."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    v = unit(rng.normal(size=(3000, 24)))
+    u = rng.normal(size=(1000, 24))
+    u = unit(u - np.sum(u * v[:1000], axis=1, keepdims=True) * v[:1000])
+    near = 0.9802 * v[:1000] + np.sqrt(1 - 0.9802**2) * u
+    rows = [(i, e.tolist(), 1) for i, e in enumerate(np.concatenate([v, near]))]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    ends = sum(r.n_links for r in got)
+    assert 0.99 * 2000 <= ends <= 2000 and all(r.component_id == r.vec_id % 3000 or r.n_links == 0 for r in got)
+
+
+def test_sample_is_the_same_and_bounded(spark):
+    from loomspark.llm.vectors import keyed, sample
+
+    df = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float") + 1, F.lit(1.0).cast("float")).alias("embedding"))
+    rows = keyed(df)
+    first = {r.vec_id for r in sample(rows, 100).collect()}
+    assert len(first) == 100 and first == {r.vec_id for r in sample(rows.repartition(7), 100).collect()}
+    assert sample(rows, 10_000).count() == 5000
