@@ -464,6 +464,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     raw = save(map_arrow(texts, again, "rep long, cls long, n long, batch long, tokens binary"), "raw")
     sets = save(ordered_by_count(raw, ranges_of(docs)), "sets")
     delete(raw)
+    release(spark)
 
     # 3: groups of equal min-hash, in blocks
     mins = sets.select("cls", F.posexplode("mins").alias("perm", "value"))
@@ -472,7 +473,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     meet = at.join(sets.select("cls", "rep", "tokens"), "cls").select("perm", "value", "blk", "rep", "tokens")
     first = map_groups(meet, ["perm", "value", "blk"], lambda _, t: _joined(t, False), "src long, dst long")
     first = save(first.distinct(), "first")
-    parts = save(components(first), "parts").withColumnRenamed("node", "rep")
+    parts = components(first).withColumnRenamed("node", "rep")
+    delete(first)
 
     # 4: prefix shingles that still join two components, one for each list of documents
     labelled = sets.join(parts, "rep", "left").select("rep", "cls", "head", F.coalesce("component", "rep").alias("comp"))

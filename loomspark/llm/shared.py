@@ -21,17 +21,20 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_SAVED: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the session names none (tests on one machine), one temporary folder is
-    set for the application.
+    Where the session names none and runs on one machine (tests), one temporary
+    folder is set for the application; on a cluster that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _LOCAL_DIRS.get(sc.applicationId)
         if base is None:
             base = _LOCAL_DIRS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomspark-")
@@ -40,11 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here and survives lost executors."""
+    """Write df to the shared folder and read it again: lineage ends here and survives lost executors.
+
+    The table stays until delete() or clean(): a result that is read later may need it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_dir(spark)
+    _SAVED.setdefault(spark.sparkContext.applicationId, set()).add(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table that this application saved; call it when the results have been written."""
+    for folder in _SAVED.pop(spark.sparkContext.applicationId, set()):
+        _remove(spark, folder)
 
 
 def release(spark: SparkSession) -> None:
@@ -53,13 +71,12 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def delete(df: DataFrame) -> None:
-    """Delete a table of save() that has served; the caller holds what was made of it in another table."""
-    spark = df.sparkSession
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    release(spark)
+def delete(*tables: DataFrame) -> None:
+    """Delete tables of save() that have served; the caller holds what was made of them in other tables."""
+    for df in tables:
+        for folder in {p.rsplit("/", 2)[0] for p in df.inputFiles()}:
+            _remove(df.sparkSession, folder)
+            _SAVED.get(df.sparkSession.sparkContext.applicationId, set()).discard(folder)
 
 
 def ship(spark: SparkSession) -> None:
@@ -79,7 +96,12 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """df.mapInArrow(fn, schema) with this package at hand in the tasks."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()  # workers are used again: they keep no more than they need
+
+    return df.mapInArrow(run, schema)
 
 
 def fold_ascii(text):
@@ -176,6 +198,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         jumped = near.join(up, "m", "left").select("a", "old", F.least("m", F.coalesce("mm", "m")).alias("m"))
         nxt = save(jumped, "labels")
         moved = nxt.where("m < old").limit(1).count()
+        delete(state)
         state = nxt.select("a", "m")
         if not moved:
+            delete(e)
             return state.select(F.col("a").alias("node"), F.col("m").alias("component"))
