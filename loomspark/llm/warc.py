@@ -23,6 +23,8 @@ from loomspark.llm.shared import map_arrow, save, shared_dir
 
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 1 << 30
+#: Revisits up to this many (24 bytes each) are broadcast to the pages; more are joined by shuffle.
+BROADCAST_REVISITS = 500_000
 CHUNK = 1 << 16
 
 # Fixed values of the WARC 1.1 format.
@@ -44,13 +46,16 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     that share the smallest page_id are all responses; a null page_id comes after
     all others and revisits if any other has its payload.
     """
+    key = lambda c: F.xxhash64(c)
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     sums = base.where(F.octet_length("html") >= min_bytes).select("page_id", F.sha2("html", 256).alias("digest"))
     firsts = sums.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null")
     revisits = sums.join(firsts.drop("n"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
-    revisits = revisits.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("first").alias("refers_to")).distinct()
+    revisits = save(revisits.select(F.col("page_id").alias("r_id"), "digest", F.col("first").alias("refers_to")).distinct().select("r_id", key("digest").alias("r_key"), "refers_to"), "revisits")
+    # three numbers a row: few enough to broadcast, the pages' text isn't shuffled
+    hint = F.broadcast if revisits.count() <= BROADCAST_REVISITS else (lambda d: d)
     base = base.withColumn("digest", F.sha2("html", 256))
-    return base.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").drop("r_id", "r_digest")
+    return base.join(hint(revisits), F.col("page_id").eqNullSafe(F.col("r_id")) & (key("digest") == F.col("r_key")), "left").drop("r_id", "r_key")
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
@@ -236,10 +241,24 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     return map_arrow(manifest.select("path").repartition(n, "path"), run, schema)
 
 
+def check_revisits(records: DataFrame) -> None:
+    """Raise an error if a revisit names no response with its payload's digest and length.
+
+    Claims are made distinct first, so a response with many revisits is one row.
+    """
+    same = ["page_id", "payload_digest", "payload_bytes"]
+    claims = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *same[1:]).distinct()
+    bad = claims.join(records.where("record_type = 'response'").select(*same), same, "left_anti").limit(1).collect()
+    if bad:
+        raise ValueError(f"a revisit refers to page {bad[0]['page_id']}, which has no response of {bad[0]['payload_bytes']} bytes with digest {bad[0]['payload_digest']}")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     manifest = write_archives(mark_revisits(pages), shared_dir(spark))
-    return read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    records = save(read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"), "records")
+    check_revisits(records)
+    return records
 
 
 ORACLE = f"""
