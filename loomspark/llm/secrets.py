@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import re
 import zlib
@@ -243,11 +244,12 @@ def _opened(layer: Layer, data: bytes, at: np.ndarray) -> Iterator[tuple[Layer,
 
 def base64_layers(layer: Layer) -> Iterator[tuple[Layer, bool]]:
     """Layers of each base64 run, also of runs wrapped over lines, that hold readable or compressed text."""
-    done = []
+    done: list[tuple[int, int]] = []  # by start: wrapped runs come first and in order
     runs = chain(_WRAPPED.finditer(layer.text), _BASE64.finditer(layer.text))
     for m in runs:
         lines = [(x.start(), x.end()) for x in _ALPHABET.finditer(layer.text, m.start(), m.end())]
-        if len(lines) == 1 and any(a <= m.start() < b for a, b in done):
+        before = bisect.bisect_right(done, (m.start(), len(layer.text) + 1))
+        if len(lines) == 1 and before and m.start() < done[before - 1][1]:
             continue
         core = "".join(layer.text[a:b] for a, b in lines)
         at = np.concatenate([np.arange(a, b) for a, b in lines])
