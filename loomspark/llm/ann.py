@@ -44,7 +44,7 @@ BOUND_SHARE = 16
 WIDER = 4.0
 TABLES = 4
 #: (projections a table, cell width in standard deviations, most probes a table), finest first.
-SHAPES = ((10, 2.0, 160), (8, 1.8, 160), (6, 1.6, 160), (4, 1.4, 81), (3, 1.6, 27))
+SHAPES = ((16, 2.4, 160), (14, 2.2, 160), (12, 2.1, 160), (10, 2.0, 160), (8, 1.8, 160), (6, 1.6, 160), (4, 1.4, 81), (3, 1.6, 27))
 #: Points and queries of a bucket that meet in one call.
 BLOCK = 1024
 #: Bucket counts up to this many rows are broadcast; more are joined by shuffle.
@@ -192,12 +192,13 @@ def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
 
     rows: vec_id, embedding.  Ties go to the smaller vec_id.  Null, zero and
     non-finite vectors take no part, neither do rows with a null vec_id; vectors of
-    different lengths never meet.  Every query has k answers, or all there are.  Rows that repeat a vec_id are candidates each for
-    itself, but none is an answer to its own id.
+    different lengths never meet.  Every query has k answers, or all there are.  Rows
+    that repeat a vec_id with its vector are one candidate; with other vectors they are
+    candidates each for itself, but none is an answer to its own id.
     """
     spark = rows.sparkSession
     all_rows = save(keyed(rows.where("vec_id is not null")).withColumn("ask", F.coalesce(is_query, F.lit(False))), "vectors")
-    distinct = save(all_rows.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.max("ask").alias("ask"), F.count(F.lit(1)).alias("copies")), "distinct")
+    distinct = save(all_rows.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.max("ask").alias("ask"), F.count_distinct("vec_id").alias("copies")), "distinct")
     shapes = {r["d"]: (r["n"], r["m"], r["rows"]) for r in distinct.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"), F.max(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("m")).collect()}
     fitted = {}
     picked: dict[int, list] = {}
@@ -248,7 +249,7 @@ def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
         points = distinct.where(F.size("embedding").isin(lengths)).drop("ask").join(asking, "rep", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
         best = save(_best(best.unionByName(met(points, round_)), k), "best")
     # the smallest ids of each class of copies are all that can be among the k nearest
-    ids = all_rows.join(distinct.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "vec_id", "ask")
+    ids = all_rows.join(distinct.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "vec_id", "ask").distinct()
     by_id = Window.partitionBy("rep").orderBy("vec_id")
     members = ids.select("rep", "vec_id").withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).groupBy("rep").agg(F.collect_list("vec_id").alias("ids"))
     lists = save(_listed(best, members, k), "lists")
