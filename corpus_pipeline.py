@@ -57,7 +57,7 @@ STAGES = [
     ("pack", packed),
 ]
 
-#: Language models and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: Language models and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
