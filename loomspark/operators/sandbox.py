@@ -46,27 +46,76 @@ def single_select(sql: str, require_order: bool = False) -> str:
     return text
 
 
-def _sources(plan) -> Iterable[str]:
-    """Names of tables that a parsed plan reads, and of its common table expressions after a minus."""
-    name = plan.nodeName()
-    if name == "UnresolvedRelation":
-        yield plan.tableName()
-    if name == "UnresolvedWith":
-        ctes = plan.cteRelations()
-        for i in range(ctes.size()):
-            pair = ctes.apply(i)
-            yield "-" + pair._1()
-            yield from _sources(pair._2())
-    for group in (plan.children(), plan.subqueries()):
-        for i in range(group.size()):
-            yield from _sources(group.apply(i))
+# What a statement may be made of, by the names that Spark's parser gives plan nodes, and the functions it may call.
+NODES = frozenset(
+    """Project Filter Join Aggregate Sort Distinct Union Intersect Except GlobalLimit LocalLimit Offset SubqueryAlias OneRowRelation
+    WithWindowDefinition Pivot Unpivot LateralJoin UnresolvedRelation UnresolvedWith UnresolvedHaving UnresolvedInlineTable LocalRelation
+    UnresolvedSubqueryColumnAliases UnresolvedHint UnresolvedOrderBy""".split()
+)
+FUNCTIONS = frozenset(
+    """abs acos add_months approx_count_distinct array array_agg array_contains array_distinct array_join array_max array_min array_position
+    array_size array_sort arrays_zip ascii asin atan atan2 avg base64 bigint bit_and bit_or bit_xor bool_and bool_or boolean btrim
+    cardinality ceil ceiling char char_length character_length chr coalesce collect_list collect_set concat concat_ws contains corr cos
+    count count_if crc32 cume_dist current_date current_timestamp date date_add date_diff date_format date_part date_sub date_trunc
+    datediff day dayofmonth dayofweek dayofyear dense_rank double element_at endswith every exists exp extract filter find_in_set first
+    first_value flatten float floor forall format_number format_string from_json from_unixtime get get_json_object greatest grouping
+    grouping_id hash hex hour if ifnull ilike initcap instr int isnan isnotnull isnull json_array_length json_object_keys json_tuple kurtosis
+    lag last last_day last_value lcase lead least left len length like listagg ln locate log log10 log2 lower lpad ltrim make_date map
+    map_keys map_values max max_by md5 mean median min min_by minute mod month months_between named_struct next_day nth_value ntile
+    nullif nvl nvl2 octet_length overlay parse_json percent_rank percentile percentile_approx percentile_cont pmod position pow power quarter
+    rank regexp_count regexp_extract regexp_extract_all regexp_instr regexp_like regexp_replace regexp_substr repeat replace reverse
+    right rint rlike round row_number rpad rtrim schema_of_json second sequence sha1 sha2 sign signum sin size slice some sort_array
+    split split_part sqrt startswith std stddev stddev_pop stddev_samp string string_agg struct substr substring substring_index sum
+    tan timestamp timestampdiff to_char to_date to_json to_timestamp to_unix_timestamp transform translate trim trunc try_add try_avg
+    try_cast try_divide try_element_at try_multiply try_subtract try_sum try_to_number try_to_timestamp typeof ucase unbase64 unhex
+    unix_millis unix_seconds unix_timestamp upper url_decode url_encode var_pop var_samp variance weekday weekofyear width_bucket
+    xxhash64 year zip_with""".split()
+)
+
+
+def _each(seq) -> Iterable:
+    return (seq.apply(i) for i in range(seq.size()))
+
+
+def _functions(expression) -> Iterable[str]:
+    kind = expression.getClass().getSimpleName()
+    if kind == "UnresolvedFunction":
+        yield ".".join(_each(expression.nameParts())).lower()
+    elif kind in ("UnresolvedGenerator", "ScalaUDF", "CallMethodViaReflection"):
+        yield kind
+    for child in _each(expression.children()):
+        yield from _functions(child)
+
+
+def _read(plan, known: frozenset[str], tables: set[str]) -> None:
+    """Adds the tables of a parsed plan; known are the common table expressions that its names may mean."""
+    node = plan.nodeName()
+    if node not in NODES:
+        raise SandboxError(f"not allowed: {node}")
+    if node == "UnresolvedRelation" and (name := plan.tableName().replace("`", "").lower()) not in known:
+        tables.add(name)
+    for expression in _each(plan.expressions()):
+        for name in _functions(expression):
+            if name not in FUNCTIONS:
+                raise SandboxError(f"not allowed: {name}")
+    if node == "UnresolvedWith":
+        if plan.allowRecursion():
+            raise SandboxError("no recursion")
+        for pair in _each(plan.cteRelations()):
+            # a common table expression sees those before it, not itself
+            for child in _each(pair._2().children()):
+                _read(child, known, tables)
+            known = known | {pair._1().lower()}
+    for part in (plan.subqueries(), plan.children()):
+        for child in _each(part):
+            _read(child, known, tables)
 
 
 def tables_read(spark: SparkSession, sql: str) -> set[str]:
-    """Lower-case names of the tables that a statement reads."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    found = {n.replace("`", "").lower() for n in _sources(plan)}
-    return {n for n in found if not n.startswith("-") and f"-{n}" not in found}
+    """Lower-case names of the tables that a statement reads; node kinds and functions outside the lists are refused."""
+    tables: set[str] = set()
+    _read(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset(), tables)
+    return tables
 
 
 @dataclass

@@ -80,6 +80,41 @@ def test_sandbox(spark, db):
         assert r.error and r.rows == [] and r.columns == [] and not r.complete
 
 
+def test_sandbox_bypasses(spark, db):
+    spark.createDataFrame([(1,)], "k int").createOrReplaceTempView("hiddentab")
+    box = Sandbox(spark, db.tables)
+    box.spark.sql("CREATE OR REPLACE TEMPORARY VIEW hiddentab AS SELECT 1 AS k")
+    for bad in (
+        "WITH hiddentab AS (SELECT * FROM hiddentab) SELECT * FROM hiddentab",
+        "WITH q AS (WITH hiddentab AS (SELECT 1) SELECT * FROM hiddentab) SELECT * FROM hiddentab",
+        "SELECT (WITH hiddentab AS (SELECT 1 AS k) SELECT max(k) FROM hiddentab) FROM hiddentab",
+        "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+        "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT title FROM sessions WHERE try_reflect('java.lang.System', 'getProperty', 'user.home') IS NOT NULL",
+        "SELECT * FROM range(3)",
+        "SELECT * FROM sessions, LATERAL explode(array(1, 2))",
+        "SELECT * FROM IDENTIFIER('hiddentab')",
+        "SELECT input_file_name() FROM sessions",
+        "SELECT TRANSFORM(title) USING 'cat' FROM sessions",
+        "SELECT * FROM json.`/etc/passwd`",
+        "SELECT * FROM (TABLE hiddentab)",
+        "SELECT title FROM sessions WHERE EXISTS (SELECT 1 FROM hiddentab)",
+        "SELECT title FROM sessions UNION SELECT k FROM hiddentab",
+    ):
+        r = box.query(bad)
+        assert r.error and r.rows == [], bad
+    for good in (
+        "WITH s AS (SELECT n, title FROM sessions), t AS (SELECT n FROM s) SELECT max(n) AS n FROM t JOIN s USING (n)",
+        "SELECT n, row_number() OVER (ORDER BY n) AS r FROM sessions GROUP BY n HAVING count(*) > 0 ORDER BY n LIMIT 2",
+        "SELECT transform(array(1, 2), x -> x + 1) AS a, CASE WHEN n > 5 THEN upper(title) END AS u FROM sessions WHERE n IN (SELECT k FROM calls) OR EXISTS (SELECT 1 FROM calls)",
+        "SELECT a.title FROM sessions a LEFT JOIN calls c ON a.session_id = c.sid UNION ALL SELECT 'x' ORDER BY 1",
+        "SELECT * FROM VALUES (1, 'a') AS v(k, s)",
+    ):
+        assert box.query(good).error is None, (good, box.query(good).error)
+
+
 def test_sequence(spark):
     t = spark.createDataFrame([("a", i, v) for i, v in enumerate([1, 1, 2, 2, 2, 1])], "k string, i long, v long")
     assert [r.run for r in S.number_runs(t, "k", "i", ["v"]).orderBy("i").collect()] == [1, 1, 2, 2, 2, 3]
