@@ -300,10 +300,14 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     # small steps, each over the fields of the one before, keep the expressions small
     for step in (_form, _dates, _valid, _parts, lambda x: _permuted(x, k), _new_digits, lambda x: _rendered(x, k)):
         done = F.transform(done, _unary(step))
-    named = docs.withColumn("pii", F.struct(done.alias("done"), F.flatten(gaps).alias("gaps")))
-    put = F.array_join(F.zip_with("pii.gaps", "pii.done", lambda a, b: F.concat(a, F.coalesce(b["pseudonym"], F.lit("")))), "")
-    named = named.withColumn("text", F.when(F.size("pii.done") > 0, put).otherwise(F.col("text")))
-    none = F.filter("pii.done", lambda x: x["kind"].isNotNull())
+    # columns again, not fields of one, so that they too are made once
+    between = "between"
+    while between in docs.columns:
+        between += "_"
+    named = docs.withColumns({"pii": done, between: F.when(F.size("pii") > 0, F.flatten(gaps))})
+    put = F.array_join(F.zip_with(between, "pii", lambda a, b: F.concat(a, F.coalesce(b["pseudonym"], F.lit("")))), "")
+    named = named.withColumn("text", F.when(F.size("pii") > 0, put).otherwise(F.col("text"))).drop(between)
+    none = F.filter("pii", lambda x: x["kind"].isNotNull())
     return named.withColumn("pii", F.coalesce(none, F.expr("cast(array() as array<struct<kind:string,value:string,pseudonym:string>>)")))
 
 
