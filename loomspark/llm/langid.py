@@ -42,9 +42,7 @@ REJECT_Z = 6.0
 WORD_MEMORY = 400_000
 UNKNOWN = "und"
 
-# \w without digits and underscore still holds fractions, circled numbers and other numerals: those are no letters
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 _BEGIN, _END = "\x01", "\x02"
 _MIX = [np.uint64(2 * v + 1) for v in np.random.default_rng(20240501).integers(1 << 61, 1 << 62, ORDER)]
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +50,10 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters."""
-    return _LETTERS.findall((text or "").lower())
+    text = (text or "").lower()
+    words = _WORDS.findall(text)
+    # beyond ASCII, \w also holds fractions, circled numbers and other numerals: those are no letters
+    return words if text.isascii() else [p for w in words for p in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def windows(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
