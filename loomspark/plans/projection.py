@@ -7,20 +7,36 @@ two engines can agree on every row.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.schema import conform
+from loomspark.schema import TABLES, conform
+from loomspark.sources.cache import StoredTables
 
 _TOOLS = {"view": ("Read", "READ"), "click": ("Bash", "EXECUTE"), "purchase": ("Edit", "MODIFY"), "signup": ("Write", "NEW"), "error": ("Task", "OTHER")}
 
 
-def _case(i: int):
-    out = None
-    for kind, names in _TOOLS.items():
-        cond = F.col("event_type") == kind
-        out = F.when(cond, names[i]) if out is None else out.when(cond, names[i])
-    return out
+#: Expressions that Spark and the SQL oracle share: what the calls of made-up sessions say, so that every rule of the analyses finds something.
+_TOOL = """CASE WHEN event_type = 'error' AND event_id % 3 = 1 THEN 'Bash' WHEN event_type = 'error' AND event_id % 3 = 2 THEN 'exec' WHEN event_type = 'view' AND k % 9 = 0 THEN 'Skill' ELSE CASE event_type """ + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in _TOOLS.items()) + " END END"
+_OPERATION = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in _TOOLS.items()) + " END"
+_FILE = """CASE WHEN event_type = 'view' AND k % 8 = 3 THEN '/home/dev/skills/k' || k || '/SKILL.md' WHEN event_type = 'view' AND k % 8 = 4 THEN '/home/dev/repo/pkg/doc/k' || k || '.md'
+  WHEN event_type = 'view' AND k % 8 = 5 THEN '/home/dev/repo/ttmp/TK-' || (k % 10) || '/tasks.md' WHEN event_type = 'purchase' AND k % 8 = 5 THEN '/home/dev/repo/ttmp/TK-' || (k % 10) || '/diary/k' || k || '.md' WHEN event_type = 'purchase' AND k % 8 = 6 THEN '/home/dev/repo/ttmp/TK-' || (k % 10) || '/changelog.md'
+  WHEN event_type IN ('view', 'purchase', 'signup') THEN '/home/dev/repo/k' || k || '.md' END"""
+_COMMAND = """CASE WHEN event_type = 'click' THEN CASE k % 12 WHEN 0 THEN 'git commit -m k' || k WHEN 1 THEN 'cd /tmp/k' || k || ' && ls' WHEN 2 THEN 'make test' WHEN 3 THEN 'cat k' || k || ' > out.txt' WHEN 4 THEN 'docmgr ticket create --ticket TK-' || (k % 10)
+  WHEN 5 THEN CASE k % 5 WHEN 0 THEN 'docmgr task add' WHEN 1 THEN 'docmgr changelog update' WHEN 2 THEN 'docmgr doc add' WHEN 3 THEN 'docmgr doc relate' ELSE 'docmgr ticket close' END || ' --ticket TK-' || (k % 10)
+  WHEN 6 THEN 'grep -rn "Sym' || (k % 7) || chr(92) || '|New' || (k % 3) || '" ../lib' || (k % 2) || '/src' WHEN 7 THEN 'sed -n ' || chr(39) || '1,40p' || chr(39) || ' ../lib' || (k % 2) || '/main.go' WHEN 8 THEN 'bin/tool' || (k % 3) || ' help topic-' || k
+  WHEN 9 THEN 'cat ~/.claude/skills/s' || (k % 4) || '/SKILL.md' WHEN 10 THEN 'rg "Find' || (k % 5) || '" /go/pkg/mod/github.com/a/b' || (k % 2) || '@v1/x.go' ELSE 'cat pkg/doc/topics/t' || k || '.md' END
+  WHEN event_type = 'error' AND event_id % 3 = 1 AND k % 10 = 0 THEN 'pkill -f "work' || k || '" ; work' || k WHEN event_type = 'error' AND event_id % 3 = 1 THEN 'cd /srv/k' || k END"""
+_ARGUMENTS = """CASE WHEN event_type = 'purchase' AND k % 6 = 0 THEN '{"patch":"*** Begin Patch' || chr(92) || 'n*** Update File: pkg/k' || k || '.go' || chr(92) || 'n*** Add File: docs/k' || k || '.md' || chr(92) || 'n"}' WHEN event_type = 'signup' AND k % 6 = 1 THEN '{"file_path":"/home/dev/other/k' || k || '.txt"}'
+  WHEN event_type = 'view' AND k % 9 = 0 THEN '{"skill":"s' || (k % 4) || '"}' WHEN event_type = 'error' AND event_id % 3 = 2 THEN '{"cmd":"cat docs/k' || k || '.md > /tmp/out' || k || '.txt"}' ELSE props END"""
+_ERROR = """CASE WHEN event_type = 'error' THEN CASE k % 11 WHEN 1 THEN '(eval):1: == not found' WHEN 2 THEN 'File has not been read yet' WHEN 3 THEN 'illegal character NUL' WHEN 4 THEN 'cat: docs/k' || k || ': No such file or directory' WHEN 5 THEN 'sed: can' || chr(39) || 't read docs/k' || k || '.md: No such file'
+  WHEN 6 THEN 'command timed out' WHEN 7 THEN '--- FAIL: Test' || k WHEN 8 THEN './a.go:12:3: undefined: x' WHEN 9 THEN 'stopped' ELSE 'exit status ' || k END END"""
+_RESULT = """CASE WHEN event_type = 'signup' THEN 'File created: k' || k WHEN event_type = 'purchase' THEN 'k' || k || ' has been updated' WHEN event_type = 'error' THEN CASE WHEN k % 11 = 9 THEN repeat('row k' || k || ' ', 40) END ELSE 'ok k' || k END"""
+_TURN = "CASE WHEN user_id % 2 = 0 THEN source_ordinal % 8 ELSE source_ordinal % 97 END"
+_EXIT = "CASE WHEN event_type = 'click' THEN k % 3 WHEN event_type = 'error' THEN CASE WHEN k % 10 = 0 THEN 144 ELSE 1 END END"
+_CONTENT = "CASE WHEN role = 'user' AND (conv_id + turn) % 17 = 3 THEN 'This session is being continued from before. ' || text WHEN role = 'user' AND (conv_id + turn) % 19 = 4 THEN '<note> ' || text ELSE text END"
 
 
 def _iso(ts):
@@ -30,8 +46,7 @@ def _iso(ts):
 def tool_calls(events: DataFrame) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("long")
-    e = events.select("*", k.alias("k"), (F.row_number().over(order) - 1).cast("long").alias("source_ordinal"), _case(0).alias("tool_name"), _case(1).alias("operation_type"))
-    touches = F.col("operation_type").isin("READ", "MODIFY", "NEW")
+    e = events.select("*", k.alias("k"), (F.row_number().over(order) - 1).cast("long").alias("source_ordinal"), F.expr(_OPERATION).alias("operation_type")).withColumn("tool_name", F.expr(_TOOL))
     runs = F.col("operation_type") == "EXECUTE"
     failed = F.col("event_type") == "error"
     spawned = failed & (F.col("event_id") % 3 == 0)
@@ -40,23 +55,20 @@ def tool_calls(events: DataFrame) -> DataFrame:
         F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"),
         F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("tool_call_id"),
         "source_ordinal",
-        (F.col("source_ordinal") % 8).alias("emitting_turn_index"),
+        F.expr(_TURN).alias("emitting_turn_index"),
         _iso(F.col("ts")).alias("timestamp"),
         "tool_name",
         "operation_type",
-        F.when(touches, F.concat(F.lit("/home/dev/repo/"), name, F.lit(".md"))).alias("file_path"),
+        F.expr(_FILE).alias("file_path"),
         F.when(spawned, "orchestration").otherwise("tool_call").alias("record_kind"),
-        F.when(
-            runs,
-            F.when(F.col("k") % 4 == 0, F.concat(F.lit("git commit -m "), name)).when(F.col("k") % 4 == 1, F.concat(F.lit("cd /tmp/"), name)).when(F.col("k") % 4 == 2, "make test").otherwise(F.concat(F.lit("cat "), name, F.lit(" > out.txt"))),
-        ).alias("command"),
+        F.expr(_COMMAND).alias("command"),
         F.when(runs & (F.col("k") % 5 == 0), F.concat(F.lit("needed for "), name)).alias("justification"),
-        F.col("props").alias("arguments_json"),
+        F.expr(_ARGUMENTS).alias("arguments_json"),
         F.when(failed, 0).when(F.col("event_type") != "signup", 1).cast("long").alias("success"),
         F.when(failed, "failed").when(F.col("event_type") == "signup", "unknown").otherwise("succeeded").alias("outcome_status"),
-        F.when(F.col("operation_type") == "NEW", F.concat(F.lit("File created: "), name)).when(F.col("operation_type") == "MODIFY", F.concat(name, F.lit(" has been updated"))).when(failed, None).otherwise(F.concat(F.lit("ok "), name)).alias("result"),
-        F.when(failed, F.concat(F.lit("exit status "), F.col("k").cast("string"))).alias("error"),
-        F.when(runs, F.col("k") % 3).when(failed, 1).cast("long").alias("exit_code"),
+        F.expr(_RESULT).alias("result"),
+        F.expr(_ERROR).alias("error"),
+        F.expr(_EXIT).cast("long").alias("exit_code"),
         F.floor(F.col("value") * 100 + 0.5).cast("long").alias("duration_ms"),
         F.when(F.col("k") % 7 == 0, 1).otherwise(0).cast("long").alias("truncated"),
         F.when(F.col("k") % 7 == 0, F.col("k") * 1000).alias("full_bytes"),
@@ -77,7 +89,7 @@ def turns(conversations: DataFrame) -> DataFrame:
         "role",
         F.when((F.col("role") == "user") & (F.col("turn") % 3 != 2), "human").otherwise("framework").alias("source"),
         F.when(assistant, F.concat(F.lit("model-"), ((F.col("conv_id") + F.col("turn")) % 3).cast("string"))).alias("model"),
-        F.col("text").alias("content"),
+        F.expr(_CONTENT).alias("content"),
         F.when(F.col("role") == "user", F.length("text")).cast("long").alias("input_tokens"),
         F.when(assistant, F.length("text")).cast("long").alias("output_tokens"),
         mod(F.col("conv_id") * 7919 + F.col("turn") * 104729, 200000).alias("cache_read_tokens"),
@@ -158,35 +170,56 @@ def event_rows(turns_: DataFrame, calls: DataFrame, notes: DataFrame) -> DataFra
     return t.unionByName(c).unionByName(a)
 
 
-def project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The ten tables as lazy DataFrames with their full schemas; unused columns are pruned."""
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    events = read("events")
-    c, t, a = tool_calls(events), turns(read("conversations")), annotations(read("labels"))
-    m = metrics(c, t)
-    s = sessions(events, m)
-    bridge = c.select("session_id", F.col("emitting_turn_index").alias("turn_index"), "tool_call_id", F.floor(F.col("source_ordinal") / 8).alias("ordinal"))
-    att = read("benchmark").select(F.concat(F.lit("s"), (F.col("item_id") % 150).cast("string")).alias("session_id"), F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("attachment_id"), F.lit("text").alias("kind"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("text").alias("text_preview"))
-    out = {"sessions": s, "turns": t, "tool_calls": c, "turn_tool_calls": bridge, "files": files(c), "annotations": a, "handovers": handovers(s), "metrics": m, "attachments": att, "events": event_rows(t, c, a)}
-    return {name: conform(df, name) for name, df in out.items()}
-
+def _made(name: str, t: Mapping[str, DataFrame], read) -> DataFrame:
+    if name == "tool_calls":
+        return tool_calls(read("events"))
+    if name == "turns":
+        return turns(read("conversations"))
+    if name == "annotations":
+        return annotations(read("labels"))
+    if name == "metrics":
+        return metrics(t["tool_calls"], t["turns"])
+    if name == "sessions":
+        return sessions(read("events"), t["metrics"])
+    if name == "files":
+        return files(t["tool_calls"])
+    if name == "handovers":
+        return handovers(t["sessions"])
+    if name == "events":
+        return event_rows(t["turns"], t["tool_calls"], t["annotations"])
+    if name == "turn_tool_calls":
+        at = F.row_number().over(Window.partitionBy("session_id", "emitting_turn_index").orderBy("source_ordinal")) - 1
+        return t["tool_calls"].select("session_id", F.col("emitting_turn_index").alias("turn_index"), "tool_call_id", at.cast("long").alias("ordinal"))
+    item = F.col("item_id").cast("string")
+    session = F.concat(F.lit("s"), (F.col("item_id") % 150).cast("string"))
+    return read("benchmark").select(session.alias("session_id"), F.concat(F.lit("t"), item).alias("attachment_id"), F.lit("text").alias("kind"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("text").alias("text_preview"))
+
+
+_PROJECTED: dict[tuple[str, str], StoredTables] = {}
+
+
+def project(spark: SparkSession, sf_dir: str) -> StoredTables:
+    """The ten tables with their full schemas, each written once for an application and folder, when it is first read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PROJECTED or _PROJECTED[key].spark is not spark:
+        read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _PROJECTED[key] = StoredTables(spark, sf_dir, TABLES, lambda name, t: conform(_made(name, t, read), name))
+    return _PROJECTED[key]
 
-_KIND = lambda i: "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in _TOOLS.items()) + " END"
 
 #: The same projection for the SQL oracle; `{{events}}` of queries is session_events there.
 ORACLE_TABLES = f"""
-tc0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS source_ordinal, {_KIND(0)} AS tool_name, {_KIND(1)} AS operation_type FROM events),
-tool_calls AS (SELECT 's' || user_id AS session_id, 'c' || event_id AS tool_call_id, source_ordinal, source_ordinal % 8 AS emitting_turn_index, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS "timestamp", tool_name, operation_type,
-  CASE WHEN operation_type IN ('READ', 'MODIFY', 'NEW') THEN '/home/dev/repo/k' || k || '.md' END AS file_path, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'orchestration' ELSE 'tool_call' END AS record_kind,
-  CASE WHEN operation_type = 'EXECUTE' THEN CASE k % 4 WHEN 0 THEN 'git commit -m k' || k WHEN 1 THEN 'cd /tmp/k' || k WHEN 2 THEN 'make test' ELSE 'cat k' || k || ' > out.txt' END END AS command,
-  CASE WHEN operation_type = 'EXECUTE' AND k % 5 = 0 THEN 'needed for k' || k END AS justification, props AS arguments_json,
+tc0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS source_ordinal, {_OPERATION} AS operation_type FROM events),
+tool_calls AS (SELECT 's' || user_id AS session_id, 'c' || event_id AS tool_call_id, source_ordinal, {_TURN} AS emitting_turn_index, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS "timestamp", {_TOOL} AS tool_name, operation_type,
+  {_FILE} AS file_path, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'orchestration' ELSE 'tool_call' END AS record_kind,
+  {_COMMAND} AS command,
+  CASE WHEN operation_type = 'EXECUTE' AND k % 5 = 0 THEN 'needed for k' || k END AS justification, {_ARGUMENTS} AS arguments_json,
   CAST(CASE WHEN event_type = 'error' THEN 0 WHEN event_type <> 'signup' THEN 1 END AS BIGINT) AS success, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'unknown' ELSE 'succeeded' END AS outcome_status,
-  CASE WHEN operation_type = 'NEW' THEN 'File created: k' || k WHEN operation_type = 'MODIFY' THEN 'k' || k || ' has been updated' WHEN event_type = 'error' THEN NULL ELSE 'ok k' || k END AS result,
-  CASE WHEN event_type = 'error' THEN 'exit status ' || k END AS error, CAST(CASE WHEN operation_type = 'EXECUTE' THEN k % 3 WHEN event_type = 'error' THEN 1 END AS BIGINT) AS exit_code,
+  {_RESULT} AS result, {_ERROR} AS error, CAST({_EXIT} AS BIGINT) AS exit_code,
   CAST(floor(value * 100 + 0.5::DOUBLE) AS BIGINT) AS duration_ms, CAST(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS truncated, CASE WHEN k % 7 = 0 THEN k * 1000 END AS full_bytes, props AS framework_metadata_json,
   CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'explorer' END AS spawned_agent_type, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 's' || (user_id + 1) END AS spawned_agent_sub_session_id FROM tc0),
 turns AS (SELECT 's' || conv_id AS session_id, turn AS turn_index, strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 60 * (1 + (conv_id * turn) % 13)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS "timestamp", role,
-  CASE WHEN role = 'user' AND turn % 3 <> 2 THEN 'human' ELSE 'framework' END AS source, CASE WHEN role = 'assistant' THEN 'model-' || ((conv_id + turn) % 3) END AS model, text AS content,
+  CASE WHEN role = 'user' AND turn % 3 <> 2 THEN 'human' ELSE 'framework' END AS source, CASE WHEN role = 'assistant' THEN 'model-' || ((conv_id + turn) % 3) END AS model, {_CONTENT} AS content, CAST(NULL AS VARCHAR) AS content_type,
   CASE WHEN role = 'user' THEN length(text) END AS input_tokens, CASE WHEN role = 'assistant' THEN length(text) END AS output_tokens,
   CASE WHEN role = 'assistant' THEN (conv_id * 7919 + turn * 104729) % 200000 END AS cache_read_tokens, CASE WHEN role = 'assistant' THEN (conv_id * turn) % 500 END AS cache_creation_tokens FROM conversations),
 annotations AS (SELECT 's' || (doc_id % 150) AS session_id, 'a' || doc_id AS annotation_id, CASE WHEN doc_id % 2 = 0 THEN 'reviewer' ELSE 'tool' END AS annotator, CASE WHEN doc_id % 5 = 0 THEN 'tool_call' ELSE 'session' END AS scope_type,
@@ -213,7 +246,7 @@ sessions AS (SELECT 's' || user_id AS session_id, 'full' AS profile, 'Session '
   CASE WHEN m.turn_count > 5 AND m.tool_call_count > 10 THEN 'A' WHEN m.turn_count > 0 THEN 'B' ELSE 'C' END AS quality, CAST(NULL AS VARCHAR) AS model_version, CAST(NULL AS VARCHAR) AS agent_version, CAST(NULL AS VARCHAR) AS summary
   FROM g1 JOIN metrics m ON m.session_id = 's' || user_id),
 handovers AS (SELECT session_id, 'received' AS direction, predecessor_session AS from_session, session_id AS to_session, 'notes of ' || title AS document, CAST(NULL AS VARCHAR) AS state_description FROM sessions WHERE predecessor_session IS NOT NULL),
-turn_tool_calls AS (SELECT session_id, emitting_turn_index AS turn_index, tool_call_id, source_ordinal // 8 AS ordinal FROM tool_calls),
+turn_tool_calls AS (SELECT session_id, emitting_turn_index AS turn_index, tool_call_id, row_number() OVER (PARTITION BY session_id, emitting_turn_index ORDER BY source_ordinal) - 1 AS ordinal FROM tool_calls),
 attachments AS (SELECT 's' || (item_id % 150) AS session_id, 't' || item_id AS attachment_id, 'text' AS kind, CAST(strlen(text) AS BIGINT) AS size_bytes, text AS text_preview FROM benchmark),
 session_events AS (SELECT session_id, 'turn-' || lpad(CAST(turn_index AS VARCHAR), 6, '0') AS event_id, turn_index, 'turn' AS kind, role, CAST(NULL AS VARCHAR) AS tool_call_id, substr(content, 1, 40) AS summary FROM turns
   UNION ALL SELECT session_id, 'tool-' || tool_call_id, emitting_turn_index, 'tool_call', NULL, tool_call_id, tool_name FROM tool_calls

@@ -36,9 +36,11 @@ def left_join(s, d):
 
 
 def theta_join(s, d):
+    """Suppliers of the same nation with a larger balance: a count of what follows in order, not a join of pairs."""
     a = _t(s, d, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("n"), F.col("s_acctbal").alias("x"))
-    b = a.select(F.col("a").alias("b"), "n", F.col("x").alias("y"))
-    return a.join(b, (a.n == b.n) & (a.x < b.y), "left").groupBy("a").agg(F.count("b").alias("richer"))
+    w = Window.partitionBy("n").orderBy(F.desc_nulls_last("x"))
+    above = F.rank().over(w) - 1
+    return a.select("a", F.when(F.col("x").isNotNull(), above).otherwise(0).cast("long").alias("richer"))
 
 
 def semi_flag(s, d):
@@ -108,10 +110,10 @@ def top_k(s, d):
 
 
 def nulls_order(s, d):
+    """Customers by last order, those without one at the end: a distributed sort of all rows."""
     c, o = _t(s, d, "customer"), _t(s, d, "orders")
     x = c.join(o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("k")), c.c_custkey == F.col("o_custkey"), "left")
-    w = Window.orderBy(F.col("k").isNull(), "k", "c_custkey")
-    return x.select("c_custkey", F.row_number().over(w).cast("long").alias("place")).where("place > 900 or place <= 50")
+    return x.select("c_custkey", F.col("k").alias("last_order")).orderBy(F.asc_nulls_last("last_order"), "c_custkey")
 
 
 def cube_totals(s, d):
@@ -125,9 +127,9 @@ def pivoted(s, d):
 
 def scalar_functions(s, d):
     e = _t(s, d, "documents")
-    k = F.substring("text", 1, 30)
+    k = F.col("text")
     return e.select(
-        "doc_id", F.coalesce(F.nullif(F.col("lang"), F.lit("en")), F.lit("-")).alias("lang"), F.substring(k, -5, 3).alias("tail"), F.lower(k).alias("low"), F.length(k).cast("long").alias("chars"), F.octet_length(k).cast("long").alias("bytes"),
+        "doc_id", F.coalesce(F.nullif(F.col("lang"), F.lit("en")), F.lit("-")).alias("lang"), F.substring(k, -5, 3).alias("tail"), F.sha2(F.lower(k), 256).alias("low"), F.length(k).cast("long").alias("chars"), F.octet_length(k).cast("long").alias("bytes"),
         F.instr(k, "the").cast("long").alias("at"), F.hex(F.col("source")).alias("hexed"), F.concat_ws("|", "source", "lang").alias("both"), F.round(F.col("n_chars") / 7, 2).alias("sevenths"), F.col("source").try_cast("long").alias("none"),
         F.expr("n_chars div 7").alias("whole"), F.sha2("text", 256).alias("sha"), F.regexp_extract("source", "([0-9]+)", 1).try_cast("long").alias("number"),
     )
@@ -144,11 +146,14 @@ def json_values(s, d):
 
 
 def ranges(s, d):
-    """Orders open on a day: an interval join through day buckets."""
+    """How many users' spans of events cover each day that has an event: +1 where a span begins, -1 after its end, and a running sum over days."""
     e = _t(s, d, "events").select("user_id", F.to_date("ts").alias("day"))
     spans = e.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    days = spans.select("user_id", F.explode(F.sequence("a", "b")).alias("day"))
-    return days.groupBy("day").agg(F.count(F.lit(1)).alias("open")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "open")
+    steps = spans.select(F.explode(F.array(F.struct(F.col("a").alias("day"), F.lit(1).alias("step")), F.struct(F.date_add("b", 1).alias("day"), F.lit(-1).alias("step"))))).select("col.*")
+    days = steps.groupBy("day").agg(F.sum("step").alias("step")).unionByName(e.select("day", F.lit(0).cast("long").alias("step")).distinct().withColumn("step", F.lit(0).cast("long")))
+    by_day = days.groupBy("day").agg(F.sum("step").alias("step"))  # one row a day from here on
+    open_ = by_day.select("day", F.sum("step").over(Window.orderBy("day")).alias("open"))
+    return open_.join(e.select("day").distinct(), "day", "left_semi").where("open > 0").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "open")
 
 
 def sessions_by_gap(s, d):
@@ -184,11 +189,11 @@ RELATIONAL = {
     "sql_20_numbered": (numbered, "SELECT o_custkey, o_orderkey, r, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) x WHERE r <= 2"),
     "sql_21_windows": (windows, "SELECT event_id, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after, rank() OVER (PARTITION BY user_id ORDER BY event_type) AS rank, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS dense, ntile(4) OVER w AS quarter, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS recent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
     "sql_24_set_operations": (set_operations, "WITH a AS (SELECT CAST(c_nationkey AS BIGINT) AS k FROM customer), b AS (SELECT CAST(s_nationkey AS BIGINT) AS k FROM supplier) SELECT k, 'union' AS op FROM (SELECT k FROM a UNION SELECT k FROM b) x UNION ALL SELECT k, 'intersect' FROM (SELECT k FROM a INTERSECT SELECT k FROM b) y UNION ALL SELECT k, 'except' FROM (SELECT k FROM a EXCEPT SELECT k FROM b) z"),
-    "sql_25_nulls_order": (nulls_order, "SELECT * FROM (SELECT c_custkey, row_number() OVER (ORDER BY k IS NULL, k NULLS FIRST, c_custkey) AS place FROM (SELECT c_custkey, max(o_orderkey) AS k FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1) x) y WHERE place > 900 OR place <= 50"),
+    "sql_25_nulls_order": (nulls_order, "SELECT c_custkey, max(o_orderkey) AS last_order FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1 ORDER BY last_order NULLS LAST, c_custkey"),
     "sql_26_top_k": (top_k, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5"),
     "sql_cube": (cube_totals, "SELECT l_returnflag, CAST(l_linenumber AS BIGINT) AS line, count(*) AS n, CAST(grouping(l_returnflag) * 2 + grouping(l_linenumber) AS BIGINT) AS g FROM lineitem GROUP BY CUBE (l_returnflag, l_linenumber)"),
     "sql_pivot": (pivoted, "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1"),
-    "fn_scalar": (scalar_functions, "SELECT doc_id, coalesce(nullif(lang, 'en'), '-') AS lang, substr(substr(text, 1, 30), -5, 3) AS tail, lower(substr(text, 1, 30)) AS low, length(substr(text, 1, 30)) AS chars, CAST(strlen(substr(text, 1, 30)) AS BIGINT) AS bytes, CAST(instr(substr(text, 1, 30), 'the') AS BIGINT) AS at, hex(source) AS hexed, concat_ws('|', source, lang) AS both, round(n_chars / 7, 2) AS sevenths, CAST(NULL AS BIGINT) AS none, n_chars // 7 AS whole, sha256(text) AS sha, TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) AS number FROM documents"),
+    "fn_scalar": (scalar_functions, "SELECT doc_id, coalesce(nullif(lang, 'en'), '-') AS lang, substr(text, -5, 3) AS tail, sha256(lower(text)) AS low, length(text) AS chars, CAST(strlen(text) AS BIGINT) AS bytes, CAST(instr(text, 'the') AS BIGINT) AS at, hex(source) AS hexed, concat_ws('|', source, lang) AS both, round(n_chars / 7, 2) AS sevenths, CAST(NULL AS BIGINT) AS none, n_chars // 7 AS whole, sha256(text) AS sha, TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) AS number FROM documents"),
     "fn_dates": (dates, "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, any_value(CAST(isodow(o_orderdate) - 1 AS BIGINT)) AS weekday, count(*) AS n FROM orders GROUP BY 1"),
     "fn_json": (json_values, "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1"),
     "sql_intervals": (ranges, "WITH s AS (SELECT user_id, min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events GROUP BY 1), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS open FROM d JOIN s ON day BETWEEN a AND b GROUP BY 1"),

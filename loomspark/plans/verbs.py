@@ -4,27 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators import sequence as S
+from loomspark.plans.history import HISTORY, SQL, api_call_runs, compactions
 from loomspark.plans.projection import ORACLE_TABLES
 
 Tables = Mapping[str, DataFrame]
 
-# How a turn starts that is no instruction of a person.
-NOT_SAID = ("<", "[Image", "Base directory for this skill", "This session is being continued", "Caveat:")
-
-
-def is_instruction(role: Column, content: Column) -> Column:
-    """A person's own instruction: a user turn, not blank, without the prefix of an injected text."""
-    text = F.ltrim(F.coalesce(content, F.lit("")))
-    ok = (role == "user") & (F.length(text) > 0)
-    for prefix in NOT_SAID:
-        ok = ok & ~F.startswith(text, F.lit(prefix))
-    return ok
-
-
 def session_activity(t: Tables, framework: list[str] | None = None, cwd: str | None = None, since: str | None = None) -> DataFrame:
     """VRB-01: sessions with the last time of any turn or call, latest first; cwd matches case-insensitively."""
     times = t["turns"].select("session_id", "timestamp").unionByName(t["tool_calls"].select("session_id", "timestamp"))
@@ -51,52 +39,6 @@ def file_activity(t: Tables) -> DataFrame:
     return both.where("r = 1").drop("r")
 
 
-def file_history(t: Tables, fragment: str = "k1") -> DataFrame:
-    """VRB-03: per path that holds the fragment: first and last touch, operations, sessions, and the instruction before the last."""
-    touched = t["tool_calls"].where(F.contains("file_path", F.lit(fragment))).select("session_id", "tool_call_id", "timestamp", "operation_type", "success", F.col("emitting_turn_index").alias("turn_index"), F.regexp_replace("file_path", "^/home/[^/]+", "~").alias("path"))
-    said = t["turns"].where(is_instruction(F.col("role"), F.col("content"))).select("session_id", "turn_index", F.substring("content", 1, 60).alias("instruction"))
-    told = S.as_of(touched, said, "session_id", "turn_index", "turn_index", ["instruction"])
-    last = F.struct("timestamp", "tool_call_id")
-    return told.groupBy("path").agg(
-        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count(F.lit(1)).alias("touches"), F.count_if(F.col("operation_type").isin("MODIFY", "NEW")).alias("writes"),
-        F.count_distinct("session_id").alias("sessions"), F.count_if(F.col("success") == 1).alias("confirmed"), F.max_by("instruction", last).alias("last_instruction"),
-    )
-
-
-def ticket_timeline(t: Tables, pattern: str = "k[0-9]+") -> DataFrame:
-    """VRB-04: shell commands and file touches that name a ticket, classified, in order of time."""
-    c = t["tool_calls"]
-    shell = c.where(F.col("command").rlike(pattern)).select("session_id", "tool_call_id", "timestamp", F.lit("shell").alias("channel"), F.regexp_extract("command", f"({pattern})", 1).alias("ticket"), F.when(F.col("command").rlike("^git commit"), "commit").when(F.col("command").rlike("^cd "), "enter").when(F.col("command").rlike(">"), "write").otherwise("run").alias("category"))
-    touched = t["files"].where(F.col("path").rlike(pattern)).join(c.select("session_id", "tool_call_id", "timestamp"), ["session_id", "tool_call_id"])
-    files = touched.select("session_id", "tool_call_id", "timestamp", F.lit("file").alias("channel"), F.regexp_extract("path", f"({pattern})", 1).alias("ticket"), F.when(F.col("operation_type") == "NEW", "create").when(F.col("operation_type") == "MODIFY", "edit").otherwise("read").alias("category"))
-    return shell.unionByName(files).orderBy("timestamp", "tool_call_id")
-
-
-def api_call_runs(t: Tables, max_gap: int = 3) -> DataFrame:
-    """Assistant turns of one call: equal counters, each at most max_gap turns after the one before."""
-    a = t["turns"].where((F.col("role") == "assistant") & F.col("output_tokens").isNotNull())
-    runs = S.number_runs(a, "session_id", "turn_index", ["output_tokens", "cache_read_tokens", "cache_creation_tokens"], max_gap)
-    return runs.groupBy("session_id", "run").agg(F.min("turn_index").alias("first_turn"), F.max("turn_index").alias("last_turn"), F.count(F.lit(1)).alias("turns"), F.max("output_tokens").alias("output_tokens"), F.max("cache_read_tokens").alias("cache_read_tokens"))
-
-
-def compactions(t: Tables, least: int = 100000, share: float = 0.2) -> DataFrame:
-    """Calls whose cache reads fall under a share of a large preceding one."""
-    w = Window.partitionBy("session_id").orderBy("first_turn")
-    r = api_call_runs(t).withColumn("before", F.lag("cache_read_tokens").over(w))
-    return r.where((F.col("before") > least) & (F.col("cache_read_tokens") < F.col("before") * share))
-
-
-def context_window(t: Tables, target_turn: int = 6) -> DataFrame:
-    """VRB-05: per session the boundary before the target turn, and the calls and files since."""
-    upto = F.col("turn_index") <= target_turn
-    summary = t["turns"].where((F.col("role") == "user") & F.startswith(F.ltrim("content"), F.lit(NOT_SAID[3])) & upto).groupBy("session_id").agg(F.max("turn_index").alias("summary_turn"))
-    collapse = compactions(t).where(F.col("first_turn") <= target_turn).groupBy("session_id").agg(F.max("first_turn").alias("collapse_turn"))
-    b = t["sessions"].select("session_id").join(summary, "session_id", "left").join(collapse, "session_id", "left").select("session_id", F.coalesce(F.greatest("summary_turn", "collapse_turn"), F.lit(0)).cast("long").alias("boundary"))
-    c = t["tool_calls"].where(F.col("emitting_turn_index") <= target_turn).join(b, "session_id").where(F.col("emitting_turn_index") >= F.col("boundary"))
-    g = c.groupBy("session_id").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("file_path").alias("files"), F.count_if(F.col("success") == 0).alias("failed"))
-    return b.join(g, "session_id", "left").na.fill(0, ["calls", "files", "failed"])
-
-
 def api_calls(t: Tables) -> DataFrame:
     """VRB-06: naive and collapsed output totals per session, and how much the naive one overstates."""
     a = t["turns"].where((F.col("role") == "assistant") & F.col("output_tokens").isNotNull())
@@ -107,47 +49,6 @@ def api_calls(t: Tables) -> DataFrame:
     return out.withColumn("inflation", F.round(F.col("naive_output") / F.col("output"), 3))
 
 
-def episodes(t: Tables, idle_minutes: int = 10) -> DataFrame:
-    """VRB-07: stretches from one real instruction to the next: turns, wall and idle minutes."""
-    at = F.unix_timestamp(F.to_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ssX"))
-    x = S.number_blocks(t["turns"].withColumn("at", at), "session_id", "turn_index", is_instruction(F.col("role"), F.col("content")), "episode").where("episode > 0")
-    gap = F.col("at") - F.lag("at").over(Window.partitionBy("session_id", "episode").orderBy("turn_index"))
-    x = x.withColumn("gap", gap)
-    return x.groupBy("session_id", "episode").agg(
-        F.min("turn_index").alias("first_turn"), F.count(F.lit(1)).alias("turns"), F.floor((F.max("at") - F.min("at")) / 60).alias("wall_minutes"),
-        F.coalesce(F.floor(F.sum(F.when(F.col("gap") > idle_minutes * 60, F.col("gap"))) / 60), F.lit(0)).alias("idle_minutes"),
-    )
-
-
-def failure_triage(t: Tables) -> DataFrame:
-    """VRB-08: failed calls by an ordered list of causes, with the last directory entered before."""
-    c = S.carry_last(t["tool_calls"], "session_id", ["source_ordinal"], F.when(F.col("command").rlike("^cd "), F.substring("command", 4, 1000)), "directory", include_row=False)
-    text = F.lower(F.coalesce("error", "result", F.lit("")))
-    rules = [("not found|no such", "missing"), ("denied|permission", "permission"), ("timed? ?out", "timeout"), ("exit status [1-9]$", "small exit code"), ("exit status", "exit code"), ("syntax", "syntax")]
-    cause = None
-    for pattern, name in rules:
-        cause = F.when(text.rlike(pattern), name) if cause is None else cause.when(text.rlike(pattern), name)
-    return c.where("success = 0").select("session_id", "tool_call_id", "tool_name", cause.otherwise("other").alias("cause"), "directory")
-
-
-def doc_consumption(t: Tables) -> DataFrame:
-    """VRB-09: one profile per session: documents read, written, reread, and shell use."""
-    f = t["files"].where(F.col("path").rlike("[.]md$"))
-    per_path = f.groupBy("session_id", "path").agg(F.count_if(F.col("operation_type") == "READ").alias("reads"), F.count_if(F.col("operation_type") != "READ").alias("writes"))
-    docs = per_path.groupBy("session_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("reads").alias("reads"), F.sum("writes").alias("writes"), F.count_if(F.col("reads") > 1).alias("reread"))
-    shell = t["tool_calls"].where("operation_type = 'EXECUTE'").groupBy("session_id").agg(F.count(F.lit(1)).alias("shell"), F.count_if(F.col("command").rlike("^cat ")).alias("shell_reads"))
-    s = t["sessions"].select("session_id")
-    return s.join(docs, "session_id", "left").join(shell, "session_id", "left").na.fill(0)
-
-
-def source_probes(t: Tables, max_gap: int = 25) -> DataFrame:
-    """VRB-10: symbols in commands, in waves of calls close to each other, that come up in two waves or more."""
-    probes = t["tool_calls"].where("command is not null").select("session_id", "source_ordinal", F.explode(F.array_distinct(F.regexp_extract_all("command", F.lit("k[0-9]+"), F.lit(0)))).alias("symbol"))
-    order = probes.select("session_id", "source_ordinal").distinct()
-    waves = S.number_runs(order, "session_id", "source_ordinal", [], max_gap, "wave")
-    return probes.join(waves, ["session_id", "source_ordinal"]).groupBy("session_id", "symbol").agg(F.count_distinct("wave").alias("waves"), F.count(F.lit(1)).alias("probes")).where("waves >= 2")
-
-
 def tool_context(t: Tables) -> DataFrame:
     """MET-03: position of each call in its session and the names of up to five calls before."""
     order = Window.partitionBy("session_id").orderBy("source_ordinal")
@@ -181,49 +82,22 @@ def unassociated_calls(t: Tables) -> DataFrame:
     return t["tool_calls"].select("session_id", "tool_call_id", F.col("emitting_turn_index").alias("turn_index")).join(t["turns"].select("session_id", "turn_index"), ["session_id", "turn_index"], "left_anti")
 
 
-def tool_pairs(t: Tables) -> DataFrame:
-    """SHW-06 as an operator: tools that sessions use together."""
-    return S.pairs_within(t["tool_calls"], "session_id", "tool_name")
-
-
-_CD = "CASE WHEN command LIKE 'cd %' THEN substr(command, 4) END"
 _RUNS = """a AS (SELECT session_id, turn_index, output_tokens AS o, cache_read_tokens AS r, cache_creation_tokens AS c FROM turns WHERE role = 'assistant' AND output_tokens IS NOT NULL),
  b AS (SELECT *, CASE WHEN lag(o) OVER w = o AND lag(r) OVER w IS NOT DISTINCT FROM r AND lag(c) OVER w IS NOT DISTINCT FROM c AND turn_index - lag(turn_index) OVER w <= 3 THEN 0 ELSE 1 END AS f FROM a WINDOW w AS (PARTITION BY session_id ORDER BY turn_index)),
  i AS (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY turn_index) AS run FROM b),
  calls AS (SELECT session_id, run, min(turn_index) AS first_turn, max(o) AS o, max(r) AS r FROM i GROUP BY session_id, run),
  comp AS (SELECT * FROM (SELECT *, lag(r) OVER (PARTITION BY session_id ORDER BY first_turn) AS p FROM calls) x WHERE p > 100000 AND r < p * 0.2)"""
-_SAID = " AND ".join(["role = 'user'", "length(ltrim(coalesce(content, ''), ' ')) > 0", *[f"NOT starts_with(ltrim(coalesce(content, ''), ' '), '{p}')" for p in NOT_SAID]])
-
 VERBS: dict[str, tuple[Callable[[Tables], DataFrame], str]] = {
     "vrb_01": (session_activity, "SELECT s.session_id, title, agent_framework, working_directory, started_at, last_activity FROM sessions s LEFT JOIN (SELECT session_id, max(\"timestamp\") AS last_activity FROM (SELECT session_id, \"timestamp\" FROM turns UNION ALL SELECT session_id, \"timestamp\" FROM tool_calls) x GROUP BY 1) l ON l.session_id = s.session_id"),
     "vrb_02": (file_activity, "SELECT session_id, path, tool_call_id, \"timestamp\", operation_type, touches FROM (SELECT c.session_id, file_path AS path, tool_call_id, \"timestamp\", operation_type, count(*) OVER (PARTITION BY c.session_id, file_path) AS touches, row_number() OVER (PARTITION BY c.session_id, file_path ORDER BY \"timestamp\" DESC, tool_call_id DESC) AS r FROM tool_calls c JOIN sessions s ON s.session_id = c.session_id WHERE file_path IS NOT NULL) x WHERE r = 1"),
-    "vrb_03": (file_history, f"""SELECT '~' || substr(file_path, 10) AS path, min(c."timestamp") AS first_seen, max(c."timestamp") AS last_seen, count(*) AS touches, count(*) FILTER (WHERE operation_type IN ('MODIFY', 'NEW')) AS writes, count(DISTINCT c.session_id) AS sessions,
-      count(*) FILTER (WHERE success = 1) AS confirmed, arg_max_null(said, row(c."timestamp", tool_call_id)) AS last_instruction FROM (SELECT c.*, (SELECT arg_max(substr(content, 1, 60), turn_index) FROM turns t WHERE t.session_id = c.session_id AND t.turn_index <= c.emitting_turn_index AND {_SAID}) AS said FROM tool_calls c) c WHERE contains(file_path, 'k1') GROUP BY 1"""),
-    "vrb_04": (ticket_timeline, """SELECT session_id, tool_call_id, "timestamp", 'shell' AS channel, regexp_extract(command, '(k[0-9]+)', 1) AS ticket, CASE WHEN command LIKE 'git commit%' THEN 'commit' WHEN command LIKE 'cd %' THEN 'enter' WHEN command LIKE '%>%' THEN 'write' ELSE 'run' END AS category FROM tool_calls WHERE regexp_matches(command, 'k[0-9]+')
-      UNION ALL SELECT f.session_id, f.tool_call_id, c."timestamp", 'file', regexp_extract(path, '(k[0-9]+)', 1), CASE f.operation_type WHEN 'NEW' THEN 'create' WHEN 'MODIFY' THEN 'edit' ELSE 'read' END FROM files f JOIN tool_calls c USING (session_id, tool_call_id) WHERE regexp_matches(path, 'k[0-9]+')"""),
-    "vrb_05": (context_window, f"""SELECT b.session_id, b.boundary, count(c.tool_call_id) AS calls, count(DISTINCT c.file_path) AS files, count(c.tool_call_id) FILTER (WHERE c.success = 0) AS failed FROM (SELECT s.session_id, CAST(coalesce(max(first_turn), 0) AS BIGINT) AS boundary FROM sessions s
-      LEFT JOIN (WITH {_RUNS} SELECT session_id, first_turn FROM comp WHERE first_turn <= 6) k ON k.session_id = s.session_id GROUP BY s.session_id) b LEFT JOIN tool_calls c ON c.session_id = b.session_id AND c.emitting_turn_index BETWEEN b.boundary AND 6 GROUP BY 1, 2"""),
     "vrb_06": (api_calls, f"""WITH {_RUNS}, n AS (SELECT session_id, count(*) AS records, CAST(sum(o) AS BIGINT) AS naive_output FROM a GROUP BY 1), d AS (SELECT session_id, count(*) AS calls, CAST(sum(o) AS BIGINT) AS output FROM calls GROUP BY 1), q AS (SELECT session_id, count(*) AS compactions FROM comp GROUP BY 1)
       SELECT n.session_id, records, naive_output, calls, output, coalesce(compactions, 0) AS compactions, round(naive_output / output, 3) AS inflation FROM n JOIN d USING (session_id) LEFT JOIN q USING (session_id)"""),
-    "vrb_07": (episodes, f"""WITH a AS (SELECT *, epoch(strptime("timestamp", '%Y-%m-%dT%H:%M:%SZ')) AS moment, sum(CASE WHEN {_SAID} THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn_index) AS episode FROM turns),
-      b AS (SELECT *, moment - lag(moment) OVER (PARTITION BY session_id, episode ORDER BY turn_index) AS gap FROM a WHERE episode > 0)
-      SELECT session_id, CAST(episode AS BIGINT) AS episode, min(turn_index) AS first_turn, count(*) AS turns, CAST(floor((max(moment) - min(moment)) / 60) AS BIGINT) AS wall_minutes, CAST(coalesce(floor(sum(gap) FILTER (WHERE gap > 600) / 60), 0) AS BIGINT) AS idle_minutes FROM b GROUP BY 1, 2"""),
-    "vrb_08": (failure_triage, f"""SELECT session_id, tool_call_id, tool_name, CASE WHEN regexp_matches(lower(coalesce(error, result, '')), 'not found|no such') THEN 'missing' WHEN regexp_matches(lower(coalesce(error, result, '')), 'denied|permission') THEN 'permission' WHEN regexp_matches(lower(coalesce(error, result, '')), 'timed? ?out') THEN 'timeout'
-      WHEN regexp_matches(coalesce(error, result, ''), 'exit status [1-9]$') THEN 'small exit code' WHEN coalesce(error, result, '') LIKE '%exit status%' THEN 'exit code' WHEN lower(coalesce(error, result, '')) LIKE '%syntax%' THEN 'syntax' ELSE 'other' END AS cause, directory
-      FROM (SELECT *, last_value({_CD} IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY source_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS directory FROM tool_calls) x WHERE success = 0"""),
-    "vrb_09": (doc_consumption, """WITH p AS (SELECT session_id, path, count(*) FILTER (WHERE operation_type = 'READ') AS rd, count(*) FILTER (WHERE operation_type <> 'READ') AS wr FROM files WHERE path LIKE '%.md' GROUP BY 1, 2), d AS (SELECT session_id, count(*) AS documents, CAST(sum(rd) AS BIGINT) AS reads, CAST(sum(wr) AS BIGINT) AS writes, count(*) FILTER (WHERE rd > 1) AS reread FROM p GROUP BY 1),
-      h AS (SELECT session_id, count(*) AS shell, count(*) FILTER (WHERE command LIKE 'cat %') AS shell_reads FROM tool_calls WHERE operation_type = 'EXECUTE' GROUP BY 1)
-      SELECT s.session_id, coalesce(documents, 0) AS documents, coalesce(reads, 0) AS reads, coalesce(writes, 0) AS writes, coalesce(reread, 0) AS reread, coalesce(shell, 0) AS shell, coalesce(shell_reads, 0) AS shell_reads FROM sessions s LEFT JOIN d USING (session_id) LEFT JOIN h USING (session_id)"""),
-    "vrb_10": (source_probes, """WITH p AS (SELECT session_id, source_ordinal, unnest(list_distinct(regexp_extract_all(command, 'k[0-9]+'))) AS symbol FROM tool_calls WHERE command IS NOT NULL), o AS (SELECT DISTINCT session_id, source_ordinal FROM p),
-      g AS (SELECT *, CASE WHEN source_ordinal - lag(source_ordinal) OVER (PARTITION BY session_id ORDER BY source_ordinal) <= 25 THEN 0 ELSE 1 END AS f FROM o), w AS (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY source_ordinal) AS wave FROM g)
-      SELECT p.session_id, symbol, count(DISTINCT wave) AS waves, count(*) AS probes FROM p JOIN w USING (session_id, source_ordinal) GROUP BY 1, 2 HAVING count(DISTINCT wave) >= 2"""),
     "met_01": (active_time, "SELECT session_id, CASE WHEN count(*) >= 2 THEN CAST(coalesce(sum(gap) FILTER (WHERE gap <= 3600000000), 0) AS BIGINT) / 1000000 END AS active_seconds FROM (SELECT session_id, epoch_us(strptime(\"timestamp\", '%Y-%m-%dT%H:%M:%SZ')) - lag(epoch_us(strptime(\"timestamp\", '%Y-%m-%dT%H:%M:%SZ'))) OVER (PARTITION BY session_id ORDER BY \"timestamp\") AS gap FROM tool_calls) x GROUP BY 1"),
     "met_03": (tool_context, "SELECT session_id, tool_call_id, source_ordinal / count(*) OVER (PARTITION BY session_id) AS position, coalesce(array_to_string(list(tool_name) OVER (PARTITION BY session_id ORDER BY source_ordinal ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), ','), '') AS tools_before FROM tool_calls"),
     "met_09": (model_switches, "SELECT session_id, CASE WHEN count(DISTINCT model) >= 2 THEN count(*) FILTER (WHERE prev <> model) END AS model_switches, CASE WHEN count(DISTINCT model) >= 2 THEN count(DISTINCT model) END AS unique_models, list_sort(list(output_tokens))[count(*) // 2 + 1] AS median_response_tokens, max(output_tokens) AS max_response_tokens FROM (SELECT *, lag(model) OVER (PARTITION BY session_id ORDER BY turn_index) AS prev FROM turns WHERE model IS NOT NULL) x GROUP BY 1"),
     "met_22": (blocks, "SELECT session_id, CAST(block AS BIGINT) AS block, min(turn_index) AS first_turn, count(*) FILTER (WHERE role = 'assistant') AS agent_turns, max(\"timestamp\") AS last_time FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn_index) AS block FROM turns) x GROUP BY 1, 2"),
     "met_24": (unassociated_calls, "SELECT session_id, tool_call_id, emitting_turn_index AS turn_index FROM tool_calls c WHERE NOT EXISTS (SELECT 1 FROM turns t WHERE t.session_id = c.session_id AND t.turn_index = c.emitting_turn_index)"),
-    "met_pairs": (tool_pairs, "WITH d AS (SELECT DISTINCT session_id, tool_name FROM tool_calls) SELECT a.tool_name AS tool_name_a, b.tool_name AS tool_name_b, count(*) AS n FROM d a JOIN d b ON a.session_id = b.session_id AND a.tool_name < b.tool_name GROUP BY 1, 2"),
-}
+} | {key: (fn, SQL[key]) for key, fn in HISTORY.items()}
 
 
 def oracle(key: str) -> str:

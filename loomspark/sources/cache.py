@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from loomspark.schema import TABLES
 
 VERSION = "loomspark-1"
+_FOLDERS: dict[str, str] = {}
 
 
 def cache_key(digests: Sequence[str], options: Mapping[str, Any] | None = None) -> str:
@@ -37,6 +39,47 @@ def cached_tables(spark: SparkSession, root: str, key: str, make: Callable[[], M
     return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below spark.checkpoint.dir; on one machine without that setting, a temporary one."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if sc.applicationId not in _FOLDERS:
+            _FOLDERS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomspark-tables-")
+        base = _FOLDERS[sc.applicationId]
+    return f"{base.rstrip('/')}/tables-{sc.applicationId}"
+
+
+class StoredTables(Mapping):
+    """Tables that are written when they are first asked for and read from then on, with the columns a query needs.
+
+    make(name, tables) gives the DataFrame of a table; it may ask tables for others.
+    A table that is only partly there (its writer was lost) is written again.
+    """
+
+    def __init__(self, spark: SparkSession, key: str, names: Sequence[str], make: Callable[[str, Mapping[str, DataFrame]], DataFrame]):
+        self.spark, self.names, self.make = spark, tuple(names), make
+        self.root = f"{shared_folder(spark)}/{hashlib.sha256(key.encode()).hexdigest()[:24]}"
+        self.held: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        if name not in self.held:
+            df = self.make(name, self)
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+            self.held[name] = self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        return self.held[name]
+
+    def __iter__(self):
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
 def receipt(sql: str, inventory: DataFrame, status: str, rows: int, limits: Mapping[str, int]) -> dict[str, Any]:
     """What a run read and gave, as plain JSON: the inventory's digest does not depend on the order of files."""
     one = inventory.agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("path", "sha256")).alias("x")).first()
