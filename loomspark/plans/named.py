@@ -8,6 +8,7 @@ gives the SQL that the results are checked with:
     JSON(column, 'path') a JSON value as text
     JOINED(column)       distinct values, sorted, comma-joined; null if there are none
     COLLECTED(a, b)      values of b in the order of a, comma-joined
+    BYTES(text)          its length in UTF-8
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.plans.projection import ORACLE_TABLES
 
-_MACRO = re.compile(r"\b(ANY|JSON|JOINED|COLLECTED)\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
+_MACRO = re.compile(r"\b(ANY|JSON|JOINED|COLLECTED|BYTES)\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 
 
 def quoted(value: Any) -> str:
@@ -56,6 +57,8 @@ class Named:
                 return f"{head} IN ({', '.join(f':{tail}_{i}' for i in range(len(values)))})" if values else "TRUE"
             if name == "JSON":
                 return f"{'get_json_object' if dialect == 'spark' else 'json_extract_string'}({head}, {tail})"
+            if name == "BYTES":
+                return f"CAST({'octet_length' if dialect == 'spark' else 'strlen'}({inner}) AS BIGINT)"
             if name == "JOINED":
                 return f"nullif(array_join(array_sort(collect_set({inner})), ','), '')" if dialect == "spark" else f"string_agg(DISTINCT {inner}, ',' ORDER BY {inner})"
             if dialect == "spark":

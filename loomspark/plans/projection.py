@@ -35,10 +35,16 @@ _ERROR = """CASE WHEN event_type = 'error' THEN CASE k % 11 WHEN 1 THEN '(eval):
   WHEN 6 THEN 'command timed out' WHEN 7 THEN '--- FAIL: Test' || k WHEN 8 THEN './a.go:12:3: undefined: x' WHEN 9 THEN 'stopped' ELSE 'exit status ' || k END END"""
 _RESULT = """CASE WHEN event_type = 'signup' THEN 'File created: k' || k WHEN event_type = 'purchase' THEN 'k' || k || ' has been updated' WHEN event_type = 'error' THEN CASE WHEN k % 11 = 9 THEN repeat('row k' || k || ' ', 40) END ELSE 'ok k' || k END"""
 _TURN = "CASE WHEN user_id % 2 = 0 THEN source_ordinal % 8 ELSE source_ordinal % 97 END"
+_RECORD = "CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'orchestration' WHEN event_type = 'click' AND k % 2 = 0 THEN 'execution' WHEN event_type = 'purchase' AND k % 4 = 0 THEN 'file_change' ELSE 'tool_call' END"
+_CALL_META = """CASE WHEN event_type = 'click' THEN '{"source":"agent","parsed_cmd":"c' || k || '","stdout":"ok","stderr":""}' WHEN event_type = 'purchase' THEN '{"first_changed_line":' || k || ',"diff":"-a+b' || k || '"}' ELSE props END"""
+_TURN_META = """CASE WHEN (conv_id + turn) % 2 = 0 THEN '{"entrypoint":"cli","slug":"x' || conv_id || '","parent_uuid":"u' || turn || '","is_sidechain":false,"stop_reason":"end","cache_creation":{"short":' || turn || '}}' END"""
 _EXIT = "CASE WHEN event_type = 'click' THEN k % 3 WHEN event_type = 'error' THEN CASE WHEN k % 10 = 0 THEN 144 ELSE 1 END END"
 _CONTENT = "CASE WHEN role = 'user' AND (conv_id + turn) % 17 = 3 THEN 'This session is being continued from before. ' || text WHEN role = 'user' AND (conv_id + turn) % 19 = 4 THEN '<note> ' || text ELSE text END"
 
 
+ACTIVITY = ("tool_call_record_count", "orchestration_count", "execution_record_count", "file_change_count", "model_invocation_count", "file_touch_count", "confirmed_file_target_count")
+
+
 def _iso(ts):
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
@@ -60,7 +66,7 @@ def tool_calls(events: DataFrame) -> DataFrame:
         "tool_name",
         "operation_type",
         F.expr(_FILE).alias("file_path"),
-        F.when(spawned, "orchestration").otherwise("tool_call").alias("record_kind"),
+        F.expr(_RECORD).alias("record_kind"),
         F.expr(_COMMAND).alias("command"),
         F.when(runs & (F.col("k") % 5 == 0), F.concat(F.lit("needed for "), name)).alias("justification"),
         F.expr(_ARGUMENTS).alias("arguments_json"),
@@ -72,7 +78,7 @@ def tool_calls(events: DataFrame) -> DataFrame:
         F.floor(F.col("value") * 100 + 0.5).cast("long").alias("duration_ms"),
         F.when(F.col("k") % 7 == 0, 1).otherwise(0).cast("long").alias("truncated"),
         F.when(F.col("k") % 7 == 0, F.col("k") * 1000).alias("full_bytes"),
-        F.col("props").alias("framework_metadata_json"),
+        F.expr(_CALL_META).alias("framework_metadata_json"),
         F.when(spawned, "explorer").alias("spawned_agent_type"),
         F.when(spawned, F.concat(F.lit("s"), (F.col("user_id") + 1).cast("string"))).alias("spawned_agent_sub_session_id"),
     )
@@ -90,6 +96,7 @@ def turns(conversations: DataFrame) -> DataFrame:
         F.when((F.col("role") == "user") & (F.col("turn") % 3 != 2), "human").otherwise("framework").alias("source"),
         F.when(assistant, F.concat(F.lit("model-"), ((F.col("conv_id") + F.col("turn")) % 3).cast("string"))).alias("model"),
         F.expr(_CONTENT).alias("content"),
+        F.expr(_TURN_META).alias("framework_metadata_json"),
         F.when(F.col("role") == "user", F.length("text")).cast("long").alias("input_tokens"),
         F.when(assistant, F.length("text")).cast("long").alias("output_tokens"),
         mod(F.col("conv_id") * 7919 + F.col("turn") * 104729, 200000).alias("cache_read_tokens"),
@@ -125,9 +132,11 @@ def files(calls: DataFrame) -> DataFrame:
 
 def metrics(calls: DataFrame, turns_: DataFrame) -> DataFrame:
     n = lambda op: F.count_if((F.col("operation_type") == op) & (F.col("record_kind") != "orchestration")).alias(f"{op}")
+    kinds = lambda kind, name: F.count_if(F.col("record_kind") == kind).alias(name)
     c = calls.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("tool_call_count"), n("READ"), n("MODIFY"), n("NEW"), n("EXECUTE"), F.count("spawned_agent_type").alias("subagent_count"),
-        F.count_if(F.col("record_kind") == "orchestration").alias("orchestration_count"), F.count("file_path").alias("file_touch_count"),
+        kinds("orchestration", "orchestration_count"), kinds("execution", "execution_record_count"), kinds("file_change", "file_change_count"), kinds("tool_call", "tool_call_record_count"), kinds("tool_call", "model_invocation_count"),
+        F.count("file_path").alias("file_touch_count"), F.count_if(F.col("file_path").isNotNull() & (F.col("success") == 1)).alias("confirmed_file_target_count"),
     )
     t = turns_.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("turn_count"), F.sum("input_tokens").alias("total_input_tokens"), F.sum("output_tokens").alias("total_output_tokens"), F.sum("cache_read_tokens").alias("total_cache_read_tokens"),
@@ -135,7 +144,7 @@ def metrics(calls: DataFrame, turns_: DataFrame) -> DataFrame:
     )
     return c.join(t, "session_id", "left").select(
         "session_id", F.coalesce("turn_count", F.lit(0)).alias("turn_count"), "tool_call_count", F.col("READ").alias("read_count"), F.col("MODIFY").alias("modify_count"), F.col("NEW").alias("create_count"), F.col("EXECUTE").alias("execute_count"),
-        (F.floor(F.col("READ") * 1000 / F.col("tool_call_count")) / 1000).alias("read_ratio"), "subagent_count", "orchestration_count", "file_touch_count",
+        (F.floor(F.col("READ") * 1000 / F.col("tool_call_count")) / 1000).alias("read_ratio"), "subagent_count", *ACTIVITY,
         "total_input_tokens", "total_output_tokens", "total_cache_read_tokens", "total_cache_creation_tokens", "max_response_tokens", "unique_models",
     )
 
@@ -154,7 +163,7 @@ def sessions(events: DataFrame, metrics_: DataFrame) -> DataFrame:
         F.hour("a").cast("long").alias("hour_of_day"), F.weekday("a").cast("long").alias("day_of_week"), (u % 3 != 0).cast("long").alias("for_research"), (u % 11 == 0).cast("long").alias("contains_pii"),
         F.when(u % 6 == 0, F.concat(F.lit("s"), s(u + 1))).alias("predecessor_session"), F.lit("workspace").alias("permission_level"), F.when(u % 4 == 1, F.concat(F.lit("You are helper "), s(u % 3))).alias("system_prompt"),
     )
-    m = metrics_.select("session_id", "turn_count", "tool_call_count", "read_count", "modify_count", "create_count", "execute_count")
+    m = metrics_.select("session_id", "turn_count", "tool_call_count", "read_count", "modify_count", "create_count", "execute_count", *ACTIVITY)
     quality = F.when((F.col("turn_count") > 5) & (F.col("tool_call_count") > 10), "A").when(F.col("turn_count") > 0, "B").otherwise("C")
     return base.join(m, "session_id").withColumn("quality", quality)
 
@@ -211,15 +220,15 @@ def project(spark: SparkSession, sf_dir: str) -> StoredTables:
 ORACLE_TABLES = f"""
 tc0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS source_ordinal, {_OPERATION} AS operation_type FROM events),
 tool_calls AS (SELECT 's' || user_id AS session_id, 'c' || event_id AS tool_call_id, source_ordinal, {_TURN} AS emitting_turn_index, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS "timestamp", {_TOOL} AS tool_name, operation_type,
-  {_FILE} AS file_path, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'orchestration' ELSE 'tool_call' END AS record_kind,
+  {_FILE} AS file_path, {_RECORD} AS record_kind,
   {_COMMAND} AS command,
   CASE WHEN operation_type = 'EXECUTE' AND k % 5 = 0 THEN 'needed for k' || k END AS justification, {_ARGUMENTS} AS arguments_json,
   CAST(CASE WHEN event_type = 'error' THEN 0 WHEN event_type <> 'signup' THEN 1 END AS BIGINT) AS success, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'unknown' ELSE 'succeeded' END AS outcome_status,
   {_RESULT} AS result, {_ERROR} AS error, CAST({_EXIT} AS BIGINT) AS exit_code,
-  CAST(floor(value * 100 + 0.5::DOUBLE) AS BIGINT) AS duration_ms, CAST(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS truncated, CASE WHEN k % 7 = 0 THEN k * 1000 END AS full_bytes, props AS framework_metadata_json,
+  CAST(floor(value * 100 + 0.5::DOUBLE) AS BIGINT) AS duration_ms, CAST(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS truncated, CASE WHEN k % 7 = 0 THEN k * 1000 END AS full_bytes, {_CALL_META} AS framework_metadata_json, CAST(NULL AS VARCHAR) AS output_status, CAST(NULL AS VARCHAR) AS full_hash, CAST(NULL AS VARCHAR) AS full_reference, CAST(NULL AS VARCHAR) AS raw_json,
   CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'explorer' END AS spawned_agent_type, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 's' || (user_id + 1) END AS spawned_agent_sub_session_id FROM tc0),
 turns AS (SELECT 's' || conv_id AS session_id, turn AS turn_index, strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 60 * (1 + (conv_id * turn) % 13)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS "timestamp", role,
-  CASE WHEN role = 'user' AND turn % 3 <> 2 THEN 'human' ELSE 'framework' END AS source, CASE WHEN role = 'assistant' THEN 'model-' || ((conv_id + turn) % 3) END AS model, {_CONTENT} AS content, CAST(NULL AS VARCHAR) AS content_type,
+  CASE WHEN role = 'user' AND turn % 3 <> 2 THEN 'human' ELSE 'framework' END AS source, CASE WHEN role = 'assistant' THEN 'model-' || ((conv_id + turn) % 3) END AS model, {_CONTENT} AS content, CAST(NULL AS VARCHAR) AS content_type, {_TURN_META} AS framework_metadata_json, CAST(NULL AS VARCHAR) AS thinking, CAST(NULL AS BIGINT) AS reasoning_tokens, CAST(NULL AS BIGINT) AS tool_tokens, CAST(NULL AS VARCHAR) AS raw_json,
   CASE WHEN role = 'user' THEN length(text) END AS input_tokens, CASE WHEN role = 'assistant' THEN length(text) END AS output_tokens,
   CASE WHEN role = 'assistant' THEN (conv_id * 7919 + turn * 104729) % 200000 END AS cache_read_tokens, CASE WHEN role = 'assistant' THEN (conv_id * turn) % 500 END AS cache_creation_tokens FROM conversations),
 annotations AS (SELECT 's' || (doc_id % 150) AS session_id, 'a' || doc_id AS annotation_id, CASE WHEN doc_id % 2 = 0 THEN 'reviewer' ELSE 'tool' END AS annotator, CASE WHEN doc_id % 5 = 0 THEN 'tool_call' ELSE 'session' END AS scope_type,
@@ -230,10 +239,11 @@ files AS (SELECT session_id, tool_call_id, file_path AS path, operation_type, to
   CASE WHEN success = 1 THEN 'confirmed' ELSE 'attempted' END AS evidence_status, '/home/dev/repo' AS cwd, CAST(1 AS BIGINT) AS resolved FROM tool_calls WHERE file_path IS NOT NULL),
 m0 AS (SELECT session_id, count(*) AS tool_call_count, count(*) FILTER (WHERE operation_type = 'READ' AND record_kind <> 'orchestration') AS read_count, count(*) FILTER (WHERE operation_type = 'MODIFY' AND record_kind <> 'orchestration') AS modify_count,
   count(*) FILTER (WHERE operation_type = 'NEW' AND record_kind <> 'orchestration') AS create_count, count(*) FILTER (WHERE operation_type = 'EXECUTE' AND record_kind <> 'orchestration') AS execute_count, count(spawned_agent_type) AS subagent_count,
-  count(*) FILTER (WHERE record_kind = 'orchestration') AS orchestration_count, count(file_path) AS file_touch_count FROM tool_calls GROUP BY session_id),
+  count(*) FILTER (WHERE record_kind = 'orchestration') AS orchestration_count, count(*) FILTER (WHERE record_kind = 'execution') AS execution_record_count, count(*) FILTER (WHERE record_kind = 'file_change') AS file_change_count,
+  count(*) FILTER (WHERE record_kind = 'tool_call') AS tool_call_record_count, count(*) FILTER (WHERE record_kind = 'tool_call') AS model_invocation_count, count(file_path) AS file_touch_count, count(*) FILTER (WHERE file_path IS NOT NULL AND success = 1) AS confirmed_file_target_count FROM tool_calls GROUP BY session_id),
 m1 AS (SELECT session_id, count(*) AS turn_count, CAST(sum(input_tokens) AS BIGINT) AS total_input_tokens, CAST(sum(output_tokens) AS BIGINT) AS total_output_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS total_cache_read_tokens,
   CAST(sum(cache_creation_tokens) AS BIGINT) AS total_cache_creation_tokens, max(output_tokens) AS max_response_tokens, CASE WHEN count(DISTINCT model) >= 2 THEN count(DISTINCT model) END AS unique_models FROM turns GROUP BY session_id),
-metrics AS (SELECT m0.session_id, coalesce(turn_count, 0) AS turn_count, tool_call_count, read_count, modify_count, create_count, execute_count, CAST(floor(read_count * 1000 / CAST(tool_call_count AS DOUBLE)) AS DOUBLE) / 1000 AS read_ratio, subagent_count, orchestration_count, file_touch_count,
+metrics AS (SELECT m0.session_id, coalesce(turn_count, 0) AS turn_count, tool_call_count, read_count, modify_count, create_count, execute_count, CAST(floor(read_count * 1000 / CAST(tool_call_count AS DOUBLE)) AS DOUBLE) / 1000 AS read_ratio, subagent_count, {', '.join(ACTIVITY)},
   total_input_tokens, total_output_tokens, total_cache_read_tokens, total_cache_creation_tokens, max_response_tokens, unique_models, CAST(NULL AS DOUBLE) AS idle_ratio, CAST(NULL AS DOUBLE) AS time_to_first_action, CAST(NULL AS BIGINT) AS delegate_count FROM m0 LEFT JOIN m1 ON m0.session_id = m1.session_id),
 g0 AS (SELECT user_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events),
 g1 AS (SELECT user_id, min(ts) AS a, max(ts) AS b, coalesce(sum(gap) FILTER (WHERE gap <= 3600000000), 0) AS active FROM g0 GROUP BY user_id),
@@ -242,7 +252,7 @@ sessions AS (SELECT 's' || user_id AS session_id, 'full' AS profile, 'Session '
   CASE WHEN user_id % 2 = 0 THEN 'north' ELSE 'south' END AS provider_hint, '/home/dev/p' || (user_id % 7) AS working_directory, strftime(a, '%Y-%m-%dT%H:%M:%SZ') AS started_at, strftime(b, '%Y-%m-%dT%H:%M:%SZ') AS ended_at,
   CAST((epoch_us(b) - epoch_us(a)) // 1000000 AS DOUBLE) AS duration_seconds, CAST(CAST(active AS BIGINT) // 1000000 AS DOUBLE) AS active_duration_seconds, CAST(hour(a) AS BIGINT) AS hour_of_day, CAST(isodow(a) - 1 AS BIGINT) AS day_of_week,
   CAST(user_id % 3 <> 0 AS BIGINT) AS for_research, CAST(user_id % 11 = 0 AS BIGINT) AS contains_pii, CASE WHEN user_id % 6 = 0 THEN 's' || (user_id + 1) END AS predecessor_session, 'workspace' AS permission_level,
-  CASE WHEN user_id % 4 = 1 THEN 'You are helper ' || (user_id % 3) END AS system_prompt, m.turn_count, m.tool_call_count, m.read_count, m.modify_count, m.create_count, m.execute_count,
+  CASE WHEN user_id % 4 = 1 THEN 'You are helper ' || (user_id % 3) END AS system_prompt, m.turn_count, m.tool_call_count, m.read_count, m.modify_count, m.create_count, m.execute_count, {', '.join('m.' + x for x in ACTIVITY)},
   CASE WHEN m.turn_count > 5 AND m.tool_call_count > 10 THEN 'A' WHEN m.turn_count > 0 THEN 'B' ELSE 'C' END AS quality, CAST(NULL AS VARCHAR) AS model_version, CAST(NULL AS VARCHAR) AS agent_version, CAST(NULL AS VARCHAR) AS summary
   FROM g1 JOIN metrics m ON m.session_id = 's' || user_id),
 handovers AS (SELECT session_id, 'received' AS direction, predecessor_session AS from_session, session_id AS to_session, 'notes of ' || title AS document, CAST(NULL AS VARCHAR) AS state_description FROM sessions WHERE predecessor_session IS NOT NULL),
