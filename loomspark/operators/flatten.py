@@ -159,3 +159,10 @@ def flatten(docs: DataFrame) -> dict[str, DataFrame]:
     """docs (columns of a session document, one row per id) as the ten tables."""
     assert set(BUILDERS) == set(TABLES) and set(KEYS) < set(TABLES)
     return {name: build(docs) for name, build in BUILDERS.items()}
+
+
+def sessions_base(sessions: DataFrame) -> DataFrame:
+    """The older view of sessions: a few columns and the nested parts of the document as JSON texts."""
+    plain = ("title", "summary", "classification", "profile")
+    nested = ("provenance", "flags", "environment", "operational_context", "timing", "turns", "tool_calls", "annotations", "metrics")
+    return sessions.select(F.col("session_id").alias("id"), *plain, *[F.get_json_object("raw_json", f"$.{n}").alias(n) for n in nested])

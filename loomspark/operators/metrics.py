@@ -45,10 +45,22 @@ def millis_between(a: Column, b: Column) -> Column:
     return F.when(ms >= 0, ms)
 
 
+def cut_bytes(text: Column, most: int) -> Column:
+    """The longest head of text of at most so many bytes of UTF-8."""
+    # a code point has four bytes at most and one at least: the head lies between most / 4 and most characters
+    sizes = F.transform(F.sequence(F.lit(most), F.lit(0), F.lit(-1)), lambda n: F.struct((F.octet_length(F.substr(text, F.lit(1), n)) <= most).alias("fits"), n.alias("n")))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substr(text, F.lit(1), F.get(F.filter(sizes, lambda x: x["fits"]), F.lit(0))["n"]))
+
+
 def title_of(turns: Column) -> Column:
-    """The first person's turn that isn't blank, on one line, up to 80 characters."""
+    """The first person's turn that isn't blank, line ends as spaces, up to 80 bytes."""
     said = F.filter(turns, lambda t: (t["role"] == "user") & (t["source"] == "human") & (F.trim(F.coalesce(t["content"], F.lit(""))) != ""))
-    return F.substring(F.trim(F.regexp_replace(F.get(said, F.lit(0))["content"], "\\s*\\n\\s*", " ")), 1, 80)
+    return cut_bytes(F.trim(F.replace(F.get(said, F.lit(0))["content"], F.lit("\n"), F.lit(" "))), 80)
+
+
+def names_home(path: str) -> Column:
+    """Whether any path lies in a person's home (aggregate)."""
+    return F.coalesce(F.bool_or(F.contains(path, F.lit("/Users/")) | F.contains(path, F.lit("/home/"))), F.lit(False))
 
 
 def timing(stamps: DataFrame, key: str = "session_id", ts: str = "ts") -> DataFrame:

@@ -165,7 +165,8 @@ def sessions(events: DataFrame, metrics_: DataFrame) -> DataFrame:
     )
     m = metrics_.select("session_id", "turn_count", "tool_call_count", "read_count", "modify_count", "create_count", "execute_count", *ACTIVITY)
     quality = F.when((F.col("turn_count") > 5) & (F.col("tool_call_count") > 10), "A").when(F.col("turn_count") > 0, "B").otherwise("C")
-    return base.join(m, "session_id").withColumn("quality", quality)
+    raw = F.concat(F.lit('{"timing":{"started_at":"'), "started_at", F.lit('"},"flags":{"contains_pii":'), F.col("contains_pii").cast("string"), F.lit('},"metrics":{"turn_count":'), F.col("turn_count").cast("string"), F.lit("}}"))
+    return base.join(m, "session_id").withColumn("quality", quality).withColumn("raw_json", raw)
 
 
 def handovers(sessions_: DataFrame) -> DataFrame:
@@ -253,7 +254,8 @@ sessions AS (SELECT 's' || user_id AS session_id, 'full' AS profile, 'Session '
   CAST((epoch_us(b) - epoch_us(a)) // 1000000 AS DOUBLE) AS duration_seconds, CAST(CAST(active AS BIGINT) // 1000000 AS DOUBLE) AS active_duration_seconds, CAST(hour(a) AS BIGINT) AS hour_of_day, CAST(isodow(a) - 1 AS BIGINT) AS day_of_week,
   CAST(user_id % 3 <> 0 AS BIGINT) AS for_research, CAST(user_id % 11 = 0 AS BIGINT) AS contains_pii, CASE WHEN user_id % 6 = 0 THEN 's' || (user_id + 1) END AS predecessor_session, 'workspace' AS permission_level,
   CASE WHEN user_id % 4 = 1 THEN 'You are helper ' || (user_id % 3) END AS system_prompt, m.turn_count, m.tool_call_count, m.read_count, m.modify_count, m.create_count, m.execute_count, {', '.join('m.' + x for x in ACTIVITY)},
-  CASE WHEN m.turn_count > 5 AND m.tool_call_count > 10 THEN 'A' WHEN m.turn_count > 0 THEN 'B' ELSE 'C' END AS quality, CAST(NULL AS VARCHAR) AS model_version, CAST(NULL AS VARCHAR) AS agent_version, CAST(NULL AS VARCHAR) AS summary
+  CASE WHEN m.turn_count > 5 AND m.tool_call_count > 10 THEN 'A' WHEN m.turn_count > 0 THEN 'B' ELSE 'C' END AS quality, CAST(NULL AS VARCHAR) AS model_version, CAST(NULL AS VARCHAR) AS agent_version, CAST(NULL AS VARCHAR) AS summary,
+  '{{"timing":{{"started_at":"' || strftime(a, '%Y-%m-%dT%H:%M:%SZ') || '"}},"flags":{{"contains_pii":' || CAST(user_id % 11 = 0 AS BIGINT) || '}},"metrics":{{"turn_count":' || m.turn_count || '}}}}' AS raw_json
   FROM g1 JOIN metrics m ON m.session_id = 's' || user_id),
 handovers AS (SELECT session_id, 'received' AS direction, predecessor_session AS from_session, session_id AS to_session, 'notes of ' || title AS document, CAST(NULL AS VARCHAR) AS state_description FROM sessions WHERE predecessor_session IS NOT NULL),
 turn_tool_calls AS (SELECT session_id, emitting_turn_index AS turn_index, tool_call_id, row_number() OVER (PARTITION BY session_id, emitting_turn_index ORDER BY source_ordinal) - 1 AS ordinal FROM tool_calls),

@@ -172,7 +172,13 @@ def pricing_summary(s, d):
     return li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.sum(price).alias("price_cents"), F.sum(price * disc).alias("net"), F.avg("l_quantity").alias("avg_quantity"))
 
 
+def playground(s, d, rows: int = 12, label: str = "row"):
+    """Rows from parameters alone."""
+    return s.range(1, rows + 1).select(F.col("id").alias("n"), F.concat_ws(" ", F.lit(label), F.col("id").cast("string")).alias("label"), (F.col("id") * F.col("id")).alias("square"))
+
+
 RELATIONAL = {
+    "shw_21": (playground, "SELECT range AS n, 'row ' || range AS label, range * range AS square FROM range(1, 13)"),
     "sql_01_projection": (projection, "SELECT p_partkey, upper(p_brand) AS brand, CAST(p_size * 2 + 1 AS BIGINT) AS size2 FROM part"),
     "sql_02_filters": (filters, "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_name NOT ILIKE '%7%'"),
     "sql_04_inner_join": (inner_join, "SELECT c_mktsegment, count(*) AS orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),

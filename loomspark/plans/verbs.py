@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators import sequence as S
+from loomspark.operators.flatten import sessions_base
 from loomspark.plans.history import HISTORY, SQL, api_call_runs, compactions
 from loomspark.plans.projection import ORACLE_TABLES
 
@@ -97,6 +98,7 @@ VERBS: dict[str, tuple[Callable[[Tables], DataFrame], str]] = {
     "met_09": (model_switches, "SELECT session_id, CASE WHEN count(DISTINCT model) >= 2 THEN count(*) FILTER (WHERE prev <> model) END AS model_switches, CASE WHEN count(DISTINCT model) >= 2 THEN count(DISTINCT model) END AS unique_models, list_sort(list(output_tokens))[count(*) // 2 + 1] AS median_response_tokens, max(output_tokens) AS max_response_tokens FROM (SELECT *, lag(model) OVER (PARTITION BY session_id ORDER BY turn_index) AS prev FROM turns WHERE model IS NOT NULL) x GROUP BY 1"),
     "met_22": (blocks, "SELECT session_id, CAST(block AS BIGINT) AS block, min(turn_index) AS first_turn, count(*) FILTER (WHERE role = 'assistant') AS agent_turns, max(\"timestamp\") AS last_time FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn_index) AS block FROM turns) x GROUP BY 1, 2"),
     "met_24": (unassociated_calls, "SELECT session_id, tool_call_id, emitting_turn_index AS turn_index FROM tool_calls c WHERE NOT EXISTS (SELECT 1 FROM turns t WHERE t.session_id = c.session_id AND t.turn_index = c.emitting_turn_index)"),
+    "sql_29": (lambda t: sessions_base(t["sessions"]), "SELECT session_id AS id, title, summary, classification, profile, " + ", ".join(f"json_extract_string(raw_json, '$.{n}') AS {n}" for n in ("provenance", "flags", "environment", "operational_context", "timing", "turns", "tool_calls", "annotations", "metrics")) + " FROM sessions"),
 } | {key: (fn, SQL[key]) for key, fn in HISTORY.items()}
 
 

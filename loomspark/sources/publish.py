@@ -45,9 +45,9 @@ def publish(docs: DataFrame, path: str, on_collision: str = "error") -> DataFram
     planned = plan_publication(new, old)
     if on_collision == "error" and (bad := planned.where("status = 'replaced'").select("id").limit(5).collect()):
         raise Collision(", ".join(r.id for r in bad))
-    # what happened to each id is kept beside the archive: the archive itself changes below
-    statuses = f"{path.rstrip('/')}.status"
-    planned.select("id", "period", "status").write.mode("overwrite").parquet(statuses)
+    # what is to happen to each id is kept beside the archive, which itself changes below; it counts once the rows are there
+    statuses, planned_at = f"{path.rstrip('/')}.status", f"{path.rstrip('/')}.planned"
+    planned.select("id", "period", "status").write.mode("overwrite").parquet(planned_at)
     changed = planned.where("status <> 'unchanged'")
     rows = changed.drop("status")
     if old is not None:
@@ -58,6 +58,7 @@ def publish(docs: DataFrame, path: str, on_collision: str = "error") -> DataFram
         rows.write.mode("overwrite").parquet(staged)
         rows = spark.read.schema(rows.schema).parquet(staged)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+    spark.read.schema("id string, period string, status string").parquet(planned_at).write.mode("overwrite").parquet(statuses)
     return spark.read.schema("id string, period string, status string").parquet(statuses)
 
 
