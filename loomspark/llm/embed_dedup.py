@@ -29,6 +29,8 @@ PIVOTS = (32, 4096)
 PIVOT_COSINE = 0.8
 #: Nearest pivots that describe a vector: 15 lists each.
 PREFIX = 6
+#: Lists up to this long meet together, about as many rows at a time.
+BUCKET = 192
 BLOCK = 512
 
 
@@ -85,20 +87,22 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, prefix: int = PREFI
     couples = F.when(F.size("pivots") > 1, couples).otherwise(F.transform(named, lambda p: F.struct(p.alias("p"), p.alias("q"))))
     lists = described.select("label", F.size("embedding").alias("dim"), "rep", F.explode(couples).alias("c")).select("label", "dim", "c.p", "c.q", "rep")
     sizes = lists.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    # number of blocks, the block of the vector and the pairs of blocks that it takes part in
-    placed = lists.join(sizes.select(*key, F.ceil(F.col("size") / BLOCK).cast("int").alias("nb")), key)
-    placed = placed.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    placed = placed.select(*key, F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"), "blk", "rep")
+    # short lists of one length of vectors share a bucket; of a long one the number of blocks, the block of the vector and the pairs of blocks that it takes part in
+    placed = lists.join(sizes.select(*key, F.when(F.col("size") > BUCKET, F.ceil(F.col("size") / BLOCK)).otherwise(0).cast("int").alias("nb")), key)
+    long = F.col("nb") > 0
+    placed = placed.withColumn("list", F.xxhash64(*key)).withColumn("bucket", F.when(long, F.col("list")).otherwise(F.pmod("list", F.lit(-(-total * prefix * prefix // (2 * BUCKET))))))
+    placed = placed.withColumn("blk", F.when(long, F.pmod(F.xxhash64("rep"), F.col("nb"))).otherwise(0).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.when(long, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(F.lit(0)))))
+    placed = placed.select("dim", long.alias("long"), "bucket", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"), "list", "p", "q", "blk", "rep")
     tiles = placed.join(described.drop("label"), "rep")
 
     def meet(group, table: pa.Table) -> pa.Table:
-        p, q, ti, tj = group[2:]
-        rep, n, blk = (table.column(c).to_numpy() for c in ("rep", "n", "blk"))
+        ti, tj = group[3:]
+        rep, n, blk, lists_, p, q = (table.column(c).to_numpy() for c in ("rep", "n", "blk", "list", "p", "q"))
         v, x = _unit(matrix(table.column("embedding"))), matrix(table.column("pivots"), np.int64)
         order = np.argsort(rep, kind="stable")
-        rep, n, blk, v, x = rep[order], n[order], blk[order], v[order], x[order]
-        link = v @ v.T >= cosine
+        rep, n, blk, lists_, p, q, v, x = rep[order], n[order], blk[order], lists_[order], p[order, None], q[order, None], v[order], x[order]
+        link = (v @ v.T >= cosine) & (lists_[:, None] == lists_[None, :])
         np.fill_diagonal(link, False)
         if ti != tj:
             link &= blk[:, None] != blk[None, :]
@@ -111,7 +115,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, prefix: int = PREFI
             label = new
         # a pair counts in the list of its two smallest shared pivots only: no other shared one below q
         at, other = np.nonzero((x < q) & (x != p))
-        if len(at):
+        if len(at) and link.any():
             seen, column = np.unique(x[at, other], return_inverse=True)
             has = np.zeros((len(x), len(seen)), np.float32)
             has[at, column] = 1
@@ -120,7 +124,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, prefix: int = PREFI
         use = (links > 0) | (label != np.arange(len(rep)))
         return pa.table({"rep": rep[use], "links": links[use].astype(np.int64), "root": rep[label][use]})
 
-    met = save(map_groups(tiles, [*key, "ti", "tj"], meet, "rep long, links long, root long"), "links")
+    met = save(map_groups(tiles, ["dim", "long", "bucket", "ti", "tj"], meet, "rep long, links long, root long"), "links")
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(met.where("rep <> root").select("rep", "root").distinct(), "rep", "root")
     per_class = classes.select("label", "h1", "h2", "rep", "n").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
