@@ -49,6 +49,8 @@ def load(sources: DataFrame, auto_convert: bool = True, strict: bool = False) ->
     diagnostics: path, level, message.  strict raises at the first bad source; otherwise
     bad sources are errors in the diagnostics and the others are loaded.
     """
+    # unions of differently coalesced shuffles fail in Spark 4.1 when they keep their children's partitioning
+    sources.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     native = documents(sources, strict=False)
     good = native.where("error is null")
     rest = sources.join(native.where("error is not null").select("path"), "path", "left_semi")

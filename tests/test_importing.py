@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from loomspark import schema
 from loomspark.operators import metrics
 from loomspark.sources import chat_transcripts, claude_code, importing
 from loomspark.sources.annotations import AnnotationStore
@@ -23,15 +24,22 @@ def test_load(spark, tmp_path):
         importing.load(df, strict=True)
     only, told = importing.load(source(spark, native=native, pi=pi), auto_convert=False)
     assert only["sessions"].count() == 1 and [r.path for r in told.collect()] == ["pi"]
+
+
+def test_receipt_and_saved_import(spark, tmp_path):
+    df = source(spark, a="x", b="y")
+    tables = schema.empty(spark) | {"sessions": spark.createDataFrame([("s1",)], "session_id string")}
+    tables = {n: tables[n] for n in ("sessions", "turns", "tool_calls")}
+    told = spark.createDataFrame([("b", "error", "no known format")], "path string, level string, message string")
     receipt = importing.conversion_receipt(df, tables, told)
-    assert receipt["status"] == "partial" and receipt["outputs"]["sessions"] == 2 and receipt["inputs"]["files"] == 5
-    assert receipt["inputs"] == importing.conversion_receipt(df.repartition(3), tables, told)["inputs"]
+    assert receipt["status"] == "partial" and receipt["outputs"] == {"sessions": 1, "turns": 0, "tool_calls": 0} and receipt["inputs"]["files"] == 2 and receipt["failures"] == 1
+    assert receipt["inputs"] == importing.conversion_receipt(df.repartition(3), {}, told)["inputs"]
     path = importing.save_import(tables, str(tmp_path), "one")
-    assert spark.read.parquet(f"{path}/sessions").count() == 2
+    assert spark.read.parquet(f"{path}/sessions").count() == 1
     with pytest.raises(ValueError):
         importing.save_import(tables, str(tmp_path), "../x")
-    importing.emit(tables["turns"].select("session_id", "role"), str(tmp_path / "out"), "csv")
-    assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["session_id", "role"]
+    importing.emit(tables["sessions"], str(tmp_path / "out"), "csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["session_id"]
 
 
 def test_runtime_archives_and_query_files(spark, tmp_path):
