@@ -44,7 +44,7 @@ BOUND_SHARE = 16
 WIDER = 4.0
 TABLES = 4
 #: (projections a table, cell width in standard deviations, most probes a table), finest first.
-SHAPES = ((10, 2.0, 160), (8, 1.8, 160), (6, 1.6, 160), (4, 1.4, 81), (3, 1.6, 27))
+SHAPES = ((10, 2.0, 80), (8, 1.8, 80), (6, 1.6, 80), (4, 1.4, 81), (3, 1.6, 27))
 #: Points and queries of a bucket that meet in one call.
 BLOCK = 1024
 #: Bucket counts up to this many rows are broadcast; more are joined by shuffle.
