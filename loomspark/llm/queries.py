@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from loomspark.llm import ann, embed_dedup, filter_audit, langid, line_dedup, mixing, ngram_join, packing, pii, secrets, warc
+from loomspark.llm import ann, decontaminate, embed_dedup, filter_audit, langid, line_dedup, mixing, ngram_join, packing, pii, secrets, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_language_id": langid.op10_language_id,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_decontaminate": decontaminate.op12_decontaminate,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_mix_sources": mixing.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_decontaminate": decontaminate.ORACLE,
 }
