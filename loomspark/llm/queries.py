@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from loomspark.llm import ann, decontaminate, embed_dedup, filter_audit, langid, line_dedup, mixing, ngram_join, packing, pii, secrets, warc
+from loomspark.llm import ann, decontaminate, embed_dedup, filter_audit, langid, line_dedup, mixing, ngram_join, packing, pii, secrets, vector_codes, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_decontaminate": decontaminate.op12_decontaminate,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op9_ngram_join": ngram_join.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
     "op12_decontaminate": decontaminate.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
