@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.schema import SESSION_DDL
+from loomspark.sources import records
 
 ARCHIVE_GLOB = "*.minitrace.json"
 SUFFIXES = (".minitrace.json", ".jsonl")
@@ -59,6 +60,11 @@ class SourceSet:
             raise SourceError(f"{name} is empty")
         return replace(self, inline=(*self.inline, (name, text)))
 
+    def logs(self, spark: SparkSession, range_bytes: int = records.RANGE) -> DataFrame:
+        """(path, line_no, value, diagnostic) of the sources named .jsonl, each file read by many tasks."""
+        paths = [p for p in self.paths if p.endswith(".jsonl")]
+        return records.records(spark, paths, range_bytes, skip_blank=True).select("path", "line_no", F.rtrim("value", F.lit("\r\n ")).alias("value"), "diagnostic")
+
     def read(self, spark: SparkSession) -> DataFrame:
         """(path, content): one row per source, read on the executors."""
         parts = []
@@ -122,10 +128,9 @@ def last_activity(all_lines: DataFrame) -> DataFrame:
     return all_lines.groupBy("path").agg(F.max(stamp).alias("last_time"))
 
 
-def heads(spark: SparkSession, paths: Sequence[str], limit_bytes: int = 1 << 18, limit_records: int = 50) -> DataFrame:
-    """(path, line_no, value) of the first records of each file, for discovery."""
-    head = spark.read.format("binaryFile").load(list(paths)).select("path", F.substring("content", 1, limit_bytes).cast("string").alias("content"))
-    return lines(head).where(F.col("line_no") <= limit_records)
+def heads(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, line_no, value) of the first records of each file, for discovery; no more than their bytes are read."""
+    return records.heads(spark, paths).where("value is not null").select("path", "line_no", F.rtrim("value", F.lit("\r\n ")).alias("value"))
 
 
 def inventory(sources: DataFrame) -> DataFrame:

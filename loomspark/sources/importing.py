@@ -43,9 +43,29 @@ def checked_lines(sources: DataFrame, line_bytes: int = LINE_BYTES) -> tuple[Dat
     return marked.where("message is null").drop("message"), marked.where("message is not null").select("path", "message").unionByName(empty)
 
 
-def load(sources: DataFrame, auto_convert: bool = True, strict: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+# What the reader of logs says about records, as messages.
+_SAID = {"record_too_large": "record too large", "invalid_utf8": "not UTF-8", "invalid_record": "not a JSON object"}
+
+
+def load_set(spark: SparkSession, sources: SourceSet, strict: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """load() of a source set: logs are read by byte ranges, so one of any size is dealt over many tasks; documents are whole."""
+    logs = [p for p in sources.paths if p.endswith(".jsonl")]
+    whole = SourceSet(tuple(p for p in sources.paths if not p.endswith(".jsonl")), sources.inline)
+    df = whole.read(spark) if whole.paths or whole.inline else spark.createDataFrame([], "path string, content string")
+    if not logs:
+        return load(df, strict=strict)
+    every = SourceSet(tuple(logs)).logs(spark)
+    line = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "))
+    message = F.concat(line, F.coalesce(*[F.when(F.col("diagnostic") == k, v) for k, v in _SAID.items()]))
+    empty = spark.createDataFrame([(p,) for p in logs], "path string").join(every.select("path"), "path", "left_anti").select("path", F.lit("no records").alias("message"))
+    bad = every.where("diagnostic is not null").select("path", message.alias("message")).unionByName(empty)
+    return load(df, strict=strict, logs=(every.where("diagnostic is null").drop("diagnostic"), bad))
+
+
+def load(sources: DataFrame, auto_convert: bool = True, strict: bool = False, logs: tuple[DataFrame, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, diagnostics) of sources (path, content): native documents, and with auto_convert logs of every known format.
 
+    logs: records (path, line_no, value) and diagnostics (path, message) of logs that are read already.
     diagnostics: path, level, message.  strict raises at the first bad source; otherwise
     bad sources are errors in the diagnostics and the others are loaded.
     """
@@ -57,6 +77,8 @@ def load(sources: DataFrame, auto_convert: bool = True, strict: bool = False) ->
     tables = {name: [df] for name, df in flatten(good.select("doc.*")).items()}
     if auto_convert:
         records, bad = checked_lines(rest)
+        if logs is not None:
+            records, bad = records.unionByName(logs[0]), bad.unionByName(logs[1])
         # a log with a bad record is not loaded in part
         records = records.join(bad.select("path").distinct(), "path", "left_anti")
         formats = detect(records)
@@ -64,7 +86,8 @@ def load(sources: DataFrame, auto_convert: bool = True, strict: bool = False) ->
             mine = records.join(formats.where(F.col("format") == name).select("path"), "path", "left_semi")
             for table, df in convert(mine, name).items():
                 tables.setdefault(table, []).append(df)
-        none = rest.select("path").join(formats.select("path").unionByName(bad.select("path")), "path", "left_anti").select("path", F.lit("no known format").alias("message"))
+        known = rest.select("path") if logs is None else rest.select("path").unionByName(logs[0].select("path").distinct())
+        none = known.join(formats.select("path").unionByName(bad.select("path")), "path", "left_anti").select("path", F.lit("no known format").alias("message"))
         told = bad.unionByName(none)
     else:
         told = native.where("error is not null").select("path", F.col("error").alias("message"))

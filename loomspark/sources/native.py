@@ -13,49 +13,11 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_RECORD = 16 << 20
-RECORDS = "path string, line_no long, byte_offset long, raw_bytes long, value string, diagnostic string"
-
-
-def _records(path: str, content: bytes) -> Iterator[tuple]:
-    at = number = 0
-    while at < len(content):
-        end = content.find(b"\n", at)
-        end = len(content) if end < 0 else end + 1
-        raw, number = content[at:end], number + 1
-        body = raw.rstrip(b"\r\n")
-        value = diagnostic = None
-        if len(body) > MAX_RECORD:
-            diagnostic = "record_too_large"
-        elif body.strip():
-            try:
-                value = body.decode()
-                json.loads(value)
-            except UnicodeDecodeError:
-                diagnostic = "invalid_utf8"
-            except ValueError:
-                value, diagnostic = None, "invalid_record"
-        if body.strip():
-            yield path, number, at, len(raw), value, diagnostic
-        at = end
-
+from loomspark.sources.records import records
 
 def scan_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One row per physical record: line, byte offset, bytes, the text or what is wrong with it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RECORDS.split(", ")]
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows = []
-                for r in _records(path, bytes(content)):
-                    rows.append(r)
-                    if len(rows) == 5000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                yield pd.DataFrame(rows, columns=names)
-
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, RECORDS)
+    """records() of logs without their blank lines, which keep their numbers."""
+    return records(spark, paths, skip_blank=True)
 
 
 def zip_conversations(spark: SparkSession, paths: Sequence[str], id_prefix: str = "", member: str = "conversations.json") -> DataFrame:
