@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -98,3 +99,10 @@ def discovered(found: DataFrame, activity: DataFrame | None = None, cwd: str | N
     if active_since and activity is not None:
         found = found.join(activity.join(found.select("path"), "path", "left_semi"), "path").where(F.col("last_time") >= F.to_timestamp(F.lit(active_since)))
     return found
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the application's shared folder and read again: lineage ends here and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
