@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from loomspark.operators.metrics import outcome_status
 from loomspark.operators.sequence import keep_first
 from loomspark.schema import conform
+from loomspark.sources import copilot
 
 NO_RESULT = "the log ends without a result of this call"
 ERROR_CHARS = 500
@@ -75,13 +76,6 @@ def codex_items(lines: DataFrame) -> DataFrame:
     return _items(r.withColumn("item", item).where("item is not null").select("path", "line_no", F.lit(0).alias("part"), "item", F.when(F.col("item") == "text", F.col("who")).otherwise("assistant").alias("role"), F.when(F.col("item") == "result", out_text).otherwise(text).alias("text"), "call_id", F.coalesce("tool_name", F.when(F.col("kind") == "local_shell_call", "shell")).alias("tool_name"), "arguments", F.when(F.col("item") == "result", exit_code != 0).alias("is_error"), "timestamp", "model"))
 
 
-def copilot_items(lines: DataFrame) -> DataFrame:
-    kind = F.col("kind")
-    e = lines.select("path", "line_no", _j("$.type").alias("kind"), _j("$.timestamp").alias("timestamp"), _j("$.data.content").alias("content"), _j("$.data.toolCallId").alias("call_id"), _j("$.data.toolName").alias("tool_name"), _j("$.data.arguments").alias("arguments"), _j("$.data.success").alias("ok"), F.coalesce(_j("$.data.result.content"), _j("$.data.error.message"), _j("$.data.error")).alias("output"), _j("$.data.model").alias("model"))
-    item = F.when(kind.isin("user.message", "assistant.message", "system.message"), "text").when(kind == "tool.execution_start", "call").when(kind == "tool.execution_complete", "result")
-    return _items(e.withColumn("item", item).where("item is not null").select("path", "line_no", F.lit(0).alias("part"), "item", F.when(F.col("item") == "text", F.substring_index("kind", ".", 1)).otherwise("assistant").alias("role"), F.when(F.col("item") == "result", F.col("output")).otherwise(F.col("content")).alias("text"), "call_id", "tool_name", "arguments", F.when(F.col("item") == "result", F.col("ok") == "false").alias("is_error"), "timestamp", "model"))
-
-
 def claude_ai_items(conversations: DataFrame) -> DataFrame:
     """conversations: (path, conversation_id, value) of an export; path becomes the conversation's id."""
     messages = F.from_json(_j("$.chat_messages"), "array<struct<sender:string,text:string,created_at:string,content:array<struct<type:string,text:string,name:string,input:string,content:string,is_error:boolean>>>>")
@@ -193,11 +187,15 @@ def headers(lines: DataFrame, framework: str) -> DataFrame:
     return lines.groupBy("path").agg(*cols).withColumn("agent_framework", F.lit(framework))
 
 
-ITEMS: dict[str, Callable[[DataFrame], DataFrame]] = {"pi": pi_items, "claude-code": claude_code_items, "codex": codex_items, "copilot": copilot_items}
+ITEMS: dict[str, Callable[[DataFrame], DataFrame]] = {"pi": pi_items, "claude-code": claude_code_items, "codex": codex_items}
+#: Formats that convert() knows.
+FORMATS = (*ITEMS, "copilot")
 
 
 def convert(lines: DataFrame, framework: str) -> dict[str, DataFrame]:
-    """sessions, turns, tool_calls and annotations of logs of one format.  lines: (path, line_no, value)."""
+    """sessions, turns, tool_calls and annotations of logs of one format, and what else it tells.  lines: (path, line_no, value)."""
+    if framework == "copilot":
+        return copilot.convert(lines)
     items = ITEMS[framework](lines)
     turns = turns_of(items)
     calls = calls_of(items, turns)

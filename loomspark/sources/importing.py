@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators.flatten import flatten
 from loomspark.schema import TABLES
-from loomspark.sources.adapters import ITEMS, convert
+from loomspark.sources.adapters import FORMATS, convert
 from loomspark.sources.archives import SourceError, SourceSet, detect, documents, expand, inventory, lines
 from loomspark.sources.cache import VERSION
 from loomspark.sources.publish import preview
@@ -82,7 +82,7 @@ def load(sources: DataFrame, auto_convert: bool = True, strict: bool = False, lo
         # a log with a bad record is not loaded in part
         records = records.join(bad.select("path").distinct(), "path", "left_anti")
         formats = detect(records)
-        for name in ITEMS:
+        for name in FORMATS:
             mine = records.join(formats.where(F.col("format") == name).select("path"), "path", "left_semi")
             for table, df in convert(mine, name).items():
                 tables.setdefault(table, []).append(df)

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.pointers import climb
 from loomspark.sources.cache import stored
 
 # Kinds of records, and codes of diagnostics.
@@ -77,27 +78,6 @@ def _text(path: str) -> Column:
     return F.when(_kind(path) == "STRING", F.try_variant_get("v", path, "string")).otherwise(F.lit(""))
 
 
-def _climb(state: DataFrame, merged: dict[str, Callable[[Column, Column], Column]], levels: list[DataFrame] | None = None, keep_going: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Pointer jumping: state (path, line_no, ptr, values) with each value merged over all that ptr leads to.
-
-    levels gets the state before each jump.  keep_going says for which rows to go on at all.
-    """
-    while True:
-        going = F.col("ptr").isNotNull()
-        if state.where(going).limit(1).count() == 0:
-            return state
-        if levels is not None:
-            levels.append(state)
-        above = state.select("path", F.col("line_no").alias("ptr"), F.col("ptr").alias("_ptr"), *[F.col(c).alias(f"_{c}") for c in merged])
-        put = [f(F.col(c), F.col(f"_{c}")).alias(c) for c, f in merged.items()]
-        jumped = state.join(above, ["path", "ptr"], "left")
-        pointer = F.col("_ptr") if keep_going is None else F.when(keep_going(put[0]), F.col("_ptr"))
-        rest = [c for c in state.columns if c not in ("path", "line_no", "ptr", *merged)]
-        # a value merges what the pointer's row holds; rows without a pointer keep theirs
-        merged_or_own = [F.when(F.col("ptr").isNotNull(), p).otherwise(F.col(c)).alias(c) for c, p in zip(merged, put)]
-        state = stored(jumped.select("path", "line_no", pointer.alias("ptr"), *merged_or_own, *rest).select(*state.columns), "jump")
-
-
 def _objects(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(firsts: path, kind, key, first_line, conflict_line), objects and diagnostics."""
     payload = F.when(F.col("kind") == BLOB, F.to_json(_at("$.message"))).otherwise(F.to_json(_at("$.shape")))
@@ -139,7 +119,7 @@ def _copied(q: DataFrame) -> DataFrame:
     short = F.col("keep") > F.when(F.col("p_parent").isNotNull(), F.col("p_keep")).otherwise(0) + F.col("p_tail")
     known = F.when(F.col("parent").isNull(), False).when(F.col("keep") <= F.col("p_tail"), True).when(short, False)
     state = j.select("path", "line_no", F.when(known.isNull(), F.col("parent")).alias("ptr"), known.alias("ok"), "parent", "keep", "n_tail")
-    state = _climb(stored(state, "ok"), {"ok": lambda own, above: F.coalesce(own, above)})
+    state = climb(stored(state, "ok"), {"ok": lambda own, above: F.coalesce(own, above)})
     ok = F.coalesce("ok", F.lit(False))
     return stored(state.select("path", "line_no", F.when(ok, F.col("parent")).alias("parent"), F.when(ok, F.col("keep")).otherwise(0).alias("keep"), "n_tail"), "nodes")
 
@@ -193,7 +173,7 @@ def _held(nodes: DataFrame, tails: DataFrame, levels: list[DataFrame]) -> DataFr
     nothing = [F.coalesce(c, F.lit(v)).alias(c) for c, v in _NOTHING.items()]
     edges = nodes.select("path", "line_no", F.col("owner").alias("ptr"), F.col("keep").alias("upto"), F.col("owner").alias("of"), (F.col("keep") - F.col("owner_keep") - 1).alias("last"))
     edges = edges.join(at, ["path", "of", "last"], "left").select("path", "line_no", "ptr", "upto", *nothing)
-    prefix = _climb(stored(edges, "edges"), _MERGED | {"upto": lambda own, above: above}, levels)
+    prefix = climb(stored(edges, "edges"), _MERGED | {"upto": lambda own, above: above}, levels)
     own = nodes.select("path", F.col("line_no").alias("of"), (F.col("n_tail") - 1).alias("last")).join(at, ["path", "of", "last"], "left").select("path", F.col("of").alias("line_no"), *nothing)
     both = prefix.join(own.select("path", "line_no", *[F.col(c).alias(f"_{c}") for c in _MERGED]), ["path", "line_no"])
     return both.select("path", "line_no", *[f(F.col(c), F.col(f"_{c}")).alias(c) for c, f in _MERGED.items()])
@@ -223,7 +203,7 @@ def _told(q: DataFrame, nodes: DataFrame, held: DataFrame, firsts: DataFrame, ex
     )
     own_bad = (F.col("id") == "") | F.col("odd_shape") | F.col("no_keep") | F.col("no_base") | F.col("no_tail") | (F.col("n_odd") > 0) | F.col("ambiguous") | F.col("repeated")
     j = stored(j.withColumn("own_bad", own_bad), "told")
-    bad = _climb(stored(j.select("path", "line_no", F.when(~F.col("own_bad"), F.col("parent")).alias("ptr"), F.col("own_bad").alias("bad")), "bad"), {"bad": lambda own, above: own | above}, keep_going=lambda b: ~b)
+    bad = climb(stored(j.select("path", "line_no", F.when(~F.col("own_bad"), F.col("parent")).alias("ptr"), F.col("own_bad").alias("bad")), "bad"), {"bad": lambda own, above: own | above}, keep_going=lambda b: ~b)
     above = bad.select("path", F.col("line_no").alias("parent"), F.col("bad").alias("bad_base"))
     j = j.join(above, ["path", "parent"], "left").withColumn("bad_base", F.coalesce("bad_base", F.lit(False)))
     # which of the two comes first among the references counts for the status, where there are both
