@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomspark.operators.metrics import outcome_status
 from loomspark.operators.sequence import keep_first
 from loomspark.schema import conform
-from loomspark.sources import copilot
+from loomspark.sources import claude_lifecycle, copilot
 
 NO_RESULT = "the log ends without a result of this call"
 ERROR_CHARS = 500
@@ -54,16 +54,6 @@ def pi_items(lines: DataFrame) -> DataFrame:
     return _items(said).unionByName(_items(results))
 
 
-def claude_code_items(lines: DataFrame) -> DataFrame:
-    m = lines.where(_j("$.type").isin("user", "assistant")).select("path", "line_no", F.coalesce(_j("$.message.role"), _j("$.type")).alias("who"), _j("$.message.content").alias("content"), _j("$.timestamp").alias("timestamp"), _j("$.message.model").alias("model"), *[_j(f"$.message.usage.{a}").alias(b) for a, b in (("input_tokens", "input_tokens"), ("output_tokens", "output_tokens"), ("cache_read_input_tokens", "cache_read_tokens"), ("cache_creation_input_tokens", "cache_creation_tokens"))])
-    parts = _parts(F.col("content"), "type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean")
-    plain = F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), *[F.lit(None).cast("string").alias(n) for n in ("thinking", "id", "name", "input", "tool_use_id", "content")], F.lit(None).cast("boolean").alias("is_error")))
-    e = m.select("*", F.posexplode(F.coalesce(parts, plain)).alias("part", "p"))
-    p = F.col("p")
-    kind = F.when(p["type"] == "tool_use", "call").when(p["type"] == "tool_result", "result").when(p["type"] == "thinking", "thinking").otherwise("text")
-    return _items(e.select("path", "line_no", "part", kind.alias("item"), F.col("who").alias("role"), F.coalesce(p["text"], p["thinking"], p["content"]).alias("text"), F.coalesce(p["id"], p["tool_use_id"]).alias("call_id"), p["name"].alias("tool_name"), p["input"].alias("arguments"), F.coalesce(p["is_error"], F.lit(False)).alias("is_error"), "timestamp", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens"))
-
-
 def codex_items(lines: DataFrame) -> DataFrame:
     """Response items; mirrored event messages are left out, outputs may come before their calls."""
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -187,15 +177,17 @@ def headers(lines: DataFrame, framework: str) -> DataFrame:
     return lines.groupBy("path").agg(*cols).withColumn("agent_framework", F.lit(framework))
 
 
-ITEMS: dict[str, Callable[[DataFrame], DataFrame]] = {"pi": pi_items, "claude-code": claude_code_items, "codex": codex_items}
+ITEMS: dict[str, Callable[[DataFrame], DataFrame]] = {"pi": pi_items, "codex": codex_items}
+#: Formats with a conversion of their own.
+WHOLE: dict[str, Callable[[DataFrame], dict[str, DataFrame]]] = {"claude-code": claude_lifecycle.convert, "copilot": copilot.convert}
 #: Formats that convert() knows.
-FORMATS = (*ITEMS, "copilot")
+FORMATS = (*ITEMS, *WHOLE)
 
 
 def convert(lines: DataFrame, framework: str) -> dict[str, DataFrame]:
     """sessions, turns, tool_calls and annotations of logs of one format, and what else it tells.  lines: (path, line_no, value)."""
-    if framework == "copilot":
-        return copilot.convert(lines)
+    if framework in WHOLE:
+        return WHOLE[framework](lines)
     items = ITEMS[framework](lines)
     turns = turns_of(items)
     calls = calls_of(items, turns)

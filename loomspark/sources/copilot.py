@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.operators.metrics import home_to_tilde, outcome_status, quality
+from loomspark.operators.metrics import home_to_tilde, names_home, outcome_status, quality
 from loomspark.operators.pointers import climb
 from loomspark.operators.sequence import as_of, keep_first
 from loomspark.schema import conform
@@ -297,13 +297,14 @@ def _sessions(e: DataFrame, turns: DataFrame, calls: DataFrame, workspaces: Data
     blank = F.trim(F.replace("content", F.lit("\n"), F.lit(" ")))
     said = turns.groupBy("path").agg(F.count(F.lit(1)).alias("turn_count"), F.min_by(F.when((F.col("role") == "user") & (blank != ""), F.substring(blank, 1, TITLE_CHARS)), F.when((F.col("role") == "user") & (blank != ""), F.col("turn_index"))).alias("said"), F.sum("output_tokens").alias("said_tokens"))
     count = lambda op: F.count_if(F.col("operation_type") == op)
-    did = calls.groupBy("path").agg(F.count(F.lit(1)).alias("tool_call_count"), count("READ").alias("read_count"), count("MODIFY").alias("modify_count"), count("NEW").alias("create_count"), count("EXECUTE").alias("execute_count"), F.count_if(F.col("complete") & (F.col("success") == 0)).alias("failed"), F.count("result").alias("results"), F.to_json(F.array_sort(F.collect_set("tool_name"))).alias("tools_enabled_json"))
+    did = calls.groupBy("path").agg(F.count(F.lit(1)).alias("tool_call_count"), count("READ").alias("read_count"), count("MODIFY").alias("modify_count"), count("NEW").alias("create_count"), count("EXECUTE").alias("execute_count"), F.count_if(F.col("complete") & (F.col("success") == 0)).alias("failed"), F.count("result").alias("results"), F.to_json(F.array_sort(F.collect_set("tool_name"))).alias("tools_enabled_json"), names_home("file_path").alias("pii"))
     s = s.join(said, "path", "left").join(did, "path", "left").fillna(0, ["turn_count", "tool_call_count", "read_count", "modify_count", "create_count", "execute_count", "failed", "results"])
     if workspaces is not None:
         s = s.withColumn("folder", F.regexp_replace("path", "/[^/]+$", "")).join(workspaces.select("folder", *[F.col(c).alias(f"w_{c}") for c in ("id", "name", "cwd", "branch", "repository", "git_root")]), "folder", "left")
     else:
         s = s.withColumns({f"w_{c}": F.lit(None).cast("string") for c in ("id", "name", "cwd", "branch", "repository", "git_root")})
     of = lambda n: _some(F.get_json_object("context", f"$.{n}"))
+    private = F.coalesce("pii", F.lit(False))
     grade = quality(F.col("turn_count"), F.col("tool_call_count"), F.col("results") > 0)
     variant = lambda c: F.try_parse_json(redacted(F.col(c)))
     config = F.to_json(F.struct("producer", "version", variant("context").alias("context"), variant("model_metrics").alias("model_metrics"), variant("code_changes").alias("code_changes"), F.when(F.col("total_api_duration_ms") > 0, F.col("total_api_duration_ms")).alias("total_api_duration_ms")))
@@ -311,7 +312,7 @@ def _sessions(e: DataFrame, turns: DataFrame, calls: DataFrame, workspaces: Data
     s = s.select(
         "*", F.coalesce("told_id", _some("w_id"), folder, F.lit("copilot-session")).alias("session_id"), grade.alias("quality"), F.coalesce(F.when(F.lower("w_name") != NAMELESS.lower(), _some("w_name")), F.col("said")).alias("title"), home_to_tilde(F.coalesce(_some("w_cwd"), of("cwd"))).alias("working_directory"),
         F.coalesce(_some("w_branch"), of("branch")).alias("git_branch"), F.coalesce(of("headCommit"), of("baseCommit")).alias("git_ref"), F.when(F.col("w_git_root") != "", _some("w_repository")).alias("project_id"), config.alias("framework_config_json"), (F.col("failed") > 0).cast("long").alias("contains_error"),
-        ((F.unix_micros("t1") - F.unix_micros("t0")) / 1000000).alias("duration_seconds"), (grade == "A").cast("long").alias("for_research"), (grade != "A").cast("long").alias("needs_cleaning"), F.lit("copilot").alias("agent_framework"), F.lit("agent").alias("platform_type"), F.lit("github-copilot").alias("provider_hint"),
+        ((F.unix_micros("t1") - F.unix_micros("t0")) / 1000000).alias("duration_seconds"), ((grade == "A") & ~private).cast("long").alias("for_research"), ((grade != "A") | private).cast("long").alias("needs_cleaning"), private.cast("long").alias("contains_pii"), F.when(private, "confidential").otherwise("internal").alias("classification"), F.lit("copilot").alias("agent_framework"), F.lit("agent").alias("platform_type"), F.lit("github-copilot").alias("provider_hint"),
         F.lit("copilot-cli-events-jsonl-v1").alias("source_format"), F.col("path").alias("source_path"), total("input").alias("total_input_tokens"), F.coalesce(total("output"), "said_tokens").alias("total_output_tokens"), total("cache_read").alias("total_cache_read_tokens"),
         F.when(F.col("tool_call_count") > 0, F.floor(F.col("read_count") * 1000 / F.col("tool_call_count")) / 1000).alias("read_ratio"), F.lit(0).cast("long").alias("delegate_count"),
     )
