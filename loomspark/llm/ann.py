@@ -9,7 +9,10 @@ that has found too few goes on: to all perturbed buckets of its shape, then to c
 that are wider at each further round, again in the order of success.
 
 Largest inner product is turned into smallest distance by one more component,
-sqrt(M^2 - |v|^2) for stored vectors and 0 for queries, M the largest norm.
+sqrt(M^2 - |v|^2) for stored vectors and 0 for queries, which are scaled to M.  Vectors
+are put into bands of similar norm, each with tables, a width and an M of its own, so
+a few long vectors don't blur the others.  By Cauchy-Schwarz no vector of a band
+has more than |q| M with a query; bands below what the query has already seen are left out.
 
 Exact copies are one entry of the index; the answer is expanded to their smallest
 ids, so a vector of a third of all rows costs one entry.  Buckets are cut into
@@ -36,13 +39,16 @@ SEED = 20240613
 FIT_ROWS = 4096
 FIT_QUERIES = 256
 FIT_RECALL = 0.96
-#: Vectors that every query is compared with first: its k-th best there is a bound below which nothing is passed on (4 MB at 64 floats).
+#: Vectors that every query is compared with first, half of them the longest: its k-th best there is a bound below which nothing is passed on (8 MB at 64 components).
 BOUND_ROWS = 16384
 #: One in so many vectors at most is among them, so that on small tables too the bound lies far below the answer and recall is the hashing's.
 BOUND_SHARE = 16
 #: Cells grow by this factor at each further round of the queries that found too few.
 WIDER = 4.0
 TABLES = 4
+#: Norms in a band differ by this factor at most; the last of so many bands takes all that are shorter.
+BAND = 1.4
+BANDS = 24
 #: (projections a table, cell width in standard deviations, most probes a table), finest first.
 SHAPES = ((10, 2.0, 80), (8, 1.8, 80), (6, 1.6, 80), (4, 1.4, 81), (3, 1.6, 27))
 #: Points and queries of a bucket that meet in one call.
@@ -94,7 +100,11 @@ class Hashes:
         return h
 
     def cells(self, v: np.ndarray, t: int, query: bool) -> np.ndarray:
-        last = np.zeros(len(v)) if query else np.sqrt(np.maximum(self.norm**2 - np.sum(v * v, axis=1), 0))
+        size = np.sum(v * v, axis=1)
+        if query:
+            v, last = v * (self.norm / np.sqrt(np.maximum(size, np.finfo(float).tiny)))[:, None], np.zeros(len(v))
+        else:
+            last = np.sqrt(np.maximum(self.norm**2 - size, 0))
         return np.column_stack([v, last]) @ self.a[t] + self.b[t]
 
     def keys(self, v: np.ndarray, t: int) -> np.ndarray:
@@ -114,28 +124,52 @@ class Hashes:
             return own[:, None] + step[order] @ self.sets.astype(np.int64).T
 
 
-def fit(vectors: np.ndarray, n: int, norm: float, k: int = K) -> Hashes:
-    """The finest shape whose probes reach FIT_RECALL on the sample.
+def bands(v: np.ndarray, longest: float) -> np.ndarray:
+    """The band of each vector: 0 holds norms from longest down to longest / BAND, and so on."""
+    norms = np.sqrt(np.sum(v * v, axis=1))
+    with np.errstate(divide="ignore"):
+        return np.clip(np.floor(np.log(longest / norms) / np.log(BAND) + 1e-9), 0, BANDS - 1).astype(np.int64)
+
+
+def fit(vectors: np.ndarray, n: int, longest: float, tops: dict[int, float], k: int = K) -> list[Hashes]:
+    """For each band (tops: the longest norm in those that hold any) the finest shape whose probes reach FIT_RECALL on the sample.
 
     Among s of n vectors the nearest k * s / n stand for the k nearest of all, so a
-    larger table, whose neighbours lie closer, gets finer buckets.
+    larger table, whose neighbours lie closer, gets finer buckets.  A band that holds
+    next to none of them is fitted to the nearest inside it.
     """
+    of = bands(vectors, longest)
     q = vectors[:FIT_QUERIES]
-    near = max(1, round(k * len(vectors) / max(n, 1)))
+    near = min(max(1, round(k * len(vectors) / max(n, 1))), max(1, len(vectors) - 1))
     score = q @ vectors.T
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
-    near = min(near, max(1, len(vectors) - 1))
-    top = np.argsort(-score, axis=1)[:, :near]
-    for m, width, most in SHAPES:
+    top = np.argpartition(-score, near - 1, axis=1)[:, :near]
+    found = [(np.repeat(np.arange(len(q)), near)[at], top.ravel()[at]) for at in (np.flatnonzero(of[top.ravel()] == b) for b in range(BANDS))]
+    out = []
+    for b in range(BANDS):
+        asks, hits = found[b]
+        inside = np.flatnonzero(of == b)
+        if len(asks) < FIT_QUERIES // 8 and len(inside):
+            own = score[:, inside]
+            asks = np.arange(len(q))
+            hits = inside[own.argmax(axis=1)]
+            asks, hits = asks[asks != hits], hits[asks != hits]
+        out.append(_fitted(vectors, q, asks, hits, tops.get(b, longest / BAND**b)))
+    return out
+
+
+def _fitted(vectors: np.ndarray, q: np.ndarray, asks: np.ndarray, hits: np.ndarray, norm: float) -> Hashes:
+    """The finest shape whose probes find the pairs (query, vector); without pairs the coarsest, as the band is nearly empty."""
+    for m, width, most in SHAPES if len(asks) else SHAPES[-1:]:
         h = Hashes(vectors.shape[1], m, width, most, norm)
-        # first probe that finds each true neighbour, over the tables
-        first = np.full(top.shape, np.iinfo(np.int64).max)
+        if not len(asks):
+            return h
+        # first probe that finds each pair, over the tables
+        first = np.full(len(asks), np.iinfo(np.int64).max)
         for t in range(TABLES):
-            keys, probes = h.keys(vectors, t), h.probes(q, t)
-            for i in range(len(q)):
-                hit = keys[top[i]][:, None] == probes[i][None, :]
-                first[i] = np.minimum(first[i], np.where(hit.any(axis=1), hit.argmax(axis=1), first[i]))
-        found = np.sort(first.ravel())
+            hit = h.keys(vectors[hits], t)[:, None] == h.probes(q, t)[asks]
+            first = np.where(hit.any(axis=1), np.minimum(first, hit.argmax(axis=1)), first)
+        found = np.sort(first)
         need = found[min(len(found) - 1, int(np.ceil(FIT_RECALL * len(found))) - 1)]
         if need < len(h.sets) or (m, width, most) == SHAPES[-1]:
             h.sets = h.sets[: min(len(h.sets), int(need) + 1 + int(need) // 8)]
@@ -197,6 +231,7 @@ def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
     candidates each for itself, but none is an answer to its own id.
     """
     spark = rows.sparkSession
+    kind = "float" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
     all_rows = save(keyed(rows.where("vec_id is not null")).withColumn("ask", F.coalesce(is_query, F.lit(False))), "vectors")
     distinct = save(all_rows.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.max("ask").alias("ask"), F.count_distinct("vec_id").alias("copies")), "distinct")
     shapes = {r["d"]: (r["n"], r["m"], r["rows"]) for r in distinct.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"), F.max(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("m")).collect()}
@@ -204,35 +239,60 @@ def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
     picked: dict[int, list] = {}
     for e in sample(distinct, BOUND_ROWS).select(F.col("embedding").cast("array<double>").alias("e")).toArrow().column("e").to_pylist():
         picked.setdefault(len(e), []).append(e)
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double")))
+    longest = {d: float(np.sqrt(m)) or 1.0 for d, (_, m, _) in shapes.items()}
+    top = F.coalesce(*[F.when(F.size("embedding") == d, F.lit(m)) for d, m in longest.items()], F.lit(1.0))
+    band = F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), F.floor(F.log(top / size) / float(np.log(BAND)) + 1e-9))).cast("int")
+    # the longest norm of each band that holds any
+    tops: dict[int, dict[int, float]] = {}
+    for r in distinct.groupBy(F.size("embedding").alias("d"), band.alias("b")).agg(F.max(size).alias("m")).collect():
+        tops.setdefault(r["d"], {})[r["b"]] = r["m"] * (1 + 1e-12)
     for d, vs in picked.items():
         v = np.array(vs, dtype=np.float64)
-        n, most, _ = shapes[d]
-        fitted[d] = (fit(v[:FIT_ROWS], n, float(np.sqrt(most)) or 1.0, k), v[: max(1, n // BOUND_SHARE)])
+        n = shapes[d][0]
+        most = max(1, min(BOUND_ROWS, n // BOUND_SHARE))
+        long = distinct.where(F.size("embedding") == d).orderBy(size.desc(), "h1", "h2").limit(most // 2).select(F.col("embedding").cast("array<double>").alias("e")).toArrow().column("e").to_pylist()
+        seen = np.unique(np.concatenate([v[: most - len(long)], np.array(long, dtype=np.float64).reshape(-1, v.shape[1])]), axis=0)
+        fitted[d] = (fit(v[:FIT_ROWS], n, longest[d], tops[d], k), longest[d], seen)
     held = spark.sparkContext.broadcast(fitted)
+    def lowest(v: np.ndarray, seen: np.ndarray, norm: float) -> np.ndarray:
+        """For each query a score that its k-th nearest reaches, -inf if too few are known."""
+        at = len(seen) - 1 - k  # the query itself may be among them
+        if at <= 0:
+            return np.full(len(v), -np.inf)
+        parts = [np.partition(v[i : i + 512] @ seen.T, at, axis=1)[:, at] for i in range(0, len(v), 512)]
+        # a product can differ in its last bits from one call to the next
+        return np.concatenate(parts) - 1e-12 * norm**2 if parts else np.zeros(0)
 
     def bucket(batches, round_):
+        names = ["t", "bucket", "rep", "embedding", "floor"]
         for batch in batches:
             sizes = np.array([len(x) for x in batch.column(1)]) if batch.num_rows else np.zeros(0, int)
             for d in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == d)))
-                h, seen = held.value[int(d)]
-                h = h.further(round_)
+                by_band, far, seen = held.value[int(d)]
                 v = matrix(pa.chunked_array([part.column(1)]))
-                reps, ask = part.column(0), part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                asked = np.flatnonzero(ask)
-                best = v[asked] @ seen.T
-                at = best.shape[1] - 1 - k  # the query itself may be among them
-                # a product can differ in its last bits from one call to the next
-                floor = np.partition(best, at, axis=1)[:, at] - 1e-12 * h.norm**2 if len(asked) and at > 0 else np.full(len(asked), -np.inf)
-                for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t * 1000 + d, np.int64)), pa.array(h.keys(v, t)), reps, part.column(1), pa.nulls(len(v), pa.float64())], ["t", "bucket", "rep", "embedding", "floor"])
-                    keys = h.probes(v[asked], t) if len(asked) else np.zeros((0, 1), np.int64)
-                    for i in range(0, len(asked), 64):
-                        at = np.repeat(asked[i : i + 64], keys.shape[1])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t * 1000 + d, np.int64)), pa.array(keys[i : i + 64].ravel()), reps.take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(np.repeat(floor[i : i + 64], keys.shape[1]))], ["t", "bucket", "rep", "embedding", "floor"])
+                reps, vectors, of = part.column(0), part.column(1), part.column(3).to_numpy()
+                asked = np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False).astype(bool))
+                floor = lowest(v[asked], seen, far)
+                reach = np.sqrt(np.sum(v[asked] ** 2, axis=1))
+                for b, fitted_band in enumerate(by_band):
+                    h = fitted_band.further(round_)
+                    stored = np.flatnonzero(of == b)
+                    ask = np.flatnonzero(reach * h.norm * (1 + 1e-9) >= floor)
+                    for t in range(TABLES):
+                        table = (b * TABLES + t) * 1_000_000 + d
+                        if len(stored):
+                            at = pa.array(stored)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(stored), table, np.int64)), pa.array(h.keys(v[stored], t)), reps.take(at), vectors.take(at), pa.nulls(len(stored), pa.float64())], names)
+                        for i in range(0, len(ask), 64) if b in tops[int(d)] else ():
+                            now = ask[i : i + 64]
+                            keys = h.probes(v[asked[now]], t)
+                            at = pa.array(np.repeat(asked[now], keys.shape[1]))
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, table, np.int64)), pa.array(keys.ravel()), reps.take(at), vectors.take(at), pa.array(np.repeat(floor[now], keys.shape[1]))], names)
 
     def met(points: DataFrame, round_: int) -> DataFrame:
-        placed = map_arrow(points.select("rep", F.col("embedding").cast("array<float>"), "ask"), lambda batches: bucket(batches, round_), "t long, bucket long, rep long, embedding array<float>, floor double")
+        placed = map_arrow(points.select("rep", F.col("embedding").cast(f"array<{kind}>"), "ask", band.alias("band")), lambda batches: bucket(batches, round_), f"t long, bucket long, rep long, embedding array<{kind}>, floor double")
         return _met(placed, k)
 
     best = save(_best(met(distinct, 0), k), "best")

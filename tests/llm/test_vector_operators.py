@@ -115,3 +115,55 @@ def test_sample_is_the_same_and_bounded(spark):
     first = {r.vec_id for r in sample(rows, 100).collect()}
     assert len(first) == 100 and first == {r.vec_id for r in sample(rows.repartition(7), 100).collect()}
     assert sample(rows, 10_000).count() == 5000
+
+
+def test_ann_bands_of_norms():
+    """Lognormal lengths and one very long vector: the fit of the bands leaves most of the table out and still finds the neighbours."""
+    rng = np.random.default_rng(0)
+    c = rng.normal(size=(500, 64))
+    u = (c / np.linalg.norm(c, axis=1, keepdims=True))[rng.integers(500, size=50_000)] + 0.05 * rng.normal(size=(50_000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    far = u.copy()
+    far[7] *= 100
+    for v in (u, u * np.exp(rng.normal(size=(len(u), 1))), far):
+        norms = np.linalg.norm(v, axis=1)
+        of = ann.bands(v, norms.max())
+        tops = {int(b): float(norms[of == b].max()) for b in np.unique(of)}
+        order = rng.permutation(len(v))
+        fitted = ann.fit(v[order[: ann.FIT_ROWS]], len(v), norms.max(), tops)
+        half = len(v) // ann.BOUND_SHARE // 2
+        seen = np.concatenate([v[order[:half]], v[np.argsort(-norms)[:half]]])
+        asks = rng.choice(len(v), 100, replace=False)
+        q = v[asks]
+        floor = np.partition(q @ seen.T, len(seen) - 21, axis=1)[:, len(seen) - 21]
+        met = [set() for _ in asks]
+        for b, h in enumerate(fitted):
+            inside = np.flatnonzero(of == b)
+            ask = np.flatnonzero(norms[asks] * h.norm >= floor)
+            for t in range(ann.TABLES) if len(inside) and len(ask) else ():
+                keys = h.keys(v[inside], t)
+                by_key = np.argsort(keys, kind="stable")
+                for a, probes in zip(ask, h.probes(q[ask], t)):
+                    left, right = np.searchsorted(keys[by_key], probes, "left"), np.searchsorted(keys[by_key], probes, "right")
+                    for x, y in zip(left, right):
+                        met[a].update(inside[by_key[x:y]].tolist())
+        score = q @ v.T
+        score[np.arange(len(q)), asks] = -np.inf
+        top = np.argpartition(-score, 20, axis=1)[:, :20]
+        assert np.mean([len(met[i] & set(t.tolist())) / 20 for i, t in enumerate(top)]) >= 0.9
+        assert np.mean([len(m) for m in met]) < 0.1 * len(v)
+
+
+def test_ann_unequal_lengths_and_doubles(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(2000, 8)) * np.exp(rng.normal(size=(2000, 1)))
+    v[40] *= 1e6
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(v)] + [(60, v[61].tolist()), (60, v[60].tolist())], "vec_id long, embedding array<double>").repartition(3)
+    by = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).where("query_id <> 60").collect():
+        by.setdefault(r.query_id, {})[r.vec_id] = r.score
+    score = v @ v.T
+    np.fill_diagonal(score, -np.inf)
+    assert len(by) == 99 and all(len(x) == 20 for x in by.values())
+    assert np.mean([len(set(by[q]) & set(np.argsort(-score[q])[:20].tolist())) / 20 for q in by]) >= 0.9
+    assert all(np.isclose(s, score[q, i], rtol=1e-14) for q, x in by.items() for i, s in x.items() if i not in (60, 61))
