@@ -6,7 +6,7 @@ import datetime
 import re
 import threading
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
 from typing import Any
@@ -87,35 +87,66 @@ def _functions(expression) -> Iterable[str]:
         yield from _functions(child)
 
 
-def _read(plan, known: frozenset[str], tables: set[str]) -> None:
+def _named(expression) -> Iterable[tuple[list[str], Any]]:
+    """(name parts, origin) of the column names and stars in an expression."""
+    kind = expression.getClass().getSimpleName()
+    if kind == "UnresolvedAttribute":
+        yield list(_each(expression.nameParts())), expression.origin()
+    elif kind == "UnresolvedStar" and expression.target().isDefined():
+        yield list(_each(expression.target().get())), expression.origin()
+    for child in _each(expression.children()):
+        yield from _named(child)
+
+
+@dataclass
+class Reading:
+    """What a statement reads: tables as (parts of the name, place in the text, aliased), and longer column names with their places."""
+
+    tables: list[tuple[tuple[str, ...], tuple[int, int], bool]] = field(default_factory=list)
+    columns: list[tuple[list[str], tuple[int, int]]] = field(default_factory=list)
+
+
+def _place(origin) -> tuple[int, int]:
+    return origin.startIndex().get(), origin.stopIndex().get() + 1
+
+
+def _read(plan, known: frozenset[str], out: Reading, aliased: bool = False) -> None:
     """Adds the tables of a parsed plan; known are the common table expressions that its names may mean."""
     node = plan.nodeName()
     if node not in NODES:
         raise SandboxError(f"not allowed: {node}")
-    if node == "UnresolvedRelation" and (name := plan.tableName().replace("`", "").lower()) not in known:
-        tables.add(name)
+    if node == "UnresolvedRelation":
+        parts = tuple(p.lower() for p in _each(plan.multipartIdentifier()))
+        if len(parts) > 1 or parts[0] not in known:  # a common table expression has no namespace
+            out.tables.append((parts, _place(plan.origin()), aliased))
     for expression in _each(plan.expressions()):
         for name in _functions(expression):
             if name not in FUNCTIONS:
                 raise SandboxError(f"not allowed: {name}")
+        out.columns += [(parts, _place(origin)) for parts, origin in _named(expression) if len(parts) > 1 and origin.startIndex().isDefined()]
     if node == "UnresolvedWith":
         if plan.allowRecursion():
             raise SandboxError("no recursion")
         for pair in _each(plan.cteRelations()):
             # a common table expression sees those before it, not itself
             for child in _each(pair._2().children()):
-                _read(child, known, tables)
+                _read(child, known, out)
             known = known | {pair._1().lower()}
     for part in (plan.subqueries(), plan.children()):
         for child in _each(part):
-            _read(child, known, tables)
+            _read(child, known, out, node == "SubqueryAlias")
+
+
+def reading(spark: SparkSession, sql: str) -> Reading:
+    """What a statement reads; node kinds and functions outside the lists are refused."""
+    out = Reading()
+    _read(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset(), out)
+    return out
 
 
 def tables_read(spark: SparkSession, sql: str) -> set[str]:
-    """Lower-case names of the tables that a statement reads; node kinds and functions outside the lists are refused."""
-    tables: set[str] = set()
-    _read(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset(), tables)
-    return tables
+    """Lower-case names of the tables that a statement reads, namespaces before a point."""
+    return {".".join(parts) for parts, _, _ in reading(spark, sql).tables}
 
 
 @dataclass
@@ -148,22 +179,47 @@ def cell(value: Any, limit: int) -> tuple[Any, int | None]:
 
 
 class Sandbox:
-    """Runs single read-only statements over an allowed set of views."""
+    """Runs single read-only statements over an allowed set of views.
+
+    A table named with a namespace (anno.annotations) is read by that name only.  A table may be a function that
+    gives its DataFrame: it is called for every statement that reads it, so the statement sees what is there now.
+    """
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], rows: int = ROWS, columns: int = COLUMNS, cell_bytes: int = CELL_BYTES, seconds: float = SECONDS):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]], rows: int = ROWS, columns: int = COLUMNS, cell_bytes: int = CELL_BYTES, seconds: float = SECONDS):
         self.spark, self.tables = spark.newSession(), {k.lower(): v for k, v in tables.items()}
         self.rows, self.columns, self.cell_bytes, self.seconds = rows, columns, cell_bytes, seconds
-        for name, df in tables.items():
-            view = name.rpartition(".")[2]
-            df._jdf.createOrReplaceGlobalTempView(f"{view}_{id(self)}")
-            self.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{view}` AS SELECT * FROM global_temp.`{view}_{id(self)}`")
+        for name, df in self.tables.items():
+            if not callable(df):
+                self._view(name, df)
+
+    def _view(self, name: str, df: DataFrame) -> None:
+        view = name.replace(".", "__")
+        df._jdf.createOrReplaceGlobalTempView(f"{view}_{id(self)}")
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{view}` AS SELECT * FROM global_temp.`{view}_{id(self)}`")
 
     def plan(self, sql: str, args: Sequence[Any] | Mapping[str, Any] | None = None, require_order: bool = False) -> DataFrame:
         """The checked statement as a DataFrame."""
         text = single_select(sql, require_order)
-        allowed = {n.rpartition(".")[2] for n in self.tables}
-        if other := sorted(n for n in tables_read(self.spark, text) if n not in allowed):
+        read = reading(self.spark, text)
+        names = {".".join(parts) for parts, _, _ in read.tables}
+        if other := sorted(n for n in names if n not in self.tables):
             raise SandboxError(f"not allowed: {', '.join(other)}")
+        for name in names:
+            if callable(self.tables[name]):
+                self._view(name, self.tables[name]())
+        # names with a namespace become names of views, at the places that the parser gives for them
+        puts = []
+        for parts, place, aliased in read.tables:
+            if len(parts) > 1:
+                puts.append((place, f"`{'__'.join(parts)}`" + ("" if aliased else f" AS `{parts[-1]}`")))
+        for parts, place in read.columns:
+            star = text[slice(*place)].rstrip().endswith("*")  # of a star all parts name the table, of a column all but the last at most
+            for n in range(len(parts) if star else len(parts) - 1, 1, -1):
+                if ".".join(parts[:n]).lower() in names:
+                    puts.append((place, ".".join(f"`{p}`" for p in parts[n - 1 :]) + (".*" if star else "")))
+                    break
+        for (start, stop), new in sorted(set(puts), reverse=True):
+            text = text[:start] + new + text[stop:]
         return self.spark.sql(text, args=args)
 
     def query(self, sql: str, args: Sequence[Any] | Mapping[str, Any] | None = None, strict: bool = False, require_order: bool = False) -> Result:

@@ -2,39 +2,65 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.sources.commits import CommitLog
+
 FIELDS = "annotation_id string, session_id string, annotator string, scope_type string, target_id string, category string, title string, detail string, tags_json string, minitrace_taxonomy_json string, mast_taxonomy_json string, toolemu_taxonomy_json string, classification string"
 NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 PATCHED = [n for n in NAMES if n not in ("annotation_id", "session_id")]
-LOG = FIELDS + ", change string, at timestamp, serial long"
+CHANGES = FIELDS + ", change string, at timestamp"
+LOG = CHANGES + ", serial long"
+SYNCED = "session_id string, upto long"
 
 
 class AnnotationStore:
-    """add, patch, delete and list annotations; every change is rows appended below path, so writers never rewrite each other."""
+    """add, patch, delete and list annotations; every change is a folder of rows of its own, which a numbered commit makes part of the store.
+
+    Of writers that change the store at once each gets a number; one that comes second checks its change against what
+    the first has left.  Folders that no commit names are not read.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _log(self) -> DataFrame:
-        try:
-            df = self.spark.read.schema(LOG).parquet(f"{self.path}/changes")
-            df.limit(1).count()
-            return df
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], LOG)
-
-    def _append(self, rows: DataFrame, change: str) -> None:
-        cols = [(F.col(n) if n in rows.columns else F.lit(None)).cast("string").alias(n) for n in NAMES]
-        last = self._log().agg(F.max("serial")).first()[0] or 0
-        rows.select(*cols, F.lit(change).alias("change"), F.current_timestamp().alias("at"), F.lit(last + 1).cast("long").alias("serial")).write.mode("append").parquet(f"{self.path}/changes")
-
-    def current(self) -> DataFrame:
-        """Annotations with created_at and updated_at; of a field, the latest change that gives it a value stands."""
-        log = self._log()
+        self.commits = CommitLog(spark, f"{self.path}/commits")
+
+    def _read(self, kind: str, schema: str, entries: list | None = None) -> DataFrame:
+        """Rows of all commits of a kind, with the numbers of their commits as serial."""
+        found = [(e["folder"], n) for n, e in (self.commits.entries() if entries is None else entries) if e["kind"] == kind]
+        if not found:
+            return self.spark.createDataFrame([], f"{schema}, serial long")
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{folder}" for folder, _ in found])
+        rows = rows.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), "/data/([^/]+)/[^/]+$", 1))
+        numbers = self.spark.createDataFrame(found, "folder string, serial long")
+        return rows.join(F.broadcast(numbers), "folder").drop("folder")
+
+    def _log(self, entries: list | None = None) -> DataFrame:
+        return self._read("change", CHANGES, entries)
+
+    def _write(self, rows: DataFrame) -> str:
+        folder = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{folder}")
+        return folder
+
+    def _append(self, rows: DataFrame, change: str, check: Callable[[list], None], staged: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+        """Commit rows as a change; check and staged see the store as the commit will find it."""
+
+        def build(entries: list) -> dict:
+            check(entries)
+            made = staged(rows)
+            cols = [(F.col(n) if n in made.columns else F.lit(None)).cast("string").alias(n) for n in NAMES]
+            return {"kind": "change", "change": change, "folder": self._write(made.select(*cols, F.lit(change).alias("change"), F.current_timestamp().alias("at")))}
+
+        self.commits.commit(build)
+
+    def current(self, entries: list | None = None) -> DataFrame:
+        """Annotations (as of some entries of the log, else now) with created_at and updated_at; of a field, the latest change that gives it a value stands."""
+        log = self._log(entries)
         order = F.struct("serial", "at")
         value = lambda n: F.max_by(n, F.when(F.col(n).isNotNull(), order)).alias(n)
         g = log.groupBy("annotation_id").agg(*[value(n) for n in NAMES if n != "annotation_id"], F.min("at").alias("created_at"), F.max("at").alias("updated_at"), F.max_by("change", order).alias("last"))
@@ -42,24 +68,32 @@ class AnnotationStore:
 
     def add(self, rows: DataFrame) -> None:
         """New annotations; an id that is blank, repeated or in the store is an error and nothing is written."""
-        there = rows.select("annotation_id").join(self.current().select("annotation_id"), "annotation_id", "left_semi")
         twice = rows.groupBy("annotation_id").count().where("count > 1 or coalesce(annotation_id, '') = ''").select("annotation_id")
-        if bad := there.unionByName(twice).limit(5).collect():
-            raise ValueError(f"can't be added: {', '.join(str(r[0]) for r in bad)}")
-        self._append(rows, "add")
 
-    def _known(self, rows: DataFrame) -> DataFrame:
-        missing = rows.join(self.current().select("annotation_id"), "annotation_id", "left_anti").select("annotation_id").limit(5).collect()
-        if missing:
-            raise KeyError(", ".join(str(r[0]) for r in missing))
-        return rows.drop("session_id").join(self.current().select("annotation_id", "session_id"), "annotation_id")
+        def check(entries: list) -> None:
+            there = rows.select("annotation_id").join(self.current(entries).select("annotation_id"), "annotation_id", "left_semi")
+            if bad := there.unionByName(twice).limit(5).collect():
+                raise ValueError(f"can't be added: {', '.join(str(r[0]) for r in bad)}")
+
+        self._append(rows, "add", check)
+
+    def _change(self, rows: DataFrame, change: str) -> None:
+        held: list = []
+
+        def check(entries: list) -> None:
+            held[:] = [self.current(entries).select("annotation_id", "session_id")]
+            missing = rows.join(held[0], "annotation_id", "left_anti").select("annotation_id").limit(5).collect()
+            if missing:
+                raise KeyError(", ".join(str(r[0]) for r in missing))
+
+        self._append(rows.drop("session_id"), change, check, lambda rows: rows.join(held[0], "annotation_id"))
 
     def patch(self, rows: DataFrame) -> None:
         """Other values for the fields that rows hold (nulls leave a field as it is)."""
-        self._append(self._known(rows), "patch")
+        self._change(rows, "patch")
 
     def delete(self, rows: DataFrame) -> None:
-        self._append(self._known(rows.select("annotation_id")), "delete")
+        self._change(rows.select("annotation_id"), "delete")
 
     def list(self, session: str | None = None, scope: str | None = None, category: str | None = None, annotator: str | None = None, taxonomy: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
         """Annotations by five filters, the latest first; taxonomy is part of any taxonomy entry."""
@@ -79,16 +113,10 @@ class AnnotationStore:
         return log.groupBy("session_id").agg(F.count(F.lit(1)).alias("changes"))
 
     def _synced(self) -> DataFrame:
-        try:
-            df = self.spark.read.schema("session_id string, upto long").parquet(f"{self.path}/synced")
-            df.limit(1).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            df = self.spark.createDataFrame([], "session_id string, upto long")
-        return df.groupBy("session_id").agg(F.max("upto").alias("upto"))
+        return self._read("synced", SYNCED).groupBy("session_id").agg(F.max("upto").alias("upto"))
 
     def mark_synced(self, sessions: DataFrame) -> None:
         """Sessions (session_id) whose documents hold all changes made until now."""
         upto = self._log().groupBy("session_id").agg(F.max("serial").alias("upto"))
-        upto.join(sessions.select("session_id").distinct(), "session_id", "left_semi").write.mode("append").parquet(f"{self.path}/synced")
+        folder = self._write(upto.join(sessions.select("session_id").distinct(), "session_id", "left_semi").select("session_id", "upto"))
+        self.commits.commit(lambda entries: {"kind": "synced", "folder": folder})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ def publish(docs: DataFrame, path: str, on_collision: str = "error") -> DataFram
     if on_collision == "error" and (bad := planned.where("status = 'replaced'").select("id").limit(5).collect()):
         raise Collision(", ".join(r.id for r in bad))
     # what is to happen to each id is kept beside the archive, which itself changes below; it counts once the rows are there
-    statuses, planned_at = f"{path.rstrip('/')}.status", f"{path.rstrip('/')}.planned"
+    run = uuid.uuid4().hex  # folders of this run alone
+    statuses, planned_at = f"{path.rstrip('/')}.status-{run}", f"{path.rstrip('/')}.planned-{run}"
     planned.select("id", "period", "status").write.mode("overwrite").parquet(planned_at)
     changed = planned.where("status <> 'unchanged'")
     rows = changed.drop("status")
@@ -54,7 +57,7 @@ def publish(docs: DataFrame, path: str, on_collision: str = "error") -> DataFram
         touched = changed.select("period").unionByName(old.join(changed.select("id"), "id", "left_semi").select("period")).distinct()
         kept = old.join(touched, "period", "left_semi").join(changed.select("id"), "id", "left_anti")
         rows = rows.unionByName(kept.select(*rows.columns))
-        staged = f"{path.rstrip('/')}.staged"
+        staged = f"{path.rstrip('/')}.staged-{run}"
         rows.write.mode("overwrite").parquet(staged)
         rows = spark.read.schema(rows.schema).parquet(staged)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
