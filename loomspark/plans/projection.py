@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.schema import TABLES, conform
-from loomspark.sources.cache import StoredTables
+from loomspark.sources.cache import StoredTables, fingerprint
 
 _TOOLS = {"view": ("Read", "READ"), "click": ("Bash", "EXECUTE"), "purchase": ("Edit", "MODIFY"), "signup": ("Write", "NEW"), "error": ("Task", "OTHER")}
 
@@ -205,16 +205,19 @@ def _made(name: str, t: Mapping[str, DataFrame], read) -> DataFrame:
     return read("benchmark").select(session.alias("session_id"), F.concat(F.lit("t"), item).alias("attachment_id"), F.lit("text").alias("kind"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("text").alias("text_preview"))
 
 
-_PROJECTED: dict[tuple[str, str], StoredTables] = {}
+_PROJECTED: dict[tuple[str, str], tuple[str, StoredTables]] = {}
 
 
 def project(spark: SparkSession, sf_dir: str) -> StoredTables:
-    """The ten tables with their full schemas, each written once for an application and folder, when it is first read."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PROJECTED or _PROJECTED[key].spark is not spark:
+    """The ten tables with their full schemas, each written once for an application and state of a folder, when it is first read.
+
+    Files that change, come or go below the folder make another state: its tables are made anew.
+    """
+    key, state = (spark.sparkContext.applicationId, sf_dir), fingerprint(spark, sf_dir)
+    if key not in _PROJECTED or _PROJECTED[key][0] != state or _PROJECTED[key][1].spark is not spark:
         read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        _PROJECTED[key] = StoredTables(spark, sf_dir, TABLES, lambda name, t: conform(_made(name, t, read), name))
-    return _PROJECTED[key]
+        _PROJECTED[key] = state, StoredTables(spark, f"{sf_dir}\0{state}", TABLES, lambda name, t: conform(_made(name, t, read), name))
+    return _PROJECTED[key][1]
 
 
 #: The same projection for the SQL oracle; `{{events}}` of queries is session_events there.
