@@ -230,7 +230,7 @@ tool_calls AS (SELECT 's' || user_id AS session_id, 'c' || event_id AS tool_call
   CAST(CASE WHEN event_type = 'error' THEN 0 WHEN event_type <> 'signup' THEN 1 END AS BIGINT) AS success, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'unknown' ELSE 'succeeded' END AS outcome_status,
   {_RESULT} AS result, {_ERROR} AS error, CAST({_EXIT} AS BIGINT) AS exit_code,
   CAST(floor(value * 100 + 0.5::DOUBLE) AS BIGINT) AS duration_ms, CAST(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS truncated, CASE WHEN k % 7 = 0 THEN k * 1000 END AS full_bytes, {_CALL_META} AS framework_metadata_json, CAST(NULL AS VARCHAR) AS output_status, CAST(NULL AS VARCHAR) AS full_hash, CAST(NULL AS VARCHAR) AS full_reference, CAST(NULL AS VARCHAR) AS raw_json,
-  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'explorer' END AS spawned_agent_type, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 's' || (user_id + 1) END AS spawned_agent_sub_session_id FROM tc0),
+  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'explorer' END AS spawned_agent_type, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 's' || (user_id + 1) END AS spawned_agent_sub_session_id, CAST(NULL AS VARCHAR) AS spawned_agent_task_scope, CAST(NULL AS VARCHAR) AS spawned_agent_outcome_summary, CAST(NULL AS DOUBLE) AS position_in_session FROM tc0),
 turns AS (SELECT 's' || conv_id AS session_id, turn AS turn_index, strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 60 * (1 + (conv_id * turn) % 13)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS "timestamp", role,
   CASE WHEN role = 'user' AND turn % 3 <> 2 THEN 'human' ELSE 'framework' END AS source, CASE WHEN role = 'assistant' THEN 'model-' || ((conv_id + turn) % 3) END AS model, {_CONTENT} AS content, CAST(NULL AS VARCHAR) AS content_type, {_TURN_META} AS framework_metadata_json, CAST(NULL AS VARCHAR) AS thinking, CAST(NULL AS BIGINT) AS reasoning_tokens, CAST(NULL AS BIGINT) AS tool_tokens, CAST(NULL AS VARCHAR) AS raw_json,
   CASE WHEN role = 'user' THEN length(text) END AS input_tokens, CASE WHEN role = 'assistant' THEN length(text) END AS output_tokens,
@@ -248,7 +248,7 @@ m0 AS (SELECT session_id, count(*) AS tool_call_count, count(*) FILTER (WHERE op
 m1 AS (SELECT session_id, count(*) AS turn_count, CAST(sum(input_tokens) AS BIGINT) AS total_input_tokens, CAST(sum(output_tokens) AS BIGINT) AS total_output_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS total_cache_read_tokens,
   CAST(sum(cache_creation_tokens) AS BIGINT) AS total_cache_creation_tokens, max(output_tokens) AS max_response_tokens, CASE WHEN count(DISTINCT model) >= 2 THEN count(DISTINCT model) END AS unique_models FROM turns GROUP BY session_id),
 metrics AS (SELECT m0.session_id, coalesce(turn_count, 0) AS turn_count, tool_call_count, read_count, modify_count, create_count, execute_count, CAST(floor(read_count * 1000 / CAST(tool_call_count AS DOUBLE)) AS DOUBLE) / 1000 AS read_ratio, subagent_count, {', '.join(ACTIVITY)},
-  total_input_tokens, total_output_tokens, total_cache_read_tokens, total_cache_creation_tokens, max_response_tokens, unique_models, CAST(NULL AS DOUBLE) AS idle_ratio, CAST(NULL AS DOUBLE) AS time_to_first_action, CAST(NULL AS BIGINT) AS delegate_count FROM m0 LEFT JOIN m1 ON m0.session_id = m1.session_id),
+  total_input_tokens, total_output_tokens, total_cache_read_tokens, total_cache_creation_tokens, max_response_tokens, unique_models, CAST(NULL AS DOUBLE) AS idle_ratio, CAST(NULL AS DOUBLE) AS time_to_first_action, CAST(NULL AS BIGINT) AS delegate_count, CAST(NULL AS DOUBLE) AS session_cost, CAST(NULL AS BIGINT) AS total_tool_tokens FROM m0 LEFT JOIN m1 ON m0.session_id = m1.session_id),
 g0 AS (SELECT user_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events),
 g1 AS (SELECT user_id, min(ts) AS a, max(ts) AS b, coalesce(sum(gap) FILTER (WHERE gap <= 3600000000), 0) AS active FROM g0 GROUP BY user_id),
 sessions AS (SELECT 's' || user_id AS session_id, 'full' AS profile, 'Session ' || user_id AS title, CASE WHEN user_id % 5 = 0 THEN 'public' ELSE 'internal' END AS classification,
@@ -257,7 +257,7 @@ sessions AS (SELECT 's' || user_id AS session_id, 'full' AS profile, 'Session '
   CAST((epoch_us(b) - epoch_us(a)) // 1000000 AS DOUBLE) AS duration_seconds, CAST(CAST(active AS BIGINT) // 1000000 AS DOUBLE) AS active_duration_seconds, CAST(hour(a) AS BIGINT) AS hour_of_day, CAST(isodow(a) - 1 AS BIGINT) AS day_of_week,
   CAST(user_id % 3 <> 0 AS BIGINT) AS for_research, CAST(user_id % 11 = 0 AS BIGINT) AS contains_pii, CASE WHEN user_id % 6 = 0 THEN 's' || (user_id + 1) END AS predecessor_session, 'workspace' AS permission_level,
   CASE WHEN user_id % 4 = 1 THEN 'You are helper ' || (user_id % 3) END AS system_prompt, m.turn_count, m.tool_call_count, m.read_count, m.modify_count, m.create_count, m.execute_count, {', '.join('m.' + x for x in ACTIVITY)},
-  CASE WHEN m.turn_count > 5 AND m.tool_call_count > 10 THEN 'A' WHEN m.turn_count > 0 THEN 'B' ELSE 'C' END AS quality, CAST(NULL AS VARCHAR) AS model_version, CAST(NULL AS VARCHAR) AS agent_version, CAST(NULL AS VARCHAR) AS summary,
+  CASE WHEN m.turn_count > 5 AND m.tool_call_count > 10 THEN 'A' WHEN m.turn_count > 0 THEN 'B' ELSE 'C' END AS quality, CAST(NULL AS VARCHAR) AS model_version, CAST(NULL AS VARCHAR) AS git_branch, CAST(NULL AS VARCHAR) AS autonomy_level, CAST(NULL AS BIGINT) AS sandbox, CAST(NULL AS VARCHAR) AS human_attention, CAST(NULL AS VARCHAR) AS agent_version, CAST(NULL AS VARCHAR) AS summary,
   '{{"timing":{{"started_at":"' || strftime(a, '%Y-%m-%dT%H:%M:%SZ') || '"}},"flags":{{"contains_pii":' || CAST(user_id % 11 = 0 AS BIGINT) || '}},"metrics":{{"turn_count":' || m.turn_count || '}}}}' AS raw_json
   FROM g1 JOIN metrics m ON m.session_id = 's' || user_id),
 handovers AS (SELECT session_id, 'received' AS direction, predecessor_session AS from_session, session_id AS to_session, 'notes of ' || title AS document, CAST(NULL AS VARCHAR) AS state_description FROM sessions WHERE predecessor_session IS NOT NULL),
