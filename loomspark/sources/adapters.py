@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomspark.operators.metrics import outcome_status
 from loomspark.operators.sequence import keep_first
 from loomspark.schema import conform
-from loomspark.sources import claude_lifecycle, copilot
+from loomspark.sources import claude_lifecycle, codex_sessions, copilot
 
 NO_RESULT = "the log ends without a result of this call"
 ERROR_CHARS = 500
@@ -54,18 +54,6 @@ def pi_items(lines: DataFrame) -> DataFrame:
     return _items(said).unionByName(_items(results))
 
 
-def codex_items(lines: DataFrame) -> DataFrame:
-    """Response items; mirrored event messages are left out, outputs may come before their calls."""
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    model = F.last(F.when(_j("$.type") == "turn_context", _j("$.payload.model")), ignorenulls=True).over(w)
-    r = lines.withColumn("model", model).where(_j("$.type") == "response_item").select("path", "line_no", "model", _j("$.timestamp").alias("timestamp"), _j("$.payload.type").alias("kind"), _j("$.payload.role").alias("who"), _j("$.payload.content").alias("content"), _j("$.payload.call_id").alias("call_id"), _j("$.payload.name").alias("tool_name"), F.coalesce(_j("$.payload.arguments"), _j("$.payload.input"), _j("$.payload.action")).alias("arguments"), _j("$.payload.output").alias("output"))
-    text = F.coalesce(F.array_join(F.transform(_parts(F.col("content"), "type:string,text:string"), lambda p: p["text"]), "\n"), F.col("content"))
-    out_text = F.coalesce(F.array_join(F.transform(_parts(F.col("output"), "type:string,text:string"), lambda p: p["text"]), "\n"), F.get_json_object("output", "$.output"), F.col("output"))
-    item = F.when(F.col("kind") == "message", "text").when(F.col("kind").endswith("_call"), "call").when(F.col("kind").endswith("_call_output"), "result")
-    exit_code = F.coalesce(F.get_json_object(out_text, "$.exit_code"), F.get_json_object(out_text, "$.metadata.exit_code"), F.nullif(F.regexp_extract(out_text, r"(?:Exit code|exited with code):? (-?[0-9]+)", 1), F.lit(""))).try_cast("long")
-    return _items(r.withColumn("item", item).where("item is not null").select("path", "line_no", F.lit(0).alias("part"), "item", F.when(F.col("item") == "text", F.col("who")).otherwise("assistant").alias("role"), F.when(F.col("item") == "result", out_text).otherwise(text).alias("text"), "call_id", F.coalesce("tool_name", F.when(F.col("kind") == "local_shell_call", "shell")).alias("tool_name"), "arguments", F.when(F.col("item") == "result", exit_code != 0).alias("is_error"), "timestamp", "model"))
-
-
 def claude_ai_items(conversations: DataFrame) -> DataFrame:
     """conversations: (path, conversation_id, value) of an export; path becomes the conversation's id."""
     messages = F.from_json(_j("$.chat_messages"), "array<struct<sender:string,text:string,created_at:string,content:array<struct<type:string,text:string,name:string,input:string,content:string,is_error:boolean>>>>")
@@ -177,9 +165,9 @@ def headers(lines: DataFrame, framework: str) -> DataFrame:
     return lines.groupBy("path").agg(*cols).withColumn("agent_framework", F.lit(framework))
 
 
-ITEMS: dict[str, Callable[[DataFrame], DataFrame]] = {"pi": pi_items, "codex": codex_items}
+ITEMS: dict[str, Callable[[DataFrame], DataFrame]] = {"pi": pi_items}
 #: Formats with a conversion of their own.
-WHOLE: dict[str, Callable[[DataFrame], dict[str, DataFrame]]] = {"claude-code": claude_lifecycle.convert, "copilot": copilot.convert}
+WHOLE: dict[str, Callable[[DataFrame], dict[str, DataFrame]]] = {"claude-code": claude_lifecycle.convert, "codex": codex_sessions.convert, "copilot": copilot.convert}
 #: Formats that convert() knows.
 FORMATS = (*ITEMS, *WHOLE)
 
