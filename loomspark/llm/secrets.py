@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import bz2
 import hashlib
 import re
 import zlib
@@ -37,18 +38,22 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_BASE64 = 19
 #: Compressed bytes are inflated in pieces of this size and scanned in windows of at least WINDOW bytes, which end where no find and no encoded run can cross; windows after the first are counted in `oversized`.
 PIECE = 1 << 20
+#: Bytes that are looked at first, to see whether they are compressed at all.
+HEAD = 4096
 WINDOW = 4 << 20
 
 _ASSIGN_HINT = re.compile("[:=]")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_BASE64},}}={{0,2}}")
-_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_BASE64},}}+(?:[\x20\t]*+\r?\n[\x20\t>]*+[A-Za-z0-9+/_-]++)++")
-_ALPHABET = re.compile(r"[A-Za-z0-9+/_-]+")
+# lines of a wrapped run, quoted or not; the line end may be written out, as in a text that is a JSON value
+_LINE_END = re.compile(r"[\x20\t]*+(?:\r?\n|(?:\\r)?\\n)[\x20\t>]*+")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_BASE64},}}+(?:{_LINE_END.pattern}[A-Za-z0-9+/_-]++)++")
 # shorter stretches of decoded bytes (14) hold no find
 _ASCII = re.compile(rb"[\t-\r\x20-\x7e]{14,}")
 _UTF16 = (re.compile(rb"(?:[\t-\r\x20-\x7e]\x00){14,}"), re.compile(rb"(?:\x00[\t-\r\x20-\x7e]){14,}"))
 _CUT = re.compile(rb"[.,;)!?\]>]\s|\x00\x00|[.,;)!?]\x00\s\x00|\x00[.,;)!?]\x00\s")
+_BZIP2 = re.compile(rb"BZh[1-9]1AY&SY")
 _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 
 
@@ -136,39 +141,87 @@ def unicode_layer(layer: Layer) -> Layer | None:
     return _replaced(layer, parts) if parts else None
 
 
-def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """Inflated bytes of all joined gzip or zlib members, and what follows them, in pieces; ends at damage."""
-    d = zlib.decompressobj(47)
+def _pieces(data: bytes, start: int = 0) -> Iterator[memoryview]:
+    """data from start on, first a little, without copies."""
+    view, size = memoryview(data), HEAD
+    while start < len(view):
+        yield view[start : start + size]
+        start, size = start + size, PIECE
+
+
+def _decoder(first: bytes | memoryview):
+    """A decompressor for bytes that begin like these, or None."""
+    head = bytes(first[:10])
+    if head[:2] in _MAGIC:
+        return zlib.decompressobj(47)
+    return bz2.BZ2Decompressor() if _BZIP2.match(head) else None
+
+
+def _members(pieces: Iterator[bytes], rest_too: bool) -> Iterator[bytes]:
+    """Inflated bytes of all joined members, in pieces, and if asked what follows them; ends at damage."""
+    d = None
     for rest in pieces:
         while True:
-            if d.eof:
-                rest = rest.lstrip(b"\0")
-                if rest and rest[0] not in (0x1F, 0x78):
-                    yield rest
-                    rest = b""
-                if not rest:
+            if d is None or d.eof:
+                if d is not None:
+                    rest = bytes(rest).lstrip(b"\0")
+                d = _decoder(rest) or (d if rest else None)
+                if d is None or d.eof:
+                    if rest_too and rest:
+                        yield bytes(rest)
+                    elif rest:
+                        return
                     break
-                d = zlib.decompressobj(47)
             try:
-                out = d.decompress(rest, PIECE)
-            except zlib.error:
+                if isinstance(d, bz2.BZ2Decompressor):
+                    out = d.decompress(rest, PIECE)
+                    rest = d.unused_data if d.eof else b""
+                    more = not d.eof and not d.needs_input
+                else:
+                    out = d.decompress(rest, PIECE)
+                    rest = d.unused_data if d.eof else d.unconsumed_tail
+                    more = bool(out) and not d.eof
+            except (zlib.error, OSError):
                 return
             if out:
                 yield out
-            rest = d.unused_data if d.eof else d.unconsumed_tail
-            if not rest and (d.eof or not out):
+            if not rest and not more:
                 break
 
 
-def _inflated(data: bytes) -> Iterator[bytes]:
+def _inflated(data: bytes, start: int = 0, rest_too: bool = True) -> Iterator[bytes]:
     """Pieces of what compressed bytes hold, through all levels of compression."""
-    seen, pieces, first = set(), iter((data,)), data
-    while first[:2] in _MAGIC and (key := hashlib.blake2b(first, digest_size=16).digest()) not in seen:
+    seen, pieces, first = set(), _pieces(data, start), memoryview(data)[start : start + HEAD]
+    while _decoder(first) is not None and (key := hashlib.blake2b(first[:HEAD], digest_size=16).digest()) not in seen:
         seen.add(key)
-        pieces = _members(pieces)
+        pieces = _members(pieces, rest_too)
         first = next(pieces, b"")
         pieces = chain((first,), pieces)
-    return pieces if first[:2] not in _MAGIC else iter(())
+    return pieces if _decoder(first) is None else iter(())
+
+
+def _raw_deflate(data: bytes) -> bytes | None:
+    """The first inflated bytes of a deflate stream without a header, if they are a text's."""
+    d = zlib.decompressobj(-15)
+    try:
+        head = d.decompress(data[:HEAD], HEAD)
+    except zlib.error:
+        return None
+    enough = len(head) >= 14 and (d.eof or len(data) > HEAD or len(head) == HEAD)
+    return head if enough and len(_ASCII.sub(b"", head)) * 4 < len(head) else None
+
+
+def _raw_inflated(data: bytes) -> Iterator[bytes]:
+    d, rest = zlib.decompressobj(-15), data
+    while rest and not d.eof:
+        try:
+            out = d.decompress(rest, PIECE)
+        except zlib.error:
+            return
+        yield out
+        rest = d.unconsumed_tail
+        if not out:
+            return
 
 
 def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -218,22 +271,29 @@ def _decoded(part: str) -> bytes:
         return b""
 
 
+def _unpacked(layer: Layer, pieces: Iterator[bytes], a: int, b: int) -> Iterator[tuple[Layer, bool]]:
+    """Layers of inflated bytes, all of them standing for the layer's characters a to b, and whether it is a further window."""
+    a, b = layer.span(a, b)
+    for i, window in enumerate(_windows(pieces)):
+        whole = _readable(window)
+        for text in (whole,) if whole else (x for _, _, x in _stretches(window)):
+            yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text))), i > 0
+
+
 def _opened(layer: Layer, data: bytes, at: np.ndarray) -> Iterator[tuple[Layer, bool]]:
     """Layers of decoded bytes, and whether it is a further window; at: positions in the layer of the base64 characters."""
 
     def spans(s, e):
         return (s, e) if layer.starts is None else (layer.starts[s], layer.ends[e - 1])
 
-    if data[:2] in _MAGIC:
-        a, b = layer.span(int(at[0]), int(at[-1]) + 1)
-        for i, window in enumerate(_windows(_inflated(data))):
-            whole = _readable(window)
-            for text in (whole,) if whole else (x for _, _, x in _stretches(window)):
-                yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text))), i > 0
+    if _decoder(data) is not None:
+        yield from _unpacked(layer, _inflated(data), int(at[0]), int(at[-1]) + 1)
     elif text := _readable(data):
         i = np.arange(len(data))
         chars = _chars(data, list(zip(at[8 * i // 6].tolist(), (at[(8 * i + 7) // 6] + 1).tolist())))
         yield Layer(text, *spans(np.array([x[1] for x in chars]), np.array([x[2] for x in chars]))), False
+    elif _raw_deflate(data) is not None:
+        yield from _unpacked(layer, _raw_inflated(data), int(at[0]), int(at[-1]) + 1)
     else:
         for o, step, text in _stretches(data):
             i = o + step * np.arange(len(text))
@@ -242,36 +302,58 @@ def _opened(layer: Layer, data: bytes, at: np.ndarray) -> Iterator[tuple[Layer,
             yield Layer(text, *spans(at[8 * i // 6], at[(8 * i + 7) // 6] + 1)), False
 
 
+def _lines(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Spans of the lines of a run."""
+    out = []
+    for m in _LINE_END.finditer(text, a, b):
+        out.append((a, m.start()))
+        a = m.end()
+    return [*out, (a, b)]
+
+
 def base64_layers(layer: Layer) -> Iterator[tuple[Layer, bool]]:
-    """Layers of each base64 run, also of runs wrapped over lines, that hold readable or compressed text."""
+    """Layers of each base64 run, also of runs wrapped over lines, that hold readable or compressed text.
+
+    A run can follow other characters of its alphabet, so it is decoded at its four alignments, each once.
+    Compressed members can begin after / _ - + and line ends: where the bytes there look like one, it is inflated
+    from there on and no further than it goes.
+    """
     done: list[tuple[int, int]] = []  # by start: wrapped runs come first and in order
-    runs = chain(_WRAPPED.finditer(layer.text), _BASE64.finditer(layer.text))
-    for m in runs:
-        lines = [(x.start(), x.end()) for x in _ALPHABET.finditer(layer.text, m.start(), m.end())]
+    runs = chain(((m, True) for m in _WRAPPED.finditer(layer.text)), ((m, False) for m in _BASE64.finditer(layer.text)))
+    for m, wrapped in runs:
         before = bisect.bisect_right(done, (m.start(), len(layer.text) + 1))
-        if len(lines) == 1 and before and m.start() < done[before - 1][1]:
+        if not wrapped and before and m.start() < done[before - 1][1]:
             continue
+        lines = _lines(layer.text, m.start(), m.end()) if wrapped else [(m.start(), m.start() + len(m[0].rstrip("=")))]
         core = "".join(layer.text[a:b] for a, b in lines)
         at = np.concatenate([np.arange(a, b) for a, b in lines])
-        starts = set(np.cumsum([b - a for a, b in lines])[:-1].tolist())
-        # a run can follow other characters of the alphabet: also try what comes after / _ - + and line ends
-        starts |= {i + 1 for i, c in enumerate(core) if c in "/_-+"}
-        tried = set()
-        for skip in (0, *sorted(i for i in starts if len(core) - i >= MIN_BASE64)):
-            # what starts at the same place modulo 4 as a run tried before gives the same bytes, unless it is compressed
-            if _decoded(core[skip : skip + 4])[:2] not in _MAGIC and skip % 4 in tried:
-                continue
-            tried.add(skip % 4)
-            data = _decoded(core[skip:])
-            whole = data[:2] in _MAGIC or _readable(data) is not None
+        decoded: dict[int, bytes] = {}
+        found = False
+        for skip in range(4):
+            if len(core) - skip < MIN_BASE64:
+                break
+            data = decoded[skip] = _decoded(core[skip:])
+            whole = _decoder(data) is not None or _readable(data) is not None
             any_ = False
             for made in _opened(layer, data, at[skip:]):
                 any_ = True
                 yield made
             if whole and any_:
-                if len(lines) > 1:
-                    done.append((int(at[skip]), m.end()))
+                found = True
                 break
+        if found:
+            if wrapped:
+                done.append((int(at[skip]), m.end()))
+            continue
+        starts = set(np.cumsum([b - a for a, b in lines])[:-1].tolist()) | {x.end() for x in re.finditer("[/_+-]", core)}
+        for start in sorted(x for x in starts if x > 3 and len(core) - x >= MIN_BASE64):
+            data, byte = decoded[start % 4], (start - start % 4) // 4 * 3
+            if _decoder(data[byte : byte + 10]) is None:
+                continue
+            pieces = _inflated(data, byte, rest_too=False)
+            first = next(pieces, b"")
+            if first:
+                yield from _unpacked(layer, chain((first,), pieces), int(at[start]), int(at[-1]) + 1)
 
 
 _STANDARD = str.maketrans("-_", "+/")
