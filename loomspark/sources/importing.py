@@ -16,7 +16,7 @@ from loomspark.operators.flatten import flatten
 from loomspark.schema import TABLES
 from loomspark.sources.adapters import FORMATS, convert
 from loomspark.sources.archives import SourceError, SourceSet, detect, documents, expand, inventory, lines
-from loomspark.sources.cache import VERSION
+from loomspark.sources.cache import VERSION, stored
 from loomspark.sources.publish import preview
 
 #: Session setting with the globs of the host's archives, comma-separated.
@@ -81,9 +81,11 @@ def load(sources: DataFrame, auto_convert: bool = True, strict: bool = False, lo
             records, bad = records.unionByName(logs[0]), bad.unionByName(logs[1])
         # a log with a bad record is not loaded in part
         records = records.join(bad.select("path").distinct(), "path", "left_anti")
-        formats = detect(records)
-        for name in FORMATS:
-            mine = records.join(formats.where(F.col("format") == name).select("path"), "path", "left_semi")
+        # conversions read their records several times: they are parsed, and their formats found, once
+        records = stored(records, "records")
+        formats = stored(detect(records), "formats")
+        for name in sorted({r["format"] for r in formats.select("format").distinct().collect()} & set(FORMATS)):
+            mine = stored(records.join(formats.where(F.col("format") == name).select("path"), "path", "left_semi"), "lines")
             for table, df in convert(mine, name).items():
                 tables.setdefault(table, []).append(df)
         known = rest.select("path") if logs is None else rest.select("path").unionByName(logs[0].select("path").distinct())
