@@ -235,7 +235,7 @@ def patch_targets(patch: Column) -> Column:
     """array<struct<target, operation>> of a patch; null if it is no patch, a move without an update before it, or a header without a path."""
     rows = F.split(F.trim(patch), "\n")
     ok = (F.size(rows) >= 2) & (F.get(rows, F.lit(0)) == "*** Begin Patch") & (F.element_at(rows, -1) == "*** End Patch")
-    header = lambda x: F.coalesce(*[F.when(F.startswith(x, F.lit(h)), F.struct(F.substring(x, len(h) + 1, 1 << 20).alias("target"), F.lit(o).alias("operation"))) for h, o in PATCH_OPERATIONS])
+    header = lambda x: F.coalesce(*[F.when(F.startswith(x, F.lit(h)), F.struct(F.substr(x, F.lit(len(h) + 1)).alias("target"), F.lit(o).alias("operation"))) for h, o in PATCH_OPERATIONS])
     heads = F.filter(F.transform(rows, header), lambda h: h.isNotNull())
     after = lambda i: F.get(heads, i + 1)["operation"].eqNullSafe("MOVE")
     bad = F.exists(heads, lambda h: h["target"] == "") | F.exists(F.sequence(F.lit(0), F.greatest(F.size(heads) - 1, F.lit(0))), lambda i: F.get(heads, i)["operation"].eqNullSafe("MOVE") & ((i == 0) | ~F.get(heads, i - 1)["operation"].eqNullSafe("MODIFY")))
