@@ -99,20 +99,6 @@ def chatgpt_items(conversations: DataFrame) -> DataFrame:
     return _items(m.select("path", "line_no", F.lit(0).alias("part"), F.lit("text").alias("item"), "role", "text", F.date_format(F.timestamp_micros((F.col("at") * 1000000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "model"))
 
 
-def canonical_snapshots(snapshots: DataFrame, phases: tuple[str, ...] = ("final", "post_tools", "post_inference", "pre_inference")) -> DataFrame:
-    """Of the stored snapshots of a turn (conv_id, session_id, turn_id, phase, created_at), the best by phase, then the latest."""
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in phases]), F.col("phase")), F.lit(0))
-    rank = F.when(rank == 0, len(phases) + 1).otherwise(rank)
-    w = Window.partitionBy("conv_id", "session_id", "turn_id").orderBy(rank, F.desc("created_at"))
-    return snapshots.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
-def new_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks (conv_id, session_id, turn_no, ordinal, block_id, ...) without those seen in an earlier snapshot of the session."""
-    w = Window.partitionBy("conv_id", "session_id", "block_id").orderBy("turn_no", "ordinal")
-    return blocks.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
 def operation(tool: Column, command: Column) -> Column:
     """READ, MODIFY, NEW, EXECUTE, DELEGATE or OTHER by tool name, for shells by the command's first word."""
     t, c = F.lower(F.coalesce(tool, F.lit(""))), F.ltrim(F.coalesce(command, F.lit("")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators.flatten import flatten
 from loomspark.schema import TABLES
+from loomspark.sources import turn_store
 from loomspark.sources.adapters import FORMATS, convert
 from loomspark.sources.archives import SourceError, SourceSet, detect, documents, expand, inventory, lines
 from loomspark.sources.cache import VERSION, stored
@@ -47,19 +48,32 @@ def checked_lines(sources: DataFrame, line_bytes: int = LINE_BYTES) -> tuple[Dat
 _SAID = {"record_too_large": "record too large", "invalid_utf8": "not UTF-8", "invalid_record": "not a JSON object"}
 
 
-def load_set(spark: SparkSession, sources: SourceSet, strict: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
-    """load() of a source set: logs are read by byte ranges, so one of any size is dealt over many tasks; documents are whole."""
-    logs = [p for p in sources.paths if p.endswith(".jsonl")]
-    whole = SourceSet(tuple(p for p in sources.paths if not p.endswith(".jsonl")), sources.inline)
+def load_set(spark: SparkSession, sources: SourceSet, strict: bool = False, stores: str = "turn-store") -> tuple[dict[str, DataFrame], DataFrame]:
+    """load() of a source set: logs are read by byte ranges, so one of any size is dealt over many tasks; documents are whole.
+
+    Files named .db are stores of turn snapshots that the agent `stores` kept.
+    """
+    db, logs = [p for p in sources.paths if p.endswith(".db")], [p for p in sources.paths if p.endswith(".jsonl")]
+    whole = SourceSet(tuple(p for p in sources.paths if p not in {*db, *logs}), sources.inline)
     df = whole.read(spark) if whole.paths or whole.inline else spark.createDataFrame([], "path string, content string")
-    if not logs:
-        return load(df, strict=strict)
+    tables, diagnostics = load(df, strict=strict, logs=_read_logs(spark, logs) if logs else None)
+    if db:
+        kept, bad = turn_store.convert(turn_store.read_store(spark, db), stores)
+        bad = bad.select("path", F.lit("error").alias("level"), F.concat_ws(": ", "conv_id", "message").alias("message"))
+        if strict and (first := bad.orderBy("path", "message").limit(1).collect()):
+            raise SourceError(f"{first[0]['path']}: {first[0]['message']}")
+        tables, diagnostics = {name: df.unionByName(kept[name]) if name in kept else df for name, df in tables.items()}, diagnostics.unionByName(bad)
+    return tables, diagnostics
+
+
+def _read_logs(spark: SparkSession, logs: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(records, diagnostics) of logs, as load() takes them."""
     every = SourceSet(tuple(logs)).logs(spark)
     line = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "))
     message = F.concat(line, F.coalesce(*[F.when(F.col("diagnostic") == k, v) for k, v in _SAID.items()]))
     empty = spark.createDataFrame([(p,) for p in logs], "path string").join(every.select("path"), "path", "left_anti").select("path", F.lit("no records").alias("message"))
     bad = every.where("diagnostic is not null").select("path", message.alias("message")).unionByName(empty)
-    return load(df, strict=strict, logs=(every.where("diagnostic is null").drop("diagnostic"), bad))
+    return every.where("diagnostic is null").drop("diagnostic"), bad
 
 
 def load(sources: DataFrame, auto_convert: bool = True, strict: bool = False, logs: tuple[DataFrame, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
