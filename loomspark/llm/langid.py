@@ -27,8 +27,8 @@ ORDER = 5
 #: Labelled rows per language that are used at most, and the share of them kept for calibration.
 SAMPLE_ROWS = 400
 CALIBRATION = 0.25
-#: Label values that get a model at most, the most frequent (a bound of what reaches the driver).
-MAX_LANGUAGES = 512
+#: So many languages are scored in one pass; more take further passes over the texts.
+LANGUAGE_BLOCK = 512
 _HASHES = 1 << 40
 #: Texts up to this many bytes are taken first, so the sample stays small.
 SAMPLE_BYTES = 20_000
@@ -171,27 +171,32 @@ def train_language(rows: pd.DataFrame) -> dict:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, dict]:
     """Models per language from rows with text, lang and doc_id that are not held out.
 
-    The sample of a language is its sample_rows rows first by length class and hash of
-    doc_id; it is chosen on ids alone, and texts are read for the chosen rows only.
-    What reaches the driver is languages x a model of a bounded sample.
+    The sample of a language is its sample_rows documents first by length class and hash
+    of doc_id; it is chosen on ids alone, and texts are read for the chosen ones only.
+    Of a doc_id that rows of a language repeat, one text counts, the smallest.  Every
+    label gets a model; what reaches the driver is a model of a bounded sample for
+    each, so it grows with the number of labels, not with rows.
     """
     ok = docs.where("text is not null and lang is not null and doc_id is not null").where(~_held_out(F.col("doc_id")))
     ok = ok.where(F.col("text").rlike("\\p{L}"))
     # ranked on lengths and hashes only
     size = F.octet_length("text")
     ranked = ok.select("lang", "doc_id", (size > SAMPLE_BYTES).alias("long"), size.cast("long").alias("bytes"), F.xxhash64("doc_id").alias("h"))
-    counts = ranked.groupBy("lang").agg(F.count_if("long").alias("n_long"), F.count_if(~F.col("long")).alias("n_short")).orderBy(F.desc(F.col("n_long") + F.col("n_short")), "lang").limit(MAX_LANGUAGES).collect()
+    # repeated ids count once; estimates do, since the limits take twice what is needed
+    ids = lambda cond: F.approx_count_distinct(F.when(cond, F.col("doc_id")))
+    counts = ranked.groupBy("lang").agg(ids(F.col("long")).alias("n_long"), ids(~F.col("long")).alias("n_short"))
     # hashes below a limit are enough for the sample and few enough for the task that ranks a language
     wanted = 2 * sample_rows + 100
-    limit = lambda n: int(min(1.0, wanted / max(n, 1)) * _HASHES)
-    limits = [(r["lang"], limit(r["n_short"]), limit(r["n_long"]) if r["n_short"] < wanted else 0) for r in counts]
-    limits = docs.sparkSession.createDataFrame(limits, "lang string, short_limit long, long_limit long")
+    limit = lambda n: F.floor(F.least(F.lit(1.0), wanted / F.greatest(n, F.lit(1))) * _HASHES)
+    limits = counts.select("lang", limit("n_short").alias("short_limit"), F.when(F.col("n_short") < wanted, limit("n_long")).otherwise(0).alias("long_limit"))
     hashed = F.pmod("h", F.lit(_HASHES))
     near = ranked.join(F.broadcast(limits), "lang").where(hashed < F.when(F.col("long"), F.col("long_limit")).otherwise(F.col("short_limit")))
+    near = near.groupBy("lang", "doc_id", "h").agg(F.min("long").alias("long"), F.max("bytes").alias("bytes"))
     order = Window.partitionBy("lang").orderBy("long", hashed, "doc_id")
     chosen = near.withColumn("r", F.row_number().over(order)).withColumn("read", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     chosen = chosen.where((F.col("r") <= sample_rows) & ((F.col("r") == 1) | (F.col("read") <= SAMPLE_TOTAL))).select("lang", "doc_id", "r")
-    sample = ok.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"])
+    # what is broadcast is far smaller than the models: sample_rows ids a label; texts of one id meet before they are grouped
+    sample = ok.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id", "r").agg(F.min("text").alias("text"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["r", "text"]).head(sample_rows)
@@ -217,10 +222,31 @@ def identify(docs: DataFrame, models: dict[str, dict], reject_z: float = REJECT_
     """
     added = ["lang_pred", "lang_score", "lang_rejected", "lang_bits"]
     docs = docs.drop(*added)
+    names = sorted(models)
+    blocks = [{g: models[g] for g in names[i : i + LANGUAGE_BLOCK]} for i in range(0, len(names), LANGUAGE_BLOCK)] or [{}]
+    if len(blocks) == 1:
+        return _score(docs, blocks[0], reject_z, added).drop(_CHARS)
+    # each pass adds the best language of its block; the likelihoods of all of them compete in the end
+    out, passes = docs, [[f"__{c}_{i}" for c in added] for i in range(len(blocks))]
+    for block, to in zip(blocks, passes):
+        out = _score(out.drop(_CHARS), block, reject_z, to)
+    best = F.array_min(F.array(*[F.when(F.col(bits).isNotNull(), F.struct(F.col(bits).alias("bits"), F.lit(i).alias("i"), F.col(pred).alias("pred"), F.col(rejected).alias("rejected"))) for i, (pred, _, rejected, bits) in enumerate(passes)]))
+    out = out.withColumn("__best", best)
+    chars = F.least(F.col(_CHARS), F.lit(50.0))
+    total = sum((F.coalesce(F.pow(F.lit(2.0), (F.col("__best.bits") - F.col(bits)) * chars) / F.col(score), F.lit(0.0)) for _, score, _, bits in passes), F.lit(0.0))
+    out = out.withColumns({"lang_pred": F.coalesce("__best.pred", F.lit(UNKNOWN)), "lang_score": F.when(F.col("__best").isNotNull(), 1 / total).otherwise(0.0), "lang_rejected": F.coalesce("__best.rejected", F.lit(True)), "lang_bits": F.col("__best.bits")})
+    return out.select(*docs.columns, *added)
+
+
+_CHARS = "__lang_chars"
+
+
+def _score(docs: DataFrame, models: dict[str, dict], reject_z: float, added: list[str]) -> DataFrame:
+    """docs plus, under the names `added`, the best of some languages, its share among them, whether it is rejected and its bits; and the characters scored."""
     cols = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(models)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema += ", lang_pred string, lang_score double, lang_rejected boolean, lang_bits double"
+    schema += "".join(f", `{n}` {t}" for n, t in zip([*added, _CHARS], ("string", "double", "boolean", "double", "double")))
     at = cols.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +256,7 @@ def identify(docs: DataFrame, models: dict[str, dict], reject_z: float = REJECT_
                 batch = whole.slice(start, 256)
                 texts = batch.column(at).to_pylist()
                 n = len(texts)
-                pred, score, rejected, bits = [UNKNOWN] * n, [0.0] * n, [True] * n, [None] * n
+                pred, score, rejected, bits, chars = [UNKNOWN] * n, [0.0] * n, [True] * n, [None] * n, [0.0] * n
                 if scorer:
                     h, size = scorer.texts(texts)
                     for i in np.flatnonzero(size > 0):
@@ -239,9 +265,9 @@ def identify(docs: DataFrame, models: dict[str, dict], reject_z: float = REJECT_
                         pred[i] = scorer.langs[j]
                         score[i] = float(1.0 / np.sum(2.0 ** (-(h[i] - h[i, j]) * min(size[i], 50.0))))
                         rejected[i] = bool(h[i, j] - mean > REJECT_BITS + reject_z * np.sqrt(between + per_char / size[i]))
-                        bits[i] = float(h[i, j])
-                more = [pa.array(pred), pa.array(score, pa.float64()), pa.array(rejected), pa.array(bits, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *added])
+                        bits[i], chars[i] = float(h[i, j]), float(size[i])
+                more = [pa.array(pred), pa.array(score, pa.float64()), pa.array(rejected), pa.array(bits, pa.float64()), pa.array(chars, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *added, _CHARS])
 
     return map_arrow(docs, run, schema)
 

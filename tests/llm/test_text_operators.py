@@ -3,6 +3,7 @@ import datetime
 import gzip
 import hashlib
 import os
+import pickle
 import random
 import re
 import struct
@@ -622,3 +623,25 @@ def test_secret_worklist_against_brute_force():
         base, spans, _ = secrets.scan(text)
         assert kinds <= {k for k, _, _ in spans}, (n, text)
         assert all(0 <= a < b <= len(text) for _, a, b in spans) and set(base) <= set(spans)
+
+
+def test_language_repeated_ids_and_many_labels(spark, monkeypatch):
+    words = {f"l{i:02}": [chr(97 + (i * 7 + j) % 26) * 2 + chr(97 + (i + 3 * j) % 26) for j in range(4)] for i in range(11)}
+    rows = [(d, " ".join(words[f"l{d % 11:02}"] * 3), f"l{d % 11:02}") for d in range(660)]
+    hot = next(d for d in range(1000, 2000) if zlib.crc32(str(d).encode()) % 3 != 1)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    repeated = table.unionByName(spark.range(5000).select(F.lit(hot).cast("long").alias("doc_id"), F.concat(F.lit("zz hot "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"), F.lit("l00").alias("lang")))
+    once = table.unionByName(spark.createDataFrame([(hot, "zz hot 00000", "l00")], table.schema))
+    models = langid.fit(repeated)
+    # repeats of an id weigh as one of its texts, and every label has a model
+    plain = langid.fit(once)
+    assert sorted(models) == sorted(words) and all(pickle.dumps(models[k]) == pickle.dumps(plain[k]) for k in words)
+    one = {r.doc_id: r for r in langid.identify(table, models).collect()}
+    monkeypatch.setattr(langid, "LANGUAGE_BLOCK", 4)
+    texts = table.unionByName(spark.createDataFrame([(9001, None, None), (9002, "12 34", None)], table.schema))
+    blocks = {r.doc_id: r for r in langid.identify(texts, models).collect()}
+    assert {blocks.pop(9001).lang_pred, blocks.pop(9002).lang_pred} == {"und"}
+    for d, r in one.items():
+        b = blocks[d]
+        assert (b.lang_pred, b.lang_rejected, b.lang_bits) == (r.lang_pred, r.lang_rejected, r.lang_bits) and abs(b.lang_score - r.lang_score) < 1e-9
+    assert sum(r.lang_pred == r.lang for r in one.values()) > 0.95 * len(one)
