@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.relation import Database
+
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -172,13 +174,28 @@ def pricing_summary(s, d):
     return li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.sum(price).alias("price_cents"), F.sum(price * disc).alias("net"), F.avg("l_quantity").alias("avg_quantity"))
 
 
-def playground(s, d, rows: int = 12, label: str = "row"):
-    """Rows from parameters alone."""
-    return s.range(1, rows + 1).select(F.col("id").alias("n"), F.concat_ws(" ", F.lit(label), F.col("id").cast("string")).alias("label"), (F.col("id") * F.col("id")).alias("square"))
+def playground(s, d, label: str = "row"):
+    """Numbered rows under a label that is a parameter, one for each customer."""
+    n = F.col("c_custkey").cast("long")
+    return _t(s, d, "customer").select(n.alias("n"), F.concat_ws(" ", F.lit(label), n.cast("string")).alias("label"), (n * n).alias("square"))
+
+
+def self_count(s, d):
+    """How many suppliers share a supplier's nation: a relation counted inside a callback over itself."""
+    r = Database(s, {"supplier": _t(s, d, "supplier")}).table("supplier")
+    return r.select(lambda t: {"s_suppkey": t.s_suppkey, "peers": r.where(lambda u: u.s_nationkey.eq(t.s_nationkey)).count()}).build()
+
+
+def declared_source(s, d, least: float = 300000.0):
+    """Large orders of a declared source, all of whose rows are checked in the one scan."""
+    source = Database(s, {"orders": _t(s, d, "orders")}).sql("SELECT o_orderkey, o_custkey, o_totalprice FROM {orders}", columns={"o_orderkey": "integer", "o_custkey": "integer", "o_totalprice": "number"})
+    return source.where(lambda o: o.o_totalprice.gt(least)).select(lambda o: {"o_orderkey": o.o_orderkey, "o_totalprice": o.o_totalprice}).build()
 
 
 RELATIONAL = {
-    "shw_21": (playground, "SELECT range AS n, 'row ' || range AS label, range * range AS square FROM range(1, 13)"),
+    "shw_21": (playground, "SELECT CAST(c_custkey AS BIGINT) AS n, 'row ' || c_custkey AS label, CAST(c_custkey AS BIGINT) * CAST(c_custkey AS BIGINT) AS square FROM customer"),
+    "rel_07_self_count": (self_count, "SELECT a.s_suppkey, (SELECT count(*) FROM supplier b WHERE b.s_nationkey = a.s_nationkey) AS peers FROM supplier a"),
+    "rel_17_declared_source": (declared_source, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000"),
     "sql_01_projection": (projection, "SELECT p_partkey, upper(p_brand) AS brand, CAST(p_size * 2 + 1 AS BIGINT) AS size2 FROM part"),
     "sql_02_filters": (filters, "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_name NOT ILIKE '%7%'"),
     "sql_04_inner_join": (inner_join, "SELECT c_mktsegment, count(*) AS orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
