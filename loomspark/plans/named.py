@@ -9,6 +9,7 @@ gives the SQL that the results are checked with:
     JOINED(column)       distinct values, sorted, comma-joined; null if there are none
     COLLECTED(a, b)      values of b in the order of a, comma-joined
     BYTES(text)          its length in UTF-8
+    UPTO(name)           LIMIT by parameter name; all rows if it is null
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.plans.projection import ORACLE_TABLES
 
-_MACRO = re.compile(r"\b(ANY|JSON|JOINED|COLLECTED|BYTES)\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
+_MACRO = re.compile(r"\b(ANY|JSON|JOINED|COLLECTED|BYTES|UPTO)\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 
 
 def quoted(value: Any) -> str:
@@ -55,6 +56,8 @@ class Named:
                 values = list(params[tail])
                 args.update({f"{tail}_{i}": v for i, v in enumerate(values)})
                 return f"{head} IN ({', '.join(f':{tail}_{i}' for i in range(len(values)))})" if values else "TRUE"
+            if name == "UPTO":
+                return f"LIMIT :{tail}" if params[tail] is not None else ""
             if name == "JSON":
                 return f"{'get_json_object' if dialect == 'spark' else 'json_extract_string'}({head}, {tail})"
             if name == "BYTES":
