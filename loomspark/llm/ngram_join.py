@@ -44,8 +44,9 @@ COMMON_MOST = 400_000
 BLOCK = 256
 #: Packed bytes of a range of hashes in one group, on average.
 RANGE_BYTES = 12 << 20
-WORD_MEMORY = 600_000
 BATCH = 4096
+#: Bytes of text whose words are hashed at once.
+STRETCH = 1 << 20
 #: 64 bits each: at most 8 MB are broadcast to find texts again.
 BITMAP_WORDS = 1 << 20
 
@@ -54,33 +55,51 @@ _FINAL = np.uint64(0xFF51AFD7ED558CCD)
 _MANY = 65535
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _FINAL
+    return h ^ (h >> np.uint64(29))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) >= WORD_MEMORY:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+#: A random value for each byte, 0 for white space, and an odd one for each place in a word.
+_LETTERS = np.random.default_rng(11).integers(1, 1 << 63, size=256, dtype=np.uint64)
+_LETTERS[list(b" \t\n\x0b\x0c\r")] = 0
 
 
-_WORDS = WordHashes()
+def _places(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mixed(np.arange(1, n + 1, dtype=np.uint64) * _MULT[7]) | np.uint64(1)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * _FINAL
-    return h ^ (h >> np.uint64(29))
+_PLACES = _places(1024)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of UTF-8 text in order: letters times places, summed.  No word is remembered."""
+    letters = np.frombuffer(text.lower(), np.uint8)
+    inside = np.concatenate([[False], _LETTERS[letters] != 0, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.zeros(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + STRETCH, side="right")))
+        at, size = starts[lo:hi], ends[lo:hi] - starts[lo:hi]
+        first = np.cumsum(size) - size  # where each word begins when only words are laid end to end
+        place = np.arange(size.sum()) - np.repeat(first, size)
+        places = _PLACES if size.max() <= len(_PLACES) else _places(size.max())
+        with np.errstate(over="ignore"):
+            terms = _LETTERS[letters[np.repeat(at, size) + place]] * places[place]
+            out[lo:hi] = _mixed(np.add.reduceat(terms, first))
+        lo = hi
+    return out
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
     """Sorted distinct hashes of the shingles of UTF-8 text; A-Z are folded, words end at ASCII white space."""
-    words = (text or b"").lower().split()
-    n = len(words)
+    w = word_hashes(text or b"")
+    n = len(w)
     if not n:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
+        return w
     with np.errstate(over="ignore"):
         if n < WORDS:  # the whole sequence is one shingle, apart from those of five words
             return _mixed(np.sum(w * _MULT[:n], keepdims=True, dtype=np.uint64) + np.uint64(n))

@@ -645,3 +645,31 @@ def test_language_repeated_ids_and_many_labels(spark, monkeypatch):
         b = blocks[d]
         assert (b.lang_pred, b.lang_rejected, b.lang_bits) == (r.lang_pred, r.lang_rejected, r.lang_bits) and abs(b.lang_score - r.lang_score) < 1e-9
     assert sum(r.lang_pred == r.lang for r in one.values()) > 0.95 * len(one)
+
+
+def test_shingle_hashes_remember_no_words():
+    """Workers are used again: what one text leaves behind must not grow with the words seen."""
+    import tracemalloc
+
+    from loomspark.llm import ngram_join
+
+    ngram_join.shingle_set(b"one two three four five six")
+    tracemalloc.start()
+    for i in range(40):
+        ngram_join.shingle_set(" ".join(f"w{i}x{j}" for j in range(2500)).encode())
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert left < 1 << 20
+
+
+def test_word_hashes(monkeypatch):
+    from loomspark.llm import ngram_join
+
+    words = [f"w{i}" for i in range(3000)] + ["ab", "ba", "a", "aa", "äö", "x" * 5000, "x" * 5001, "\x00", "\x00\x00"]
+    text = " \t" + "  \n".join(words) + "\r\n"
+    h = ngram_join.word_hashes(text.encode())
+    assert len(h) == len(set(h.tolist())) == len(words)
+    assert (h == np.concatenate([ngram_join.word_hashes(w.upper().encode() if w.isascii() else w.encode()) for w in words])).all()
+    monkeypatch.setattr(ngram_join, "STRETCH", 64)
+    assert (ngram_join.word_hashes(text.encode()) == h).all()
+    assert not len(ngram_join.word_hashes(b"")) and not len(ngram_join.word_hashes(b" \n "))
