@@ -179,24 +179,27 @@ def context_window(t: Tables, targets: DataFrame | None = None) -> DataFrame:
     """
     if targets is None:
         targets = t["turns"].groupBy("session_id").agg(F.max("turn_index").alias("target_turn"))
-    told = t["turns"].where((F.col("role") == "user") & F.startswith("content", F.lit(NOT_SAID[3]))).join(targets, "session_id").where(F.col("turn_index") < F.col("target_turn"))
-    summary = told.groupBy("session_id").agg(F.max("turn_index").alias("summary_turn"))
+    # what stands before a boundary is exchanged once more, so that no task holds the sorts and maps of all steps at once
+    told = t["turns"].where((F.col("role") == "user") & F.startswith("content", F.lit(NOT_SAID[3]))).select("session_id", "turn_index")
+    said = targets.alias("g").join(told.alias("u"), (F.col("g.session_id") == F.col("u.session_id")) & (F.col("u.turn_index") < F.col("g.target_turn")), "left")
+    summary = said.groupBy("g.session_id", "target_turn").agg(F.max("turn_index").alias("summary_turn"))
     collapse = compactions(t, before=targets).groupBy("session_id").agg(F.max("first_turn").alias("collapse_turn"))
-    b = targets.join(summary, "session_id", "left").join(collapse, "session_id", "left")
+    b = summary.repartition("session_id").join(collapse.repartition("session_id"), "session_id", "left")
     at = F.greatest("summary_turn", "collapse_turn")
     source = F.when(at.isNull(), "session-start").when(F.col("summary_turn") == F.col("collapse_turn"), "both").when(F.col("summary_turn") == at, "summary").otherwise("cache-collapse")
     b = b.select("session_id", "target_turn", F.coalesce(at, F.lit(0)).cast("long").alias("boundary_turn"), source.alias("boundary_source"), "summary_turn", "collapse_turn")
-    c = t["tool_calls"].join(b.select("session_id", "target_turn", "boundary_turn"), "session_id").where(F.col("emitting_turn_index").between(F.col("boundary_turn"), F.col("target_turn"))).join(_frameworks(t), "session_id")
     reads, loads = F.col("tool_name").isin("Read", "read"), F.col("tool_name") == "Skill"
     sideload = F.col("tool_name").isin(*SHELL) & F.array_join(commands(), " ").rlike(SKILL_FOLDERS)
-    g = c.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("tool_calls"), F.count_if(F.col("success") == 0).alias("failed"), F.count_if(loads).alias("skill_loads"), F.count_if(reads & F.col("file_path").rlike("/skills/|SKILL[.]md")).alias("skill_file_reads"), F.count_if(sideload).alias("skill_sideloads"),
-    )
-    own = c.where("framework <> 'codex' AND file_path IS NOT NULL").select("session_id", F.col("file_path").alias("path"))
-    told = c.where("framework = 'codex'").select("session_id", "tool_call_id").join(t["files"].where("evidence_kind <> 'legacy_scalar'").select("session_id", "tool_call_id", "path"), ["session_id", "tool_call_id"]).select("session_id", "path")
-    touched = own.unionByName(told).groupBy("session_id").agg(F.count_distinct("path").alias("files_touched"))
-    out = b.join(g, "session_id", "left").join(touched, "session_id", "left")
-    return out.na.fill(0, ["tool_calls", "failed", "skill_loads", "skill_file_reads", "skill_sideloads", "files_touched"])
+    counted = {"tool_calls": F.lit(True), "failed": F.col("success") == 0, "skill_loads": loads, "skill_file_reads": reads & F.col("file_path").rlike("/skills/|SKILL[.]md"), "skill_sideloads": sideload}
+    ones = lambda tests: [F.when(x, 1).otherwise(0).cast("long").alias(n) for n, x in tests.items()]
+    c = t["tool_calls"].join(_frameworks(t), "session_id")
+    calls = c.select("session_id", F.col("emitting_turn_index").alias("turn"), F.when(F.col("framework") != "codex", F.col("file_path")).alias("path"), *ones(counted))
+    listed = t["files"].where("evidence_kind <> 'legacy_scalar'").select("session_id", "tool_call_id", "path")
+    files = c.where("framework = 'codex'").select("session_id", "tool_call_id", F.col("emitting_turn_index").alias("turn")).join(listed, ["session_id", "tool_call_id"])
+    rows = calls.unionByName(files.select("session_id", "turn", "path", *ones({n: F.lit(False) for n in counted}))).withColumnRenamed("session_id", "sid")
+    inside = b.repartition("session_id").join(rows.repartition("sid"), (F.col("session_id") == F.col("sid")) & F.col("turn").between(F.col("boundary_turn"), F.col("target_turn")), "left")
+    by_path = inside.groupBy(*b.columns, "path").agg(*[F.sum(n).alias(n) for n in counted])
+    return by_path.groupBy(*b.columns).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counted], F.count("path").alias("files_touched"))
 
 
 def episodes(t: Tables, idle_minutes: int = 10, tools: int = 4) -> DataFrame:
