@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.shared import components, delete, map_arrow, map_groups, release, save
+from loomspark.llm.shared import components, delete, map_arrow, map_groups, release, save, together
 
 WORDS = 5
 THRESHOLD = 75  # percent
@@ -175,39 +175,37 @@ def with_candidates(docs: DataFrame, order) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(start, BATCH)
-                number += 1
-                ids = batch.column(0).to_pylist()
-                sets = [shingle_set(t) if i is not None else np.zeros(0, np.uint64) for i, t in zip(ids, batch.column(1).cast(pa.binary()).to_pylist())]
-                sizes = np.array([len(s) for s in sets], np.int64)
-                names = np.array([identity(s) for s in sets], np.int64).reshape(-1, 2)
-                heads = [order.value.tokens(s)[: len(s) - least_overlap(len(s)) + depth(len(s))] for s in sets]
-                h = np.concatenate(heads)
-                ref = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in heads])
-                at = np.argsort(h, kind="stable")
-                h, ref = h[at], ref[at]
-                new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-                group = np.cumsum(new) - 1
-                many = (np.bincount(group) > 1)[group] if len(h) else np.zeros(0, bool)
-                shared = np.bincount(ref[many], minlength=len(sets)).astype(np.int64)
-                ref = np.where(many, np.uint16(_MANY), ref)[new]
-                h = h[new]
-                part = (h & np.uint64(0xFFFFFFFF)) % np.uint64(ranges)
-                at = np.argsort(part, kind="stable")
-                h, ref, part = h[at], ref[at], part[at]
-                cut = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-                used = np.flatnonzero(cut[1:] > cut[:-1])
-                rows = len(used)
-                blank = pa.nulls(rows, pa.binary())
-                fields = ["part", "number", "hashes", "refs", "docs"]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(used.astype(np.int64)), pa.array(np.full(rows, number, np.int64)),
-                    pa.array([h[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary()), pa.array([ref[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary()), blank,
-                ], fields)
-                table = np.column_stack([np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.int64), sizes, names, shared])
-                yield pa.RecordBatch.from_arrays([pa.array([number % ranges]), pa.array([number]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([table.tobytes()], pa.binary())], fields)
+        for batch in together(batches, BATCH):
+            number += 1
+            ids = batch.column(0).to_pylist()
+            sets = [shingle_set(t) if i is not None else np.zeros(0, np.uint64) for i, t in zip(ids, batch.column(1).cast(pa.binary()).to_pylist())]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            names = np.array([identity(s) for s in sets], np.int64).reshape(-1, 2)
+            heads = [order.value.tokens(s)[: len(s) - least_overlap(len(s)) + depth(len(s))] for s in sets]
+            h = np.concatenate(heads)
+            ref = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in heads])
+            at = np.argsort(h, kind="stable")
+            h, ref = h[at], ref[at]
+            new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+            group = np.cumsum(new) - 1
+            many = (np.bincount(group) > 1)[group] if len(h) else np.zeros(0, bool)
+            shared = np.bincount(ref[many], minlength=len(sets)).astype(np.int64)
+            ref = np.where(many, np.uint16(_MANY), ref)[new]
+            h = h[new]
+            part = (h & np.uint64(0xFFFFFFFF)) % np.uint64(ranges)
+            at = np.argsort(part, kind="stable")
+            h, ref, part = h[at], ref[at], part[at]
+            cut = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
+            used = np.flatnonzero(cut[1:] > cut[:-1])
+            rows = len(used)
+            blank = pa.nulls(rows, pa.binary())
+            fields = ["part", "number", "hashes", "refs", "docs"]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(used.astype(np.int64)), pa.array(np.full(rows, number, np.int64)),
+                pa.array([h[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary()), pa.array([ref[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary()), blank,
+            ], fields)
+            table = np.column_stack([np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.int64), sizes, names, shared])
+            yield pa.RecordBatch.from_arrays([pa.array([number % ranges]), pa.array([number]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([table.tobytes()], pa.binary())], fields)
 
     def count(key, table: pa.Table) -> pa.Table | None:
         numbers = table.column("number").to_numpy()
@@ -466,18 +464,16 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                number += 1
-                cols = [[] for _ in range(4)]
-                facts_ = zip(*(part.column(i).to_pylist() for i in range(4)), part.column(4).cast(pa.binary()).to_pylist())
-                for rep, n, k1, k2, text in facts_:
-                    s = shingle_set(text)
-                    if len(s) == n and identity(s) == (k1, k2):  # else another row with this doc_id
-                        for c, v in zip(cols, (rep, k1, n, order.value.tokens(s).tobytes())):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(np.full(len(cols[0]), number, np.int64)), pa.array(cols[3], pa.binary())], ["rep", "cls", "n", "batch", "tokens"])
+        for part in together(batches, 512):
+            number += 1
+            cols = [[] for _ in range(4)]
+            facts_ = zip(*(part.column(i).to_pylist() for i in range(4)), part.column(4).cast(pa.binary()).to_pylist())
+            for rep, n, k1, k2, text in facts_:
+                s = shingle_set(text)
+                if len(s) == n and identity(s) == (k1, k2):  # else another row with this doc_id
+                    for c, v in zip(cols, (rep, k1, n, order.value.tokens(s).tobytes())):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(np.full(len(cols[0]), number, np.int64)), pa.array(cols[3], pa.binary())], ["rep", "cls", "n", "batch", "tokens"])
 
     texts = kin(docs, classes, "rep").join(classes.select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), "doc_id").select("doc_id", "n", "k1", "k2", "text")
     raw = save(map_arrow(texts, again, "rep long, cls long, n long, batch long, tokens binary"), "raw")

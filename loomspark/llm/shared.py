@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -19,6 +20,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
+#: Bytes of an Arrow batch that goes to a Python task.  Larger buffers lie outside the pools of the JVM, which then keeps
+#: pieces of them for good: an executor's memory would grow from stage to stage.
+ARROW_BYTES = 4 << 20
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _SAVED: dict[str, set[str]] = {}
@@ -93,17 +99,50 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold ARROW_BYTES at most; a lower limit that is set already stays."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_ARROW_LIMIT))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(_ARROW_LIMIT, str(ARROW_BYTES))
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system: Python workers are used again by other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; others give back by themselves
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow(fn, schema) with this package at hand in the tasks."""
+    """df.mapInArrow(fn, schema) with this package at hand in the tasks, in batches of bounded size."""
     ship(df.sparkSession)
+    limit_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
-        pa.default_memory_pool().release_unused()  # workers are used again: they keep no more than they need
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int, most: int = 8 * ARROW_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of `rows`, or fewer if they hold `most` bytes; the last holds the rest."""
+    held: list[pa.RecordBatch] = []
+    n = size = 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, rows - n)
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            n, size = n + part.num_rows, size + part.nbytes
+            if n == rows or size >= most:
+                yield pa.concat_batches(held)
+                held, n, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def fold_ascii(text):
     """A-Z to a-z and nothing else; plain lower() where the text is all ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

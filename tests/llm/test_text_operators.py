@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from loomspark.llm import langid, line_dedup, mixing, ngram_join, packing, pii, secrets, warc
 from loomspark.llm.shared import shared_dir
@@ -673,3 +674,34 @@ def test_word_hashes(monkeypatch):
     monkeypatch.setattr(ngram_join, "STRETCH", 64)
     assert (ngram_join.word_hashes(text.encode()) == h).all()
     assert not len(ngram_join.word_hashes(b"")) and not len(ngram_join.word_hashes(b" \n "))
+
+
+def test_arrow_batches_are_bounded(spark):
+    """A task of 24 MB of text gets it in batches of a few MB; a lower limit of the session stays."""
+    from loomspark.llm import shared
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"]) for b in batches)
+    table = spark.range(6000, numPartitions=1).select("id", F.repeat(F.lit("x"), 4000).alias("text"))
+    try:
+        spark.conf.set(key, "64m")
+        rows = shared.map_arrow(table, sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in rows) == 6000 and max(r.bytes for r in rows) < 1.25 * shared.ARROW_BYTES
+        spark.conf.set(key, "1m")
+        shared.limit_batches(spark)
+        assert spark.conf.get(key) in ("1m", "1048576b")
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_batches_together():
+    from loomspark.llm.shared import together
+
+    batch = lambda lo, hi: pa.RecordBatch.from_arrays([pa.array(range(lo, hi), pa.int64())], ["i"])
+    parts = [batch(0, 3), batch(3, 3), batch(3, 14), batch(14, 15), batch(15, 21)]
+    out = list(together(iter(parts), 5))
+    assert [b.num_rows for b in out] == [5, 5, 5, 5, 1]
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(21))
+    assert [b.num_rows for b in together(iter(parts), 5, 16)] == [3, 5, 5, 2, 5, 1]  # 16 bytes are two rows
+    assert list(together(iter([]), 5)) == []
