@@ -15,12 +15,14 @@ their first n - ceil(t n) + 1, and l of them among the first n - ceil(t n) + l.
 3. They meet in groups of equal min-hashes (three of them, in blocks of bounded size)
    and are joined there by prefix tree.  This finds most links; components follow.
 4. Every prefix shingle that still joins two components is a group in which all its
-   documents meet (in pairs of blocks), which completes the join: no link is lost.
-   Of shingles with the same documents one is enough.
-
-In a group, sets are stored in a trie in global order.  Each document walks it once,
-sharing overlaps along common paths, and leaves out subtrees whose lengths cannot
-reach the overlap, or that are already in its component.
+   documents meet, which completes the join: no link is lost.  Of shingles with the
+   same documents one is enough, and shingles whose documents overlap are one group,
+   whose documents meet once (in pairs of blocks).
+
+In a group, sets are stored in a trie in global order, without shingles that no two
+components share.  All documents walk it together, sharing overlaps along common
+paths; each leaves out subtrees whose lengths cannot reach the overlap, or that are
+already in its component.
 """
 
 from __future__ import annotations
@@ -40,8 +42,13 @@ ORDER_SAMPLE = 4000
 COMMON = 3
 #: At most so many common shingles are kept (16 bytes each), the most frequent.
 COMMON_MOST = 400_000
-#: Documents of a group that meet in one call.
+#: Documents of one min-hash that meet in one call.
 BLOCK = 256
+#: Documents of open shingles that meet in one call, and the bytes of their shingles: of one block, on average.
+TILE_SETS = 1024
+TILE_BYTES = 4 << 20
+#: Most bytes of the bits that tell which document of a call holds which token.
+BITS_BYTES = 64 << 20
 #: Packed bytes of a range of hashes in one group, on average.
 RANGE_BYTES = 12 << 20
 BATCH = 4096
@@ -322,124 +329,204 @@ def ordered_by_count(sets: DataFrame, ranges: int) -> DataFrame:
 
 
 class Node:
-    __slots__ = ("seg", "end", "kids", "here", "lo", "hi", "least", "most", "whole")
+    __slots__ = ("seg", "end", "kids", "here", "lo", "hi", "least", "most", "longest")
 
-    def __init__(self, seg, end, lo, hi, sizes):
+    def __init__(self, seg, end, lo, hi, sizes, lengths):
         self.seg, self.end, self.lo, self.hi = seg, end, lo, hi
-        self.least, self.most = min(sizes[lo:hi]), max(sizes[lo:hi])
-        self.kids, self.here, self.whole = [], [], False
+        self.least, self.most, self.longest = int(sizes[lo:hi].min()), int(sizes[lo:hi].max()), int(lengths[lo:hi].max())
+        self.kids, self.here = [], []
 
 
-def build(sets: list[np.ndarray]) -> Node:
-    """A path-compressed trie of lexicographically sorted token arrays; a node covers sets[lo:hi]."""
-    sizes = [len(s) for s in sets]
+def build(sets: list[np.ndarray], sizes: np.ndarray) -> Node:
+    """A path-compressed trie of lexicographically sorted arrays; a node covers sets[lo:hi].  sizes: of the sets they were made of."""
 
-    def common(a, b, at):
+    def common(a, b):
         n = min(len(a), len(b))
-        diff = np.flatnonzero(a[at:n] != b[at:n])
-        return at + int(diff[0]) if len(diff) else n
+        diff = a[:n] != b[:n]
+        return int(diff.argmax()) if diff.any() else n
 
-    root = Node(sets[0][:0], 0, 0, len(sets), sizes)
+    lengths = np.array([len(s) for s in sets])
+    same = np.array([0] + [common(a, b) for a, b in zip(sets, sets[1:])])  # with the set before
+    root = Node(sets[0][:0], 0, 0, len(sets), sizes, lengths)
     work = [(root, 0, len(sets), 0)]
     while work:
         parent, lo, hi, at = work.pop()
-        while lo < hi and sizes[lo] == at:
+        while lo < hi and lengths[lo] == at:
             parent.here.append(lo)
             lo += 1
-        while lo < hi:  # sets that go on with the same token are one child
-            token, up = sets[lo][at], lo + 1
-            while up < hi and sets[up][at] == token:
-                up += 1
-            end = common(sets[lo], sets[up - 1], at)
-            kid = Node(sets[lo][at:end], end, lo, up, sizes)
+        if lo == hi:
+            continue
+        cuts = [lo, *(np.flatnonzero(same[lo + 1 : hi] == at) + lo + 1).tolist(), hi]
+        for a, b in zip(cuts, cuts[1:]):  # sets that go on with the same token are one child
+            end = int(same[a + 1 : b].min()) if b > a + 1 else int(lengths[a])
+            kid = Node(sets[a][at:end], end, a, b, sizes, lengths)
             parent.kids.append(kid)
-            work.append((kid, lo, up, end))
-            lo = up
+            work.append((kid, a, b, end))
     return root
 
 
+class Holders:
+    """How many numbers of an ascending list each of some documents holds: by bits of the documents, or by lists of who holds a number."""
+
+    def __init__(self, rank: np.ndarray, who: np.ndarray, ranks: int, docs: int):
+        """rank, ascending, and who: document who[i] holds the number rank[i]."""
+        self.docs, self.who = docs, who
+        self.starts = np.searchsorted(rank, np.arange(ranks + 1))
+        self.bits = None
+        words = (ranks + 63) >> 6
+        if words * docs * 8 <= BITS_BYTES:
+            key = (rank >> 6) * docs + who
+            at = np.argsort(key, kind="stable")
+            key = key[at]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+            self.bits = np.zeros(words * docs, np.uint64)
+            if len(key):
+                self.bits[key[first]] = np.bitwise_or.reduceat(np.uint64(1) << (rank[at] & 63).astype(np.uint64), first)
+            self.bits = self.bits.reshape(words, docs)
+
+    def __call__(self, seg: np.ndarray, active: np.ndarray) -> np.ndarray:
+        lo, hi = int(seg[0]) >> 6, (int(seg[-1]) >> 6) + 1
+        starts = self.starts[seg]
+        held = self.starts[seg + 1] - starts
+        total = int(held.sum())
+        if self.bits is not None and len(active) * (hi - lo) <= 8 * total:
+            mask = np.zeros((hi - lo) << 6, bool)
+            mask[seg - (lo << 6)] = True
+            mask = np.packbits(mask, bitorder="little").view(np.uint64)
+            return np.bitwise_count(self.bits[lo:hi].take(active, axis=1) & mask[:, None]).sum(axis=0, dtype=np.int64)
+        places = np.arange(total) + np.repeat(starts - np.cumsum(held) + held, held)
+        return np.bincount(self.who[places], minlength=self.docs)[active]
+
+
 def tree_join(sets: list[np.ndarray], group: list[int], side: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join the sets' components: (i, j) with Jaccard >= 75 %, enough to connect all that link.
 
     group: a number for each set, equal where sets are known to be connected.  side: if
-    given, only sets of different sides are compared.
+    given, only sets of different sides (of two) are compared.
     """
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    s = [sets[i] for i in order]
-    up = {}
+    n = np.array([len(s) for s in sets], np.int64)
+    if len(sets) < 2 or not n.sum():
+        return []
+    label = np.array(group)
+    if len(sets) == 2:  # a pair needs no tree
+        overlap = len(np.intersect1d(*sets, assume_unique=True))
+        apart = label[0] != label[1] and (side is None or side[0] != side[1])
+        return [(0, 1)] if apart and 175 * overlap >= THRESHOLD * int(n.sum()) else []
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    at = np.argsort(tokens, kind="stable")
+    tokens, own = tokens[at], owner[at]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    # tokens that sets to be compared share; the others add to no overlap
+    useful = np.minimum.reduceat(label[own], first) != np.maximum.reduceat(label[own], first)
+    right = None
+    if side is not None:
+        right = np.asarray(side) == max(side)
+        useful &= np.minimum.reduceat(right[own], first) != np.maximum.reduceat(right[own], first)
+    many = np.diff(first, append=len(tokens))
+    keep, rank = np.repeat(useful, many), np.repeat(np.cumsum(useful) - 1, many)
+    length = np.bincount(own[keep], minlength=len(sets))
+    alive = 100 * length >= THRESHOLD * n
+    keep &= alive[own]
+    # the sets that are left, as ascending numbers of useful tokens
+    own, rank, ranks = own[keep], rank[keep], int(useful.sum())
+    by_set = rank[np.argsort(own, kind="stable")]
+    edge = np.concatenate([[0], np.cumsum(np.where(alive, length, 0))])
+    short = {i: by_set[edge[i] : edge[i + 1]] for i in np.flatnonzero(alive).tolist()}
+    tree = sorted((i for i in short if right is None or right[i]), key=lambda i: short[i].astype(">u4").tobytes())
+    walks = tree if right is None else [i for i in short if not right[i]]
+    if not tree or not walks:
+        return []
+    tree, walks = np.array(tree), np.array(walks)
+    place = np.full(len(sets), -1)
+    place[walks] = np.arange(len(walks))
+    mine = place[own] >= 0
+    count = Holders(rank[mine], place[own[mine]], ranks, len(walks))
+    size, most = n[walks], length[walks]
 
-    def find(x):
-        while up.setdefault(x, x) != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    comp = [group[i] for i in order]
-    root = build(s)
     links = []
-    for i, x in enumerate(s):
-        nx = len(x)
-        work = [(root, 0, 0)]
-        while work:
-            node, overlap, at = work.pop()
-            if node.hi <= i + 1 or 100 * node.most < THRESHOLD * nx or THRESHOLD * node.least > 100 * nx:
-                continue
-            mine = find(comp[i])
-            if node.whole or all(find(c) == find(comp[node.lo]) for c in comp[node.lo : node.hi]):
-                node.whole = True
-                if find(comp[node.lo]) == mine:
-                    continue
-            if len(node.seg):
-                pos = np.searchsorted(x, node.seg)
-                ok = pos < nx
-                overlap += int(np.count_nonzero(x[pos[ok]] == node.seg[ok]))
-                at = int(np.searchsorted(x, node.seg[-1], side="right"))
-            # |x & y| >= 75 / 175 (|x| + |y|), for the shortest y below and the most that can still be shared
-            if 175 * (overlap + min(nx - at, node.most - node.end)) < THRESHOLD * (nx + node.least):
-                continue
-            for j in node.here:
-                if j > i and 175 * overlap >= THRESHOLD * (nx + len(s[j])) and find(comp[j]) != find(comp[i]):
-                    if side is None or side[order[i]] != side[order[j]]:
-                        up[find(comp[j])] = find(comp[i])
-                        links.append((order[i], order[j]))
-            work.extend((k, overlap, at) for k in node.kids)
+    work = [(build([short[i] for i in tree.tolist()], n[tree]), np.arange(len(walks)), np.zeros(len(walks), np.int64))]
+    while work:
+        node, active, overlap = work.pop()
+        if right is None:  # each pair once
+            active = active[: int(np.searchsorted(active, node.hi - 1))]
+            overlap = overlap[: len(active)]
+        if not len(active):
+            continue
+        fit = (THRESHOLD * size[active] <= 100 * node.most) & (100 * size[active] >= THRESHOLD * node.least)
+        below = label[tree[node.lo : node.hi]]
+        if len(below) == 1 or (below == below[0]).all():
+            fit &= label[walks[active]] != below[0]
+        active, overlap = active[fit], overlap[fit]
+        if not len(active):
+            continue
+        if len(node.seg):
+            overlap = overlap + count(node.seg, active)
+        # |x & y| >= 75 / 175 (|x| + |y|), for the smallest y below and the most that can still be shared
+        fit = 175 * np.minimum(overlap + (node.longest - node.end), most[active]) >= THRESHOLD * (size[active] + node.least)
+        active, overlap = active[fit], overlap[fit]
+        if not len(active):
+            continue
+        for j in node.here:
+            y = tree[j]
+            near = 175 * overlap >= THRESHOLD * (size[active] + n[y])
+            if right is None:
+                near &= active < j
+            near = walks[active[near]]
+            near = near[label[near] != label[y]]
+            while len(near):
+                links.append((int(near[0]), int(y)))
+                label[label == label[near[0]]] = label[y]
+                near = near[label[near] != label[y]]
+        work.extend((k, active, overlap) for k in node.kids)
     return links
 
 
-def gathered(hits: DataFrame) -> DataFrame:
-    """Where the documents of open shingles meet: (token, ti, tj, blk, comp, cls).
+def blocks(members, shingles):
+    """Blocks that so many documents with so many shingles are dealt into, each of bounded size on average."""
+    return F.least(members, F.ceil(F.greatest(members / F.lit(TILE_SETS), shingles * F.lit(8) / F.lit(TILE_BYTES)))).cast("int")
 
-    hits: (token, size, cls, comp).  Shingles whose documents overlap are put together
-    by passing the smallest document along them twice, so that a document is sent once
-    and not for every shingle; a gathering of more than BLOCK documents falls back
-    to its single shingles, in pairs of blocks.
+
+def gathered(hits: DataFrame) -> DataFrame:
+    """Where the documents of open shingles meet: (alone, token, ti, tj, blk, comp, cls).
+
+    hits: (token, size, shingles, cls, comp, n), size and shingles (the sum of n) those of
+    the token.  Shingles whose documents overlap are put together by passing the smallest
+    document along them twice, so that documents meet once and not for every shingle
+    that they share.  Where a gathering has more pairs of documents than its shingles
+    have, and does not fit in one block, each shingle is alone.  What is larger than
+    a block meets in pairs of blocks.
     """
     key = hits.select("token", "cls", F.col("cls").alias("k"))
     for _ in range(2):
         per_token = key.groupBy("token").agg(F.min("k").alias("k"))
         per_doc = hits.select("token", "cls").join(per_token, "token").groupBy("cls").agg(F.min("k").alias("k"))
-        key = hits.select("token", "cls").join(per_doc, "cls")
-    per_token = save(key.groupBy("token").agg(F.min("k").alias("key")), "keys")
-    members = hits.select("token", "cls", "comp").join(per_token, "token").select("key", "cls", "comp").distinct()
-    sizes = save(members.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "sizes")
-    small = members.join(sizes.where(F.col("members") <= BLOCK), "key")
-    none = F.lit(0)
-    once = small.select(F.col("key").alias("token"), F.lit(-1).alias("ti"), none.alias("tj"), none.alias("blk"), "comp", "cls")
-    large = hits.join(per_token.join(sizes.where(F.col("members") > BLOCK), "key").select("token"), "token")
-    nb = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = large.withColumn("blk", F.pmod(F.xxhash64("cls"), nb).cast("int")).withColumn("other", F.explode(F.sequence(none, nb - 1)))
-    return once.unionByName(placed.select("token", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"), "blk", "comp", "cls"))
+        key = hits.select("token", "cls", "size").join(per_doc, "cls")
+    square = lambda c: F.col(c).cast("double") * F.col(c)
+    per_token = save(key.groupBy("token").agg(F.min("k").alias("key"), F.first("size").alias("size")), "keys")
+    members = hits.select("token", "cls", "comp", "n").join(per_token.select("token", "key"), "token").select("key", "cls", "comp", "n").distinct()
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    sizes = sizes.join(per_token.groupBy("key").agg(F.sum(square("size")).alias("pairs")), "key").withColumn("nb", blocks(F.col("members"), F.col("shingles")))
+    sizes = save(sizes.select("key", "nb", ((F.col("nb") > 1) & (square("members") > F.col("pairs"))).alias("alone")), "sizes")
+    once = members.join(sizes.where("not alone").drop("alone"), "key").select(F.lit(False).alias("alone"), F.col("key").alias("token"), "comp", "cls", "nb")
+    split = per_token.join(sizes.where("alone").select("key"), "key").select("token")
+    alone = hits.join(split, "token").select(F.lit(True).alias("alone"), "token", "comp", "cls", blocks(F.col("size"), F.col("shingles")).alias("nb"))
+    placed = once.unionByName(alone).withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return placed.select("alone", "token", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"), "blk", "comp", "cls")
 
 
 def _joined(table: pa.Table, two_sided: bool) -> pa.Table | None:
     rep = table.column("rep").to_numpy()
     if len(rep) < 2:
         return None
-    sets = [np.frombuffer(b, np.uint64) for b in table.column("tokens").to_pylist()]
-    groups = table.column("comp").to_pylist() if two_sided else list(range(len(sets)))
-    side = table.column("blk").to_pylist() if two_sided else None
-    if two_sided and len(set(side)) == 1:
-        side = None
-    links = tree_join(sets, groups, side)
+    groups, side = list(range(len(rep))), None
+    if two_sided:
+        groups = table.column("comp").to_numpy()
+        if table.column("ti")[0] != table.column("tj")[0]:
+            side = table.column("blk").to_numpy()
+            if side.min() == side.max():  # they meet where ti = tj
+                return None
+    links = tree_join(_lists(table.column("tokens")), groups, side)
     return pa.table({"src": rep[[a for a, _ in links]].astype(np.int64), "dst": rep[[b for _, b in links]].astype(np.int64)}) if links else None
 
 
@@ -492,15 +579,15 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     delete(first)
 
     # 4: prefix shingles that still join two components, one for each list of documents
-    labelled = sets.join(parts, "rep", "left").select("rep", "cls", "head", F.coalesce("component", "rep").alias("comp"))
-    heads = labelled.select("rep", "cls", "comp", F.explode("head").alias("token"))
+    labelled = sets.join(parts, "rep", "left").select("rep", "cls", "n", "head", F.coalesce("component", "rep").alias("comp"))
+    heads = labelled.select("rep", "cls", "n", "comp", F.explode("head").alias("token"))
     lists = heads.groupBy("token").agg(
-        F.count(F.lit(1)).alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y")
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y")
     )
-    open_ = lists.where("a < b").groupBy("size", "x", "y").agg(F.min("token").alias("token"))
-    hits = save(heads.join(open_.select("token", "size"), "token"), "open")
+    open_ = lists.where("a < b").groupBy("size", "shingles", "x", "y").agg(F.min("token").alias("token"))
+    hits = save(heads.join(open_.select("token", "size", "shingles"), "token"), "open")
     tiles = gathered(hits).join(sets.select("cls", "rep", "tokens"), "cls").drop("cls")
-    last = map_groups(tiles, ["token", "ti", "tj"], lambda _, t: _joined(t, True), "src long, dst long").distinct()
+    last = map_groups(tiles, ["alone", "token", "ti", "tj"], lambda _, t: _joined(t, True), "src long, dst long").distinct()
     star = parts.where("rep <> component").select(F.col("rep").alias("src"), F.col("component").alias("dst"))
     final = components(star.unionByName(last)).withColumnRenamed("node", "rep")
 

@@ -454,6 +454,67 @@ def test_ngram_join(spark):
     assert ngram_join.near_duplicate_classes(docs(spark, [])).count() == 0
 
 
+def test_ngram_join_documents_of_shared_shingles_meet_once(spark):
+    # 300 documents hold most of 40 open shingles each: they are one gathering, not 40
+    rows = [(t, c, c, 396) for c in range(300) for t in range(1000, 1040) if (c * 7 + t * 13) % 10]
+    size = Counter(t for t, *_ in rows)
+    hits = spark.createDataFrame([(t, size[t], size[t] * 396, c, comp, n) for t, c, comp, n in rows], "token long, size long, shingles long, cls long, comp long, n long")
+    assert ngram_join.gathered(hits).groupBy("token", "ti", "tj").count().agg(F.count("*"), F.sum("count")).collect() == [(1, 300)]
+
+
+def test_ngram_join_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 4)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = []
+    for _ in range(3):  # families near the threshold
+        base = [word() for _ in range(90)]
+        for _ in range(60):
+            x = list(base)
+            for _ in range(rng.randint(1, 6)):
+                x[rng.randrange(90)] = word()
+            rows.append((len(rows), " ".join(x)))
+    chain = [[word() for _ in range(40)] for _ in range(30)]
+    rows += [(1000 + i, " ".join(a + b)) for i, (a, b) in enumerate(zip(chain, chain[1:]))]  # half in common with the next
+    kinds, gathered = [], ngram_join.gathered
+    monkeypatch.setattr(ngram_join, "gathered", lambda hits: kinds.append(gathered(hits)) or kinds[0])
+    got = ngram_join.near_duplicate_classes(docs(spark, rows).repartition(5)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_join(rows)
+    seen = {(r.alone, r.ti < r.tj) for r in kinds[0].select("alone", "ti", "tj").distinct().collect()}
+    assert {(False, True), (True, False)} <= seen
+
+
+def test_tree_join_of_families_and_sides(monkeypatch):
+    rng = np.random.default_rng(4)
+    for bits in (ngram_join.BITS_BYTES, 0):
+        monkeypatch.setattr(ngram_join, "BITS_BYTES", bits)
+        for round_ in range(60):
+            m = int(rng.integers(2, 60))
+            base = np.sort(rng.choice(1 << 40, 200, replace=False))
+            sets = [np.unique(np.concatenate([base[rng.random(200) > rng.choice([0.02, 0.1, 0.2])], rng.integers(0, 1 << 40, rng.integers(0, 40))])).astype(np.uint64) for _ in range(m)]
+            group = rng.integers(0, m * 2, m).tolist()
+            side = rng.integers(3, 5, m).tolist() if round_ % 2 else None
+            want, got = list(range(m)), list(range(m))
+
+            def join(up, a, b):
+                p, q = up[a], up[b]
+                up[:] = [min(p, q) if v in (p, q) else v for v in up]
+
+            links = ngram_join.tree_join(sets, group, side)
+            near = lambda a, b: 175 * len(np.intersect1d(sets[a], sets[b])) >= 75 * (len(sets[a]) + len(sets[b]))
+            for a in range(m):
+                for b in range(a):
+                    if group[a] == group[b]:
+                        join(want, a, b)
+                        join(got, a, b)
+                    elif (side is None or side[a] != side[b]) and near(a, b):
+                        join(want, a, b)
+            for a, b in links:
+                assert near(a, b) and (side is None or side[a] != side[b])
+                join(got, a, b)
+            assert got == want
+
+
 def test_tree_join_alone():
     rng = np.random.default_rng(2)
     for _ in range(50):
